@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, tokens
+from tessera.llm import packing, quality_rules, sentence_spans, tokens
 from tessera.llm.common import prepare
 
 
@@ -25,14 +25,27 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_store(spark, table(spark, sf_dir, "documents"), word_bpe()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = quality_rules.apply_rules(docs, first=quality_rules.BASE_RULES, measures=quality_rules.BASE_MEASURES)
+    return measured.select("doc_id", *quality_rules.BASE_MEASURES, "base_failed", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.dedup_spans(spark, docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op4_quality_rules": op4_quality_rules,
         "op7_packing": op7_packing,
+        "op10_sentence_spans": op10_sentence_spans,
     }
 
 
