@@ -107,7 +107,7 @@ RULES = (
     Rule("too_few_words", lambda t: t.get("n_words") < 50),
     Rule("repeated_windows", lambda t: 100 * t.get("n_repeat_words") > 50 * t.get("n_words")),
     Rule("many_symbols", lambda t: 10 * t.get("n_symbols") > t.get("n_words")),
-    Rule("repeated_lines", lambda t: 100 * t.get("n_dup_lines") > 30 * t.get("n_lines")),
+    Rule("repeated_lines", lambda t: 100 * t.get("n_dup_lines") > 50 * t.get("n_lines")),
     Rule("word_length", lambda t: not 2 * t.get("n_words") <= t.get("word_chars") <= 15 * t.get("n_words")),
     Rule("one_word", lambda t: 100 * t.get("top_word") > 30 * t.get("n_words")),
     Rule("shouting", lambda t: 100 * t.get("upper_words") > 40 * t.get("n_words")),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_rules, sentence_spans, tokens
+from tessera.llm import license_scan, packing, pseudonyms, quality_rules, sentence_spans, tokens
 from tessera.llm.common import prepare
 
 
@@ -25,12 +26,26 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_store(spark, table(spark, sf_dir, "documents"), word_bpe()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = quality_rules.apply_rules(docs, first=quality_rules.BASE_RULES, measures=quality_rules.BASE_MEASURES)
     return measured.select("doc_id", *quality_rules.BASE_MEASURES, "base_failed", "kept")
 
 
+#: For tests and checks only; a deployment passes a key of its own.
+PUBLIC_KEY = b"not a secret: for tests and checks only"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonyms.pseudonymize(docs, PUBLIC_KEY)
+    return found.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii", F.lit(k.name)), F.lit(0)).cast("long").alias(f"n_{k.name}") for k in pseudonyms.KINDS])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), word_bpe())
 
@@ -43,11 +58,15 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
+        "op5_pseudonyms": op5_pseudonyms,
         "op7_packing": op7_packing,
         "op10_sentence_spans": op10_sentence_spans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_license_scan": license_scan.scan_sql(),
+    }
