@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, packing, pseudonyms, quality_rules, sentence_spans, tokens
+from tessera.llm import license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, tokens
 from tessera.llm.common import prepare
 
 
@@ -46,6 +46,12 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii", F.lit(k.name)), F.lit(0)).cast("long").alias(f"n_{k.name}") for k in pseudonyms.KINDS])
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), word_bpe())
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_pseudonyms": op5_pseudonyms,
+        "op6_quality_model": op6_quality_model,
         "op7_packing": op7_packing,
         "op10_sentence_spans": op10_sentence_spans,
     }
