@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, tokens
+from tessera.llm import jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, tokens
 from tessera.llm.common import prepare
 
 
@@ -26,6 +26,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_store(spark, table(spark, sf_dir, "documents"), word_bpe()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_join.jaccard_components(spark, docs, n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_pseudonyms": op5_pseudonyms,
