@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,31 +25,53 @@ class Encoder:
 
     Where the file's pre-tokenizer drops white space (checked on a probe), no
     piece spans it, so a text's ids are the ids of its runs between blanks and
-    line ends, one after the other.  Runs repeat, so their ids are remembered;
-    other files get whole texts.  The memory is emptied when it holds
-    ``most_chars`` characters, so its size does not follow the input.
+    line ends, one after the other; other files get whole texts.  Runs repeat,
+    so their ids are remembered.  Before that, texts of Latin letters are put
+    in lower case and single commas and full stops apart, as the file does
+    itself (on the probe too).  New words go to the library many at a time
+    where each ends in a token with the word-end mark, by which their ids are
+    told apart.  The memory is emptied at ``most`` entries, so its size does
+    not follow the input.
     """
 
-    PROBE = "One  two\n\tthree, it's 4 a.b ."
+    PROBE = "One  two\n\tThree, it's 4 a.b É. "
+    CLOSE = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ")
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_chars: int = 6_000_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.most_chars, self.chars, self.memory = most_chars, 0, {"": b""}
+        self.most, self.memory = most, {"": b""}
         self.by_run = self._whole(self.PROBE) == b"".join(self._whole(x) for x in self.PROBE.split())
+        self.apart = self.by_run and self._whole(self.PROBE) == b"".join(self._whole(x) for x in self.PROBE.lower().replace(", ", " , ").replace(". ", " . ").split())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _runs(self, text: str) -> list[str]:
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if self.apart:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+            text = text.lower() + " "
+            if not self.CLOSE.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if not self.by_run:
             return self._whole(text) + self.end
-        runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        runs = self._runs(text)
         try:
             return b"".join(map(self.memory.__getitem__, runs)) + self.end
         except KeyError:
@@ -56,13 +79,18 @@ class Encoder:
             return b"".join(map(self.memory.__getitem__, runs)) + self.end
 
     def _learn(self, runs: list[str]) -> None:
-        new = list(set(runs) - self.memory.keys())
-        if self.chars > self.most_chars:
-            self.memory, self.chars = {"": b""}, 0
-            new = list(set(runs) - {""})
+        if len(self.memory) > self.most:
+            self.memory = {"": b""}
+        new = [x for x in set(runs) if x not in self.memory]
+        words = [x for x in new if x.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(words):
+            raw = ids.tobytes()
+            self.memory.update((x, raw[a:b]) for x, a, b in zip(words, [0, *cuts], cuts, strict=False))
+            new = [x for x in new if not x.isalpha()]
         for run, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.memory[run] = np.array(got.ids, "<u4").tobytes()
-            self.chars += len(run)
 
 
 BLOCKS = (
