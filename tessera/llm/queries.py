@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, tokens
+from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, substrings, tokens
 from tessera.llm.common import prepare
 
 
@@ -62,6 +62,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(spark, docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pseudonyms": op5_pseudonyms,
         "op6_quality_model": op6_quality_model,
         "op7_packing": op7_packing,
+        "op8_substrings": op8_substrings,
         "op9_decontaminate": op9_decontaminate,
         "op10_sentence_spans": op10_sentence_spans,
     }

@@ -37,7 +37,7 @@ class Encoder:
     PROBE = "One  two\n\tThree, it's 4 a.b É. "
     CLOSE = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ")
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most: int = 700_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
