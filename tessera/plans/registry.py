@@ -1,11 +1,254 @@
-"""The registered queries of the reference-side operators."""
+"""The registered queries of the table, formula, money, date and text operators, with SQL for each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import dates, formula, identifiers, money, texts
+from tessera.operators import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with equivalent SQL where there is some."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    from tessera.plans import documents, streams  # noqa: F401  they register their own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FIFTEEN = "CAST(printf('%.14e', {}) AS DOUBLE)"
+
+
+@query(f"""
+WITH g AS (SELECT l_returnflag, CAST(floor({FIFTEEN.format('abs(l_quantity * l_extendedprice * (1 - l_discount) * 100)')} + 0.5) AS HUGEINT) AS gross FROM lineitem),
+v AS (SELECT l_returnflag, gross, (2 * gross * 10000 + 11000) // 22000 AS net FROM g)
+SELECT l_returnflag, count(*) AS n_lines, CAST(sum(net) AS DECIMAL(38,0)) AS net, CAST(sum(gross - net) AS DECIMAL(38,0)) AS tax, CAST(sum(gross) AS DECIMAL(38,0)) AS gross FROM v GROUP BY l_returnflag
+""")
+def tax_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = formula.with_formula(read(spark, sf_dir, "lineitem"), "gross", "=ROUND(l_quantity*l_extendedprice*(1-l_discount)*100, 0)")
+    split = lines.select("l_returnflag", money.from_gross(F.col("gross").cast("decimal(38,0)"), F.lit(1000)).alias("v"))
+    return split.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), *[F.sum(f"v.{c}").cast("decimal(38,0)").alias(c) for c in ("net", "tax", "gross")])
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber,
+  CAST(floor({FIFTEEN.format('l_extendedprice * 10')} + 0.5) / 10 * 1000 AS BIGINT) AS rounded, CAST(ceil({FIFTEEN.format('l_extendedprice / 100')}) AS BIGINT) AS up, CAST(floor({FIFTEEN.format('l_extendedprice / 100')}) AS BIGINT) AS down,
+  CAST(l_linenumber - (-3) * floor(l_linenumber / -3.0) AS BIGINT) AS m, l_returnflag || '-' || CAST(l_linenumber AS VARCHAR) AS label,
+  CASE WHEN l_linestatus = 'O' AND l_quantity > 25 THEN 'big' ELSE lower(l_linestatus) END AS size,
+  CASE WHEN l_linenumber = 1 THEN '#DIV/0!' END AS ratio_err, CASE WHEN l_linenumber = 1 THEN -1 ELSE CAST(floor({FIFTEEN.format('100.0 / (l_linenumber - 1)')}) AS BIGINT) END AS safe
+FROM lineitem
+""")
+def formula_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", F.col("l_linestatus"), F.lower("l_linestatus").alias("low"))
+    for name, text in (
+        ("rounded", "=ROUND(ROUND(l_extendedprice, 1)*1000, 0)"), ("up", "ROUNDUP(l_extendedprice/100, 0)"), ("down", "TRUNC(l_extendedprice/100)"), ("m", "MOD(l_linenumber, -3)"),
+        ("label", 'l_returnflag & "-" & l_linenumber'), ("size", 'IF(AND(l_linestatus="o", l_quantity>25), "big", low)'), ("ratio", "100/(l_linenumber-1)"), ("safe", "IFERROR(INT(100/(l_linenumber-1)), -1)"),
+    ):
+        df = formula.with_formula(df, name, text)
+    return df.select("l_orderkey", "l_linenumber", *[F.col(c).cast("long").alias(c) for c in ("rounded", "up", "down", "m")], "label", "size", "ratio_err", F.col("safe").cast("long").alias("safe"))
+
+
+@query("""
+SELECT NULL AS source, CAST(c_custkey AS VARCHAR) AS c0, c_name AS c1, CAST(c_nationkey AS VARCHAR) AS c2, NULL AS c3 FROM customer WHERE false UNION ALL
+SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), NULL FROM customer UNION ALL
+SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
+""")
+def merge_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    b = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    return tables.merge_tables([("customer", ["id", " name", "id"], a), ("supplier", ["nation", "id", "name"], b)], source="source")[0]
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 700 + 1 AS part FROM events")
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.split_by_rows(read(spark, sf_dir, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")], 700).select("event_id", "part")
+
+
+@query("SELECT nullif(trim(event_type), '') AS key, min(event_id) AS first, count(*) AS rows FROM events GROUP BY 1")
+def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.split_by_column(read(spark, sf_dir, "events"), "event_type", F.col("event_id"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN regexp_matches(v, '^[=+@-]') AND NOT regexp_matches(v, '^[+-]?[0-9]+\\.?[0-9]*$') THEN '''' || v ELSE v END AS guarded,
+  CASE WHEN regexp_matches(v, '^[=+@-]') THEN '''' || v ELSE v END AS guarded_all FROM
+ (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(-c_custkey AS VARCHAR) WHEN 1 THEN '=' || c_name WHEN 2 THEN '@' || c_name ELSE c_name END AS v FROM customer)
+""")
+def formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    v = F.when(k == 0, (-F.col("c_custkey")).cast("string")).when(k == 1, F.concat(F.lit("="), "c_name")).when(k == 2, F.concat(F.lit("@"), "c_name")).otherwise(F.col("c_name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", tables.guard(v).alias("guarded"), tables.guard(v, numbers_pass=False).alias("guarded_all"))
+
+
+@query("""
+SELECT n_nationkey, '| ' || n_name || '\\|' || ' | ' || n_regionkey || ' |' AS md, '<tr><td>' || n_name || '|</td><td>' || n_regionkey || '</td></tr>' AS html,
+ '["' || n_name || '|","' || n_regionkey || '"]' AS json, n_name || '|,' || n_regionkey AS csv FROM nation
+""")
+def rows_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "nation").withColumn("name", F.concat("n_name", F.lit("|")))
+    c = ["name", "n_regionkey"]
+    return df.select("n_nationkey", tables.markdown_row(c).alias("md"), tables.html_row(c).alias("html"), tables.json_row(c).alias("json"), tables.csv_line(df, c).alias("csv"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 1 AND 30 OR o_orderkey = 50 OR o_orderkey BETWEEN 990 AND 1000")
+def page_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").filter(tables.in_pages(F.col("o_orderkey"), "1-30, 50, 990-", 1000)).select("o_orderkey")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS HUGEINT) AS g FROM orders)
+SELECT o_orderkey, CAST((2 * g * 10000 + 11000) // 22000 AS DECIMAL(38,0)) AS net, CAST(g - (2 * g * 10000 + 11000) // 22000 AS DECIMAL(38,0)) AS tax,
+ CAST((g * 333) // 10000 AS DECIMAL(38,0)) AS tax_floor, CAST((g * 333 + 9999) // 10000 AS DECIMAL(38,0)) AS tax_ceil FROM o
+""")
+def gross_to_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.round(F.col("o_totalprice") * 100).cast("decimal(38,0)")
+    v, n = money.from_gross(g, F.lit(1000)), F.lit(333)
+    return read(spark, sf_dir, "orders").select("o_orderkey", v["net"].alias("net"), v["tax"].alias("tax"), money.from_net(g, n)["tax"].alias("tax_floor"), money.from_net(g, n, "ceil")["tax"].alias("tax_ceil"))
+
+
+@query("""
+SELECT c_custkey, CAST(n AS DECIMAL(38,0)) AS value, CASE WHEN n >= 10000 THEN CAST(n // 10000 AS VARCHAR) || '만' || CASE WHEN n % 10000 > 0 THEN ' ' || replace(format('{:,}', n % 10000), ' ', '') ELSE '' END ELSE format('{:,}', n) END AS mixed,
+ CAST(n AS DECIMAL(38,0)) AS back, format('{:,}', n) AS comma FROM (SELECT c_custkey, CAST(abs(c_acctbal) * 100 AS BIGINT) % 9999999 + 1 AS n FROM (SELECT c_custkey, CAST(c_custkey AS BIGINT) * 997 AS c_acctbal FROM customer))
+""")
+def spelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("c_custkey") * 997 * 100 % 9999999 + 1).cast("decimal(38,0)")
+    df = read(spark, sf_dir, "customer").select("c_custkey", money.parse_amount(F.concat(F.lit("₩"), money.comma(n), F.lit("원")))["value"].alias("value"))
+    v = F.col("value")
+    return df.select("c_custkey", "value", F.regexp_replace(money.mixed(v), "^([0-9]+),([0-9]{3})만", "$1$2만").alias("mixed"), money.parse_any(money.spell(v))["value"].alias("back"), money.comma(v).alias("comma"))
+
+
+@query("""
+WITH d AS (SELECT s_suppkey, lpad(CAST(s_suppkey * 7654321 % 1000000000 AS VARCHAR), 9, '0') AS d FROM supplier),
+t AS (SELECT s_suppkey, d, list_sum(list_transform(range(1, 10), lambda i: CAST(substr(d, i, 1) AS INT) * [1,3,7,1,3,7,1,3,5][i])) + CAST(substr(d, 9, 1) AS INT) * 5 // 10 AS total FROM d)
+SELECT s_suppkey, CAST((10 - total % 10) % 10 AS INT) AS expected, (10 - total % 10) % 10 = s_suppkey % 10 AS valid, substr(d, 1, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6, 4) || CAST(s_suppkey % 10 AS VARCHAR) AS formatted FROM t
+""")
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.concat(F.lpad((F.col("s_suppkey") * 7654321 % 1000000000).cast("string"), 9, "0"), (F.col("s_suppkey") % 10).cast("string"))
+    df = read(spark, sf_dir, "supplier").select("s_suppkey", identifiers.check_number(d).alias("v"))
+    return df.select("s_suppkey", "v.expected", "v.valid", "v.formatted")
+
+
+HOLIDAYS = "(SELECT make_date(y, m, d) AS day FROM range(1990, 2010) r(y), (VALUES (1,1),(3,1),(5,5),(6,6),(8,15),(10,3),(10,9),(12,25)) h(m,d))"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS b FROM orders),
+h AS (SELECT day FROM {HOLIDAYS} WHERE isodow(day) < 6),
+c AS (SELECT day, isodow(day) < 6 AS wd, day IN (SELECT day FROM h) AS hol FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-01-01', INTERVAL 1 DAY)) AS DATE) AS day)),
+r AS (SELECT day, sum(CAST(wd AS INT)) OVER w AS wds, sum(CAST(hol AS INT)) OVER w AS hols FROM c WINDOW w AS (ORDER BY day))
+SELECT o_orderkey, datediff('day', a, b) + 1 AS days, CAST(y.wds - x.wds AS BIGINT) AS weekdays, CAST(y.hols - x.hols AS BIGINT) AS holidays, CAST(y.wds - x.wds - (y.hols - x.hols) AS BIGINT) AS business
+FROM o JOIN r x ON x.day = a - 1 JOIN r y ON y.day = b
+""")
+def business_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.to_date("o_orderdate")
+    span = dates.between(a, F.date_add(a, (F.col("o_orderkey") % 90).cast("int")), dates.holiday_array(dates.fixed_holidays(spark, 1990, 2009)))
+    return read(spark, sf_dir, "orders").select("o_orderkey", span.alias("s")).select("o_orderkey", "s.days", "s.weekdays", "s.holidays", "s.business")
+
+
+@query(f"""
+WITH c AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2009-12-31', INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM {HOLIDAYS})),
+o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 21 - 10 AS BIGINT) AS n FROM orders),
+k AS (SELECT o_orderkey, a, n, (SELECT max(k) FROM c WHERE c.day <= a) AS before, (SELECT min(k) FROM c WHERE c.day >= a) AS after FROM o)
+SELECT o_orderkey, CASE WHEN n = 0 THEN a ELSE c.day END AS due FROM k LEFT JOIN c ON c.k = CASE WHEN n > 0 THEN before + n ELSE after + n END
+""")
+def business_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), (F.col("o_orderkey") % 21 - 10).alias("n"))
+    return dates.add_business_days(df, "a", "n", dates.fixed_holidays(spark, 1990, 2009), "due").select("o_orderkey", "due")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 30 AS INT) AS n FROM orders), s AS (SELECT *, CAST(a + to_months(n) AS DATE) AS later FROM o)
+SELECT o_orderkey, later, day(later) <> day(a) AS clamped, CAST(n // 12 AS INT) AS years, CAST(n % 12 AS INT) AS months, CAST(CAST(day(a) AS INT) % 7 AS INT) AS spare, strftime(a, '%Y-%m-%d (%a)') AS shown,
+ CASE WHEN n = 0 THEN 'D-Day' ELSE 'D-' || CAST(datediff('day', a, later) AS VARCHAR) END AS dday FROM s
+""")
+def month_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "orders").select("o_orderkey", dates.parse_date(F.date_format("o_orderdate", "yyyy.M.d")).alias("a"), (F.col("o_orderkey") % 30).alias("n"))
+    moved = df.withColumn("s", dates.add_months(F.col("a"), F.col("n"))).withColumn("v", dates.ymd(F.col("a"), F.col("s.date")))
+    return moved.select("o_orderkey", F.col("s.date").alias("later"), "s.clamped", "v.years", "v.months", (F.dayofmonth("a") % 7).alias("spare"), dates.with_weekday(F.col("a")).alias("shown"), dates.dday(F.col("s.date"), F.col("a")).alias("dday"))
+
+
+@query("""
+SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[\\r\\n]', '', 'g')) AS with_spaces, len(regexp_extract_all(text, '[^\\s]+')) AS words, strlen(text) AS utf8_bytes,
+ length_grapheme(text) AS graphemes, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS lines FROM documents
+""")
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "documents").select("doc_id", texts.counts(F.col("text")).alias("c"))
+    return df.select("doc_id", *[f"c.{c}" for c in ("chars", "with_spaces", "words", "utf8_bytes", "graphemes", "lines")])
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.duplicate_groups(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, 'sha256' AS algorithm, true AS matches, sha256(text) || '  doc-' || doc_id || '.txt' AS line FROM documents")
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = texts.hashes(F.col("text"))
+    expected = texts.parse_expected(F.concat(F.upper(h["sha256"]), F.lit("  name")))
+    df = read(spark, sf_dir, "documents")
+    return df.select("doc_id", h["md5"].alias("md5"), h["sha1"].alias("sha1"), h["sha256"].alias("sha256"), expected["algorithm"].alias("algorithm"), (expected["hash"] == h["sha256"]).alias("matches"), texts.manifest_line(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), h["sha256"]).alias("line"))
+
+
+@query("""
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) AS emails,
+ regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[email]', 'g') AS masked FROM documents
+""")
+def redacted_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    return df.select("doc_id", F.size(texts.find_private(F.col("t"), ("email",))).cast("long").alias("emails"), texts.redact(F.col("text"), ("email",), "tag").alias("masked"))
+
+
+@query(None)
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All default kinds; back references and look-behind are beyond DuckDB's patterns, so tests hold it to plain Python."""
+    df = read(spark, sf_dir, "documents")
+    found = texts.find_private(F.coalesce("text", F.lit("")))
+    return df.select("doc_id", texts.redact(F.col("text")).alias("masked"), F.size(found).alias("found"))
+
+
+@query("""
+SELECT kind, count(*) AS n FROM (SELECT 'email' AS kind FROM documents, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}'))) GROUP BY kind
+""")
+def private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.explode(texts.find_private(F.col("text"), ("email",))).alias("f"))
+    return df.groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, lpad(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR), 5, '0') || '_' || lower(p_brand) || '.txt' AS new_name FROM part
+""")
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(".txt")).alias("file"))
+    return texts.plan_renames(df, "file", [F.col("p_partkey")], "{n:5}_{name}", case="lower").select("p_partkey", "new_name")
+
+
+@query("SELECT p_partkey, 'WIFI:T:WPA;S:' || p_brand || ';P:' || replace(p_name, ';', '\\;') || ';;' AS wifi, 'mailto:' || p_partkey || '@example.org?subject=' || replace(url_encode(p_name), '+', '%20') AS mail FROM part")
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = F.concat(F.col("p_partkey").cast("string"), F.lit("@example.org"))
+    return read(spark, sf_dir, "part").select("p_partkey", texts.wifi_payload(F.col("p_brand"), F.col("p_name")).alias("wifi"), texts.mailto_payload(to, F.col("p_name"), F.lit("")).alias("mail"))
