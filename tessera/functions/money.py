@@ -55,7 +55,7 @@ def spell(n: Column, hanja: bool = False, omit_one: bool = False) -> Column:
 
 def formal(n: Column, hanja: bool = False) -> Column:
     """The form used in contracts: 금…원정, or its Hanja."""
-    return F.concat(F.lit("金" if hanja else "금"), spell(n, hanja), F.lit("원整" if hanja else "원정"))
+    return F.concat(F.lit("金" if hanja else "금"), spell(n, hanja), F.lit("圓整" if hanja else "원정"))
 
 
 def mixed(n: Column) -> Column:

@@ -1 +1,57 @@
-"""Queries of the document operators."""
+"""Queries of the document operators: blocks, differences, encodings and archives."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.operators import blocks, textdiff
+from tessera.plans.registry import query, read
+from tessera.sources import files
+
+
+@query(None)
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every page; HTML is not XML, so SQL has no parser for it and tests hold it to fixtures."""
+    pages = read(spark, sf_dir, "pages").select("page_id", blocks.html_to_blocks("html").alias("blocks"))
+    return blocks.explode_blocks(pages, "blocks").select("page_id", "pos", "kind", "text", F.size("rows").alias("n_rows"))
+
+
+@query("""
+SELECT doc_id, CAST(k - 1 AS INT) AS pos, 'paragraph' AS kind, p[k] AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[*_`~#>|\\[\\]!-]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) u(k)
+""")
+def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("text", r"[*_`~#>|\[\]!-]", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    docs = read(spark, sf_dir, "documents").select("doc_id", blocks.markdown_to_blocks(F.array_join(lines, "\n\n")).alias("blocks"))
+    return blocks.explode_blocks(docs, "blocks").select("doc_id", "pos", "kind", "text")
+
+
+@query("SELECT n_regionkey, string_agg('<p>' || n_name || '</p>', chr(10) ORDER BY n_name) AS html, string_agg(n_name, chr(10) || chr(10) ORDER BY n_name) AS plain, '| n | k |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_name) AS md FROM nation GROUP BY n_regionkey")
+def blocks_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_name", F.col("n_nationkey").cast("string").alias("k")))).alias("l"))
+    as_blocks = F.transform("l", lambda x: F.struct(F.lit("paragraph").alias("kind"), x["n_name"].alias("text"), F.lit(None).cast("array<array<string>>").alias("rows")))
+    rows = F.concat(F.array(F.array(F.lit("n"), F.lit("k"))), F.transform("l", lambda x: F.array(x["n_name"], x["k"])))
+    return n.select("n_regionkey", blocks.blocks_html(as_blocks).alias("html"), blocks.blocks_text(as_blocks).alias("plain"), blocks.table_markdown(rows).alias("md"))
+
+
+@query("SELECT o_custkey AS doc, string_agg(o_orderstatus || chr(9) || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY 1")
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = lambda text, x: F.struct(text.cast("string").alias("text"), F.lit(x).alias("x"), (F.col("o_orderkey") * 12.0).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"))
+    spans = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.lit(1).alias("page"), F.inline(F.array(span(F.col("o_orderkey"), 100.0), span(F.col("o_orderstatus"), 0.0))))
+    ordered = blocks.reading_order(spans)
+    return ordered.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
+
+
+@query(None)
+def turn_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation against the one before it: lines added and deleted, as a unified diff."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
+    return textdiff.diff_texts(turns, "before", "text").select("conv_id", "turn", "added", "deleted", "unified")
+
+
+@query("SELECT doc_id, text, 'utf-8' AS encoding, strlen(text) + 3 AS size FROM documents WHERE text IS NOT NULL")
+def encoding_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", files.utf8_bytes(F.col("text"), mark=True).alias("content"))
+    return marked.select("doc_id", files.decoded("content").alias("d"), F.octet_length("content").cast("long").alias("size")).select("doc_id", "d.text", "d.encoding", "size")

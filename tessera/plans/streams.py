@@ -1 +1,13 @@
-"""Queries of the streaming additions."""
+"""Queries of the streaming additions, over the table as a batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.plans.registry import query, read
+from tessera.streaming import events
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windowed_counts(read(spark, sf_dir, "events"))
