@@ -187,7 +187,7 @@ class Kind:
 KINDS = (
     Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", _email),
     Kind("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _aws),
-    Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?[^\s\"'.,;]*[0-9][^\s\"']*", _secret),
+    Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?=[^\s\"']*[0-9])[^\s\"']*[A-Za-z0-9]", _secret),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", _iban),
     Kind("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", _ip),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9]|[./-][0-9])", _date),
