@@ -136,16 +136,27 @@ def describe(docs: DataFrame, counts, n: int, percent: int, most_matches: int) -
     return docs.mapInArrow(run, "row_id long, n_shingles long, signature binary, matches int, prefix binary")
 
 
-POSTING = "token long, node long, size int, matches int"
+POSTING = "token long, node long, size int, matches int, reach int"
 
 
-def postings(reps: DataFrame) -> DataFrame:
+def postings(reps: DataFrame, percent: int) -> DataFrame:
+    """A row for each shingle of each prefix; ``reach`` is the largest size a partner may have.
+
+    If the match at place i of the order is the k-th of a pair, at most
+    |set| - i + k - 1 shingles are shared, and need * (|set| + |partner|) of
+    them are asked for, which bounds the partner.
+    """
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
             n = np.array([len(x) for x in parts], np.int64)
             if n.sum():
-                yield pa.record_batch([pa.array(np.concatenate(parts)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("node", "size", "matches"))], names=["token", "node", "size", "matches"])
+                size, matches = (batch.column(c).to_numpy().astype(np.int64) for c in ("size", "matches"))
+                place = np.concatenate([np.arange(k) for k in n])
+                most = np.repeat(size + matches - 1, n) - place
+                reach = np.minimum(most * (100 + percent) // percent - np.repeat(size, n), (1 << 31) - 1)
+                yield pa.record_batch([pa.array(np.concatenate(parts)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("node", "size", "matches")), pa.array(reach.astype(np.int32))], names=["token", "node", "size", "matches", "reach"])
 
     return reps.select("node", F.col("n_shingles").cast("int").alias("size"), "matches", "prefix").mapInArrow(run, POSTING)
 
@@ -210,53 +221,57 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, per
     return met.mapInArrow(check, "a long, b long")
 
 
-def contract(ws: Workspace, labelled: DataFrame, step: int) -> DataFrame:
+def contract(ws: Workspace, labelled: DataFrame, percent: int, step: int) -> DataFrame:
     """For each node at most one pair: of the candidates next to it or first in a token's postings, in another class, the one met most often."""
     spark = ws.spark
     dealt = labelled.repartition(partitions_for(spark), "token").sortWithinPartitions("token", "size", "node")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        first = last = None  # (token, node, class)
+        names = ("token", "node", "class", "size", "reach")
+        first = last = None  # the first row of the token at hand, and the last one
         for batch in batches:
-            a, b = [], []
-            for token, node, cls in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "class")), strict=True):
-                if first is None or first[0] != token:
-                    first = last = (token, node, cls)
-                    continue
-                if last[2] != cls:
-                    a.append(node)
-                    b.append(last[1])
-                if first[2] != cls and first[1] != last[1]:
-                    a.append(node)
-                    b.append(first[1])
-                last = (token, node, cls)
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            if last is not None:
+                rows = [np.concatenate([[x, y], r]) for x, y, r in zip(first, last, rows, strict=True)]
+            token, node, cls, size, reach = rows
+            at = np.arange(len(token))
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            head = np.maximum.accumulate(np.where(new, at, 0))
+            skip = 0 if last is None else 2
+            out = []
+            for other in (np.maximum(at - 1, 0), head):
+                ok = (token == token[other]) & (cls != cls[other]) & (node != node[other]) & (size[other] <= reach) & (size <= reach[other])
+                ok &= 100 * np.minimum(size, size[other]) >= percent * np.maximum(size, size[other])
+                ok[:skip] = False
+                out.append((node[ok], node[other[ok]]))
+            yield pa.record_batch([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], names=["a", "b"])
+            first, last = [r[head[-1]] for r in rows], [r[-1] for r in rows]
 
     met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
     best = met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     return ws.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"near{step}")
 
 
-def candidate_pairs(labelled: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
-    """All pairs of different classes that share enough of their prefixes and have near enough sizes.
+def candidate_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different classes that share enough of their prefixes, by size and place.
 
-    A token's nodes are put together by class, in chunks, and only chunks of
-    different classes meet.
+    Tokens of one class alone fall away first.  A node meets those of its size
+    band and of the one below it; sizes and reaches, which are part of the join
+    condition, leave few pairs of a token that many nodes share.
     """
-    node = F.struct("node", "size", "matches")
-    chunks = labelled.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
-    per = chunks.groupBy("token", "class").agg(F.count("*").alias("n"))
-    wide = per.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1").select("token")
-    chunks = chunks.join(wide, "token").join(per, ["token", "class"]).withColumn("chunk", F.col("chunk") % F.ceil(F.col("n") / chunk))
-    grouped = chunks.groupBy("token", "class", "chunk").agg(F.collect_list(node).alias("nodes"))
-    left = grouped.select("token", F.col("class").alias("class_a"), F.col("nodes").alias("nodes_a"))
-    right = grouped.select("token", F.col("class").alias("class_b"), F.col("nodes").alias("nodes_b"))
-    met = left.join(right, "token").filter("class_a < class_b")
-    met = met.select(F.explode("nodes_a").alias("x"), "nodes_b").select("x", F.explode("nodes_b").alias("y"))
-    near = (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")) & (F.col("x.node") != F.col("y.node"))
-    pairs = met.filter(near).groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x.matches", "y.matches")).alias("need"))
-    return pairs.filter("n >= need").select("a", "b")
+    wide = labelled.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("size").alias("least")).filter("low != high").select("token", "least")
+    near = labelled.join(wide, "token").filter("reach >= least").drop("least")
+    band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    left = near.select("token", F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("node", "class", "size", "matches", "reach")])
+    right = near.select("token", band.alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "size", "matches", "reach")])
+    larger_first = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") > F.col("node_b")))
+    fits = (100 * F.col("size_b").cast("long") >= percent * F.col("size_a").cast("long")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("size_a") <= F.col("reach_b"))
+    keys = (left["token"] == right["token"]) & (left["band"] == right["band"])
+    met = left.join(right, keys & larger_first & fits & (F.col("class_a") != F.col("class_b")))
+    pairs = met.groupBy("node_a", "node_b").agg(F.count("*").alias("n"), F.min(F.least("matches_a", "matches_b")).alias("need"))
+    return pairs.filter("n >= need").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 2) -> DataFrame:
@@ -282,7 +297,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     by_set = described.filter("n_shingles > 0").groupBy("signature").agg(F.min("row_id").alias("node"))
     members = ws.write(described.select("row_id", "n_shingles", "signature").join(by_set, "signature", "left").select("row_id", "n_shingles", F.coalesce("node", "row_id").alias("node")), "members")
     reps = described.join(members.filter("row_id = node AND n_shingles > 0").select("row_id", "node").distinct(), "row_id").dropDuplicates(["row_id"])
-    shared = ws.write(shared_postings(spark, postings(reps)), "shared")
+    shared = ws.write(shared_postings(spark, postings(reps, percent)), "shared")
     texts = docs
     links, classes = None, None
     for step in range(rounds + 1):
@@ -290,7 +305,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
         if classes is not None:
             labelled = shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         labelled = ws.write(labelled, f"labelled{step}")
-        pairs = contract(ws, labelled, step) if step < rounds else ws.write(candidate_pairs(labelled, percent), "pairs")
+        pairs = contract(ws, labelled, percent, step) if step < rounds else ws.write(candidate_pairs(labelled, percent), "pairs")
         found = ws.write(verified(spark, texts, pairs, n, percent), f"links{step}")
         ws.drop(f"labelled{step}")
         links = found if links is None else links.union(found)
