@@ -168,3 +168,21 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, first: tuple[s
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {t}" for n, t, _ in added)])
     return docs.mapInArrow(run, schema)
+
+
+def rules_sql() -> str:
+    """The measures and verdicts of RULES in DuckDB SQL."""
+    return r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1))) u(k)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM r, unnest([0, 1, 2]) v(o) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(l) AS n_lines, coalesce(list_max(map_values(list_aggregate(w, 'histogram'))), 0) AS top_word, len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS upper_words
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * top_word > 30 * n_words OR 100 * upper_words > 40 * n_words) AS kept FROM b
+"""

@@ -94,4 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": license_scan.scan_sql(),
+        "op4_quality_rules": quality_rules.rules_sql(),
     }
