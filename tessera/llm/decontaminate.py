@@ -30,7 +30,7 @@ def words_of(text: str | None) -> list[str]:
 class Codes(dict):
     """Numbers of words as written: that of the benchmark's word, -1 for other words, -2 for mere punctuation."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 1_000_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 
@@ -66,6 +66,14 @@ class Passage:
                 row = (row + hit | row - hit) & full
         return len(self.codes) - row.bit_count()
 
+    def shared_words(self, other: np.ndarray) -> int:
+        """How many words both have, by times each: no common subsequence is longer."""
+        if "_times" not in self.__dict__:
+            self.__dict__["_times"] = np.unique(np.array(self.codes), return_counts=True)
+        own, times = self.__dict__["_times"]
+        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == other], minlength=len(own)), times).sum())
+
     @property
     def masks(self) -> dict[int, int]:
         if "_masks" not in self.__dict__:
@@ -95,25 +103,43 @@ def passages_of(items: list[tuple[int, str | None, str | None]], window: int, le
     return vocabulary, passages
 
 
-def document_frequency(ws: Workspace, docs: DataFrame, vocabulary: dict[str, int], window: int) -> tuple[np.ndarray, int]:
+def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, codes) of the texts with words: little-endian 16-bit numbers, 32-bit where the benchmark has more words."""
+    kind = "<i2" if len(vocabulary) < 1 << 15 else "<i4"
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        codes = Codes(vocabulary)
+        for batch, texts in text_rows(batches):
+            yield pa.record_batch([batch.column("doc_id"), pa.array([codes.of(x).astype(kind).tobytes() for x in texts], pa.binary())], names=["doc_id", "codes"])
+
+    return docs.mapInArrow(run, "doc_id long, codes binary").filter("octet_length(codes) > 0")
+
+
+def document_frequency(ws: Workspace, docs: DataFrame, size: int, window: int) -> tuple[np.ndarray, int]:
     """In how many of the corpus' passages each word of the benchmark occurs, and how many passages there are."""
+    kind = "<i2" if size < 1 << 15 else "<i4"
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        codes, n = Codes(vocabulary), 0
-        total = np.zeros(len(vocabulary), np.int64)
-        for _, texts in text_rows(batches):
-            for text in texts:
-                own = codes.of(text)
-                place = np.arange(len(own)) // window
-                n += -(-len(own) // window)
-                known = own >= 0
-                pairs = np.unique(place[known] * len(vocabulary) + own[known])
-                total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+        total, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("codes")]
+            for k in range(0, len(parts), 50):
+                own = parts[k : k + 50]
+                passages = np.array([-(-len(x) // window) for x in own])
+                first = np.cumsum(passages) - passages
+                place = np.concatenate([f + np.arange(len(x)) // window for f, x in zip(first, own, strict=True)])
+                codes = np.concatenate(own).astype(np.int64)
+                known = codes >= 0
+                pairs = place[known] * size + codes[known]
+                pairs.sort()
+                new = np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, bool)
+                total += np.bincount(pairs[new] % size, minlength=size)
+                n += int(passages.sum())
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[at].tolist(), n], pa.int64())], names=["word", "n"])
 
-    found = docs.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    df, n = np.zeros(len(vocabulary), np.int64), 0
+    found = docs.select("codes").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    df, n = np.zeros(size, np.int64), 0
     for row in ws.write(found, "frequency").toLocalIterator():  # one row for each word of the benchmark
         if row.word < 0:
             n = row.n
@@ -167,6 +193,68 @@ def latent_space(spark: SparkSession, passages: list[Passage], weight: np.ndarra
 HITS = "doc_id long, item_id long, cosine double, common_words long, passage_words long, answer_found boolean, first_word long"
 
 
+@dataclass
+class Search:
+    """What a task needs to compare documents with the benchmark: passages, latent rows of the words, latent passages."""
+
+    passages: list[Passage]
+    latent: np.ndarray
+    place: np.ndarray
+    targets: np.ndarray
+    window: int
+    step: int
+    cosine: float
+    accept: float
+    paraphrase: float
+
+    def windows(self, codes: np.ndarray) -> np.ndarray:
+        """Latent sums of the windows of one document, one for each step of words."""
+        per = self.window // self.step
+        blocks = max(1, -(-len(codes) // self.step))
+        total = np.zeros((blocks + per, self.latent.shape[1]), np.float32)
+        at = self.place[codes]
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            block = known // self.step
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            total[block[starts]] = np.add.reduceat(self.latent[at[known]], starts, axis=0)
+        count = max(1, blocks - per + 1)
+        out = total[:count].copy()
+        for k in range(1, per):
+            out += total[k : k + count]
+        return out
+
+    def judge(self, docs: list[tuple[int, np.ndarray]], parts: list[np.ndarray]) -> list[tuple]:
+        """The leaks of some documents, given their windows."""
+        all_windows = np.concatenate(parts)
+        bound = self.cosine * np.maximum(np.linalg.norm(all_windows, axis=1, keepdims=True), 1e-6)
+        scores = all_windows @ self.targets
+        sizes = [len(p) for p in parts]
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        best: dict[tuple[int, int], tuple] = {}
+        for w, p in zip(*np.nonzero(scores >= bound), strict=True):
+            doc, codes = docs[owner[w]]
+            passage = self.passages[p]
+            n = len(passage.codes)
+            start = int(w - first[owner[w]]) * self.step
+            spare = max(self.step, (n * 5 // 4 - self.window) // 2)
+            near = codes[max(0, start - spare) : start + self.window + spare]
+            if passage.shared_words(near) < self.paraphrase * n:
+                continue
+            near = near.tolist()
+            common = passage.common(near)
+            if common < self.paraphrase * n:
+                continue
+            answered = passage.answered(near)
+            if common >= self.accept * n or answered:
+                row = (common / n, float(scores[w, p] / bound[w, 0] * self.cosine), common, n, answered, max(0, start - spare))
+                key = (int(owner[w]), passage.item)
+                if key not in best or row > best[key]:
+                    best[key] = row
+        return [(docs[o][0], item, *row[1:]) for (o, item), row in sorted(best.items())]
+
+
 def find_leaks(
     spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 48, step: int = 8, rank: int = 128, cosine: float = 0.5, accept: float = 0.7,
     paraphrase: float = 0.5, answer_words: int = 5, least_words: int = 8, common_share: float = 0.15, most_bytes: int = 64 << 20,
@@ -200,81 +288,34 @@ def find_leaks(
     if not passages:
         return spark.createDataFrame([], HITS)
     ws = Workspace(spark, "leaks")
-    df, n = document_frequency(ws, docs.select("text"), vocabulary, window)
+    codes = ws.write(coded(docs, vocabulary), "codes")
+    df, n = document_frequency(ws, codes, len(vocabulary), window)
     weight = np.where(df > common_share * max(n, 20), 0, np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
     term = term_of(vocabulary)
-    rank = min(rank, len(passages))
-    space = latent_space(spark, passages, weight, term, rank)
+    space = latent_space(spark, passages, weight, term, min(rank, len(passages)))
     latent = weight[:, None] * space[term]  # a row for each word of the benchmark
     sums = np.array([latent[sorted(set(p.codes))].sum(axis=0) for p in passages])
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast((vocabulary, passages, latent[weight > 0], np.where(weight > 0, np.cumsum(weight > 0) - 1, -1), np.ascontiguousarray(sums.T, np.float32)))
-    per = window // step
-
-    def windows(codes: np.ndarray, latent: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Latent sums of the windows of one document, one for each step of words."""
-        blocks = max(1, -(-len(codes) // step))
-        total = np.zeros((blocks + per, latent.shape[1]), np.float32)
-        known = np.flatnonzero(codes >= 0)
-        at = place[codes[known]]
-        known, at = known[at >= 0], at[at >= 0]
-        if len(known):
-            block = known // step
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            total[block[starts]] = np.add.reduceat(latent[at], starts, axis=0)
-        count = max(1, blocks - per + 1)
-        out = total[:count].copy()
-        for k in range(1, per):
-            out += total[k : k + count]
-        return out
+    # the place of a word's latent row; -1 for words without weight and, at the end, for code -1
+    place = np.append(np.where(weight > 0, np.cumsum(weight > 0) - 1, -1), -1)
+    shared = spark.sparkContext.broadcast(Search(passages, latent[weight > 0], place, np.ascontiguousarray(sums.T, np.float32), window, step, cosine, accept, paraphrase))
+    kind = "<i2" if len(vocabulary) < 1 << 15 else "<i4"
 
     def search(batches) -> Iterator[pa.RecordBatch]:
-        vocabulary, passages, latent, place, targets = shared.value
-        codes_of = Codes(vocabulary)
-
-        def judge(docs_in: list, parts: list) -> list[tuple]:
-            all_windows = np.concatenate(parts)
-            norms = np.linalg.norm(all_windows, axis=1, keepdims=True)
-            scores = (all_windows / np.maximum(norms, 1e-6)) @ targets
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            best: dict[tuple[int, int], tuple] = {}
-            for w, p in zip(*np.nonzero(scores >= cosine), strict=True):
-                doc, codes = docs_in[owner[w]]
-                passage = passages[p]
-                start = int(w - first[owner[w]]) * step
-                spare = max(step, (len(passage.codes) * 5 // 4 - window) // 2)
-                near = codes[max(0, start - spare) : start + window + spare].tolist()
-                common = passage.common(near)
-                if common >= accept * len(passage.codes):
-                    answered = passage.answered(near)
-                elif common >= paraphrase * len(passage.codes) and passage.answered(near):
-                    answered = True
-                else:
-                    continue
-                row = (common / len(passage.codes), float(scores[w, p]), common, len(passage.codes), answered, max(0, start - spare))
-                key = (int(owner[w]), passage.item)
-                if key not in best or row > best[key]:
-                    best[key] = row
-            return [(docs_in[o][0], item, *row[1:]) for (o, item), row in sorted(best.items())]
-
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
         names = ["doc_id", "item_id", "cosine", "common_words", "passage_words", "answer_found", "first_word"]
-        for batch, texts in text_rows(batches):
-            out, docs_in, parts, held = [], [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                codes = codes_of.of(text)
-                if not len(codes):
-                    continue
-                docs_in.append((doc, codes))
-                parts.append(windows(codes, latent, place))
+        for batch in batches:
+            out, own, parts, held = [], [], [], 0
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("codes"), strict=True):
+                own.append((doc, np.frombuffer(raw.as_buffer(), kind)))
+                parts.append(shared.value.windows(own[-1][1]))
                 held += len(parts[-1])
                 if held > 4000:
-                    out += judge(docs_in, parts)
-                    docs_in, parts, held = [], [], 0
+                    out += shared.value.judge(own, parts)
+                    own, parts, held = [], [], 0
             if parts:
-                out += judge(docs_in, parts)
+                out += shared.value.judge(own, parts)
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(search, HITS)
+    return codes.mapInArrow(search, HITS)

@@ -15,6 +15,7 @@ from tessera.llm.common import Workspace, components, mix64, partitions_for, tex
 #: Counters of the frequency sketch: 4 bytes each, so what is broadcast has this fixed size.
 COUNTERS = 1 << 22
 BLOCK = 1 << 14
+BITS = ("bits0", "bits1", "bits2", "bits3")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -104,17 +105,24 @@ def prefix_length(df: np.ndarray, need: int, most: int, verify: float) -> int:
 
 
 def describe(docs: DataFrame, counts, n: int, percent: int, most_matches: int) -> DataFrame:
-    """(row_id, n_shingles, signature, matches, prefix) of each text; prefix is the 64-bit hashes, rarest counter first."""
+    """(row_id, n_shingles, signature, matches, prefix, bits0 .. bits3) of each text.
+
+    The prefix is 64-bit hashes, rarest counter first.  The bits are the
+    parities of the set's hashes in 256 places: those of two sets differ in no
+    more places than the sets have elements that are not shared.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         shingle, df_of = Shingler(n), counts.value
         for batch, texts in text_rows(batches):
-            sizes, names, matches, prefixes = [], [], [], []
+            sizes, names, matches, prefixes, bits = [], [], [], [], []
             for text in texts:
                 own = shingle(text)
                 size = len(own)
                 sizes.append(size)
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
+                odd = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if not size:
                     matches.append(0)
                     prefixes.append(b"")
@@ -131,9 +139,9 @@ def describe(docs: DataFrame, counts, n: int, percent: int, most_matches: int) -
                 k = prefix_length(np.concatenate([sorted_df, np.zeros(size - reach, sorted_df.dtype)]), need, min(most_matches, need), 0.01)
                 matches.append(k)
                 prefixes.append(own[order[: size - need + k]].tobytes())
-            yield pa.record_batch([batch.column("row_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())], names=["row_id", "n_shingles", "signature", "matches", "prefix"])
+            yield pa.record_batch([batch.column("row_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), *(pa.array([x[k] for x in bits], pa.int64()) for k in range(4))], names=["row_id", "n_shingles", "signature", "matches", "prefix", *BITS])
 
-    return docs.mapInArrow(run, "row_id long, n_shingles long, signature binary, matches int, prefix binary")
+    return docs.mapInArrow(run, "row_id long, n_shingles long, signature binary, matches int, prefix binary, bits0 long, bits1 long, bits2 long, bits3 long")
 
 
 POSTING = "token long, node long, size int, matches int, reach int"
@@ -254,26 +262,43 @@ def contract(ws: Workspace, labelled: DataFrame, percent: int, step: int) -> Dat
     return ws.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"near{step}")
 
 
-def candidate_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+def candidate_pairs(labelled: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that share enough of their prefixes, by size and place.
 
     Tokens of one class alone fall away first.  A node meets those of its size
-    band and of the one below it; sizes and reaches, which are part of the join
-    condition, leave few pairs of a token that many nodes share.
+    band and of the one below it; sizes and reaches, and how many
+    parity bits differ, are part of the join condition and leave few pairs of a
+    token that many nodes share.
     """
     wide = labelled.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("size").alias("least")).filter("low != high").select("token", "least")
-    near = labelled.join(wide, "token").filter("reach >= least").drop("least")
+    near = labelled.join(wide, "token").filter("reach >= least").drop("least").join(bits, "node")
+    columns = ("node", "class", "size", "matches", "reach", *BITS)
     band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("int")
-    left = near.select("token", F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("node", "class", "size", "matches", "reach")])
-    right = near.select("token", band.alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "size", "matches", "reach")])
+    left = near.select("token", F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = near.select("token", band.alias("band"), *[F.col(c).alias(f"{c}_b") for c in columns])
     larger_first = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") > F.col("node_b")))
     fits = (100 * F.col("size_b").cast("long") >= percent * F.col("size_a").cast("long")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("size_a") <= F.col("reach_b"))
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
+    fits &= (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
     keys = (left["token"] == right["token"]) & (left["band"] == right["band"])
     met = left.join(right, keys & larger_first & fits & (F.col("class_a") != F.col("class_b")))
     pairs = met.groupBy("node_a", "node_b").agg(F.count("*").alias("n"), F.min(F.least("matches_a", "matches_b")).alias("need"))
     return pairs.filter("n >= need").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def joined_classes(ws: Workspace, classes: DataFrame | None, links: DataFrame, step: int) -> DataFrame:
+    """(node, class) after the links (a, b): components of the graph of classes, in which many links of two are one."""
+    if classes is None:
+        return components(ws, links, f"merge{step}").withColumnRenamed("component", "class")
+    of_a, of_b = (classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")) for x in ("a", "b"))
+    edges = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).distinct()
+    merged = components(ws, edges, f"merge{step}").select(F.col("node").alias("class"), F.col("component"))
+    known = classes.join(merged, "class", "left").select("node", F.coalesce("component", "class").alias("class"))
+    # nodes that had no class of their own kind until now
+    new = merged.select(F.col("class").alias("node"), F.col("component").alias("class")).join(classes.select("node"), "node", "left_anti")
+    return known.union(new)
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 2) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of ``percent`` or more of their ``n``-word shingles.
 
@@ -294,22 +319,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(sketch(spark, ws, docs.select("text"), n))
     described = ws.write(describe(docs, counts, n, percent, most_matches), "described")
+    ws.drop("sketch")
     by_set = described.filter("n_shingles > 0").groupBy("signature").agg(F.min("row_id").alias("node"))
     members = ws.write(described.select("row_id", "n_shingles", "signature").join(by_set, "signature", "left").select("row_id", "n_shingles", F.coalesce("node", "row_id").alias("node")), "members")
-    reps = described.join(members.filter("row_id = node AND n_shingles > 0").select("row_id", "node").distinct(), "row_id").dropDuplicates(["row_id"])
+    one = members.filter("row_id = node AND n_shingles > 0").select(F.col("node"), F.col("row_id")).distinct()
+    reps = ws.write(described.join(one, "row_id").dropDuplicates(["row_id"]), "reps")
+    bits = ws.write(reps.select("node", *BITS), "bits")
+    ws.drop("described")
     shared = ws.write(shared_postings(spark, postings(reps, percent)), "shared")
-    texts = docs
-    links, classes = None, None
+    ws.drop("reps")
+    classes = None  # (node, class) of the nodes in classes of two or more
     for step in range(rounds + 1):
         labelled = shared.withColumn("class", F.col("node"))
         if classes is not None:
-            labelled = shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-        labelled = ws.write(labelled, f"labelled{step}")
-        pairs = contract(ws, labelled, percent, step) if step < rounds else ws.write(candidate_pairs(labelled, percent), "pairs")
-        found = ws.write(verified(spark, texts, pairs, n, percent), f"links{step}")
+            labelled = shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+            labelled = ws.write(labelled, f"labelled{step}")
+        pairs = contract(ws, labelled, percent, step) if step < rounds else ws.write(candidate_pairs(labelled, bits, percent), "pairs")
+        del labelled
         ws.drop(f"labelled{step}")
-        links = found if links is None else links.union(found)
-        classes = components(ws, links, f"classes{step}")
-    ws.drop("described", "shared")
-    out = members.join(classes.withColumnRenamed("component", "component_id"), "node", "left")
+        found = ws.write(verified(spark, docs, pairs, n, percent), f"links{step}")
+        classes = ws.write(joined_classes(ws, classes, found, step), f"classes{step}")
+    ws.drop("shared")
+    out = members.join(classes.withColumnRenamed("class", "component_id"), "node", "left")
     return out.select(F.col("row_id").alias("doc_id"), "n_shingles", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id"))

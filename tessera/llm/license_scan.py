@@ -88,13 +88,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     p = F.lit(percent)
     smallest, largest = min(t[3] for t in known), max(t[3] for t in known)
     words = f"(?<![a-z0-9])(?:{'|'.join(anchors(templates, percent))})(?![a-z0-9])"
-    lines = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).filter(F.col("text").rlike(words))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "unit")).filter(F.col("unit").rlike(words))
-    lines = lines.select("doc_id", "line", F.split(F.trim(F.regexp_replace("unit", NOT_WORD, " ")), " ").alias("words"))
-    n = F.size("words")
-    pairs = F.when(n == 1, F.col("words")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda k: F.concat_ws(" ", F.get("words", k), F.get("words", k + 1))))
-    # repeats make a set smaller than its words, so only the lower bound can be put before it is built
-    units = lines.filter(n * (200 - p) >= p * smallest).select("doc_id", "line", F.array_distinct(pairs).alias("own")).withColumn("unit_size", F.size("own"))
+    found = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).filter(F.col("text").rlike(words))
+
+    def grams_of(unit: Column) -> Column:
+        """The bigram set of a line, null for lines without an anchor or with too few words.
+
+        The words are a lambda's variable, which is evaluated once, not once for each place.
+        """
+
+        def of_words(w: Column) -> Column:
+            n = F.size(w)
+            pairs = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+            # repeats make a set smaller than its words, so only the lower bound can be put before it is built
+            return F.when(n * (200 - p) >= p * smallest, F.array_distinct(F.when(n == 1, w).otherwise(pairs)))
+
+        split = F.split(F.trim(F.regexp_replace(unit, NOT_WORD, " ")), " ")
+        return F.when(unit.rlike(words), F.transform(F.array(split), of_words)[0])
+
+    # a generator stands between the steps, so that no expression is copied into the next one
+    units = F.filter(F.transform(F.split("text", "\n", -1), lambda unit, k: F.struct(k.alias("line"), grams_of(unit).alias("own"))), lambda u: u["own"].isNotNull())
+    units = found.select("doc_id", F.inline(units)).withColumn("unit_size", F.size("own"))
     units = units.filter(F.col("unit_size") * p <= (200 - p) * largest)
 
     def against(k: int, name: str, grams: list[str], size: int) -> Column:
@@ -105,10 +118,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
         row = F.struct((-dice).alias("d"), F.lit(k).cast("long").alias("template"), F.lit(name).alias("license"), shared.alias("shared"), F.lit(size).cast("long").alias("template_size"))
         return F.when(inside, F.when(200 * shared >= p * (F.col("unit_size") + size), row))
 
-    best = units.withColumn("best", F.least(*[against(*t) for t in known])).filter("best IS NOT NULL")
-    return best.select(
-        "doc_id", F.col("line").cast("long").alias("line"), "best.license", "best.template", "best.shared",
-        F.col("unit_size").cast("long").alias("unit_size"), "best.template_size", (-F.col("best.d")).alias("dice_1e6"),
+    best = F.filter(F.array(F.least(*[against(*t) for t in known])), lambda b: b.isNotNull())
+    return units.select("doc_id", "line", "unit_size", F.inline(best)).select(
+        "doc_id", F.col("line").cast("long").alias("line"), "license", "template", "shared",
+        F.col("unit_size").cast("long").alias("unit_size"), "template_size", (-F.col("d")).alias("dice_1e6"),
     )
 
 
