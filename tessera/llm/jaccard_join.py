@@ -229,49 +229,60 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, per
     return met.mapInArrow(check, "a long, b long")
 
 
-def contract(ws: Workspace, labelled: DataFrame, percent: int, step: int) -> DataFrame:
-    """For each node at most one pair: of the candidates next to it or first in a token's postings, in another class, the one met most often."""
-    spark = ws.spark
-    dealt = labelled.repartition(partitions_for(spark), "token").sortWithinPartitions("token", "size", "node")
+def contract(ws: Workspace, labelled: DataFrame, percent: int, step: int, window: int = 16) -> DataFrame:
+    """For each node at most one pair: the likeliest of the ``window`` nodes before and after it in a token's postings, in another class.
+
+    Postings of a token are sorted by another part of the parity bits in each
+    step, which brings similar sets together; of the partners that sizes,
+    reaches and bits allow, the one whose bits differ in the fewest places is
+    taken.  A node that finds none here is left to ``candidate_pairs``.
+    """
+    turned = [BITS[(step + k) % len(BITS)] for k in range(len(BITS))]
+    dealt = labelled.repartition(partitions_for(ws.spark), "token").sortWithinPartitions("token", *turned, "node")
+    names = ("token", "node", "class", "size", "reach", *BITS)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        names = ("token", "node", "class", "size", "reach")
-        first = last = None  # the first row of the token at hand, and the last one
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
-            if last is not None:
-                rows = [np.concatenate([[x, y], r]) for x, y, r in zip(first, last, rows, strict=True)]
-            token, node, cls, size, reach = rows
-            at = np.arange(len(token))
-            new = np.concatenate([[True], token[1:] != token[:-1]])
-            head = np.maximum.accumulate(np.where(new, at, 0))
-            skip = 0 if last is None else 2
-            out = []
-            for other in (np.maximum(at - 1, 0), head):
-                ok = (token == token[other]) & (cls != cls[other]) & (node != node[other]) & (size[other] <= reach) & (size <= reach[other])
-                ok &= 100 * np.minimum(size, size[other]) >= percent * np.maximum(size, size[other])
-                ok[:skip] = False
-                out.append((node[ok], node[other[ok]]))
-            yield pa.record_batch([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], names=["a", "b"])
-            first, last = [r[head[-1]] for r in rows], [r[-1] for r in rows]
-
-    met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
-    best = met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            if held is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+            token, node, cls, size, reach, *bits = rows
+            best, partner = np.full(len(token), 1 << 30), np.zeros(len(token), np.int64)
+            for d in range(1, min(window, len(token) - 1) + 1):
+                x, y = slice(None, -d), slice(d, None)
+                ok = (token[x] == token[y]) & (cls[x] != cls[y]) & (node[x] != node[y]) & (size[x] <= reach[y]) & (size[y] <= reach[x])
+                ok &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+                apart = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in bits)
+                ok &= (100 + percent) * apart <= (100 - percent) * (size[x] + size[y])
+                for own, other in ((x, y), (y, x)):
+                    nearer = ok & (apart < best[own])
+                    best[own] = np.where(nearer, apart, best[own])
+                    partner[own] = np.where(nearer, node[other], partner[own])
+            at = np.flatnonzero(best < 1 << 30)
+            yield pa.record_batch([pa.array(node[at]), pa.array(partner[at]), pa.array(best[at])], names=["a", "b", "apart"])
+            held = [r[-window:] for r in rows]
+
+    met = dealt.mapInArrow(run, "a long, b long, apart long")
+    best = met.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     return ws.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"near{step}")
 
 
-def candidate_pairs(labelled: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def of_many_classes(labelled: DataFrame) -> DataFrame:
+    """Postings of the tokens that nodes of two classes have, and that some of the sizes allow."""
+    wide = labelled.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("size").alias("least")).filter("low != high").select("token", "least")
+    return labelled.join(wide, "token").filter("reach >= least").drop("least")
+
+
+def candidate_pairs(near: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that share enough of their prefixes, by size and place.
 
-    Tokens of one class alone fall away first.  A node meets those of its size
-    band and of the one below it; sizes and reaches, and how many
-    parity bits differ, are part of the join condition and leave few pairs of a
-    token that many nodes share.
+    A node meets those of its size band and of the one below it; sizes and
+    reaches, and how many parity bits differ, are part of the join condition
+    and leave few pairs of a token that many nodes share.
     """
-    wide = labelled.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("size").alias("least")).filter("low != high").select("token", "least")
-    near = labelled.join(wide, "token").filter("reach >= least").drop("least").join(bits, "node")
     columns = ("node", "class", "size", "matches", "reach", *BITS)
     band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("int")
     left = near.select("token", F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -299,7 +310,7 @@ def joined_classes(ws: Workspace, classes: DataFrame | None, links: DataFrame, s
     return known.union(new)
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 2) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 5) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of ``percent`` or more of their ``n``-word shingles.
 
     ``docs`` has doc_id and text.  Rows: doc_id, n_shingles, class_id (of equal
@@ -328,17 +339,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     ws.drop("described")
     shared = ws.write(shared_postings(spark, postings(reps, percent)), "shared")
     ws.drop("reps")
-    classes = None  # (node, class) of the nodes in classes of two or more
+    # (node, class) of the nodes in classes of two or more, and the postings of tokens that two classes have
+    classes, left, last = None, ws.write(shared.join(bits, "node").withColumn("class", F.col("node")), "left0"), False
+    ws.drop("shared")
     for step in range(rounds + 1):
-        labelled = shared.withColumn("class", F.col("node"))
-        if classes is not None:
-            labelled = shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-            labelled = ws.write(labelled, f"labelled{step}")
-        pairs = contract(ws, labelled, percent, step) if step < rounds else ws.write(candidate_pairs(labelled, bits, percent), "pairs")
-        del labelled
-        ws.drop(f"labelled{step}")
+        last = last or step == rounds
+        pairs = ws.write(candidate_pairs(left, percent), "pairs") if last else contract(ws, left, percent, step)
         found = ws.write(verified(spark, docs, pairs, n, percent), f"links{step}")
         classes = ws.write(joined_classes(ws, classes, found, step), f"classes{step}")
-    ws.drop("shared")
+        if last:
+            break
+        labelled = left.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        left = ws.write(of_many_classes(ws.write(labelled, f"labelled{step}")), f"left{step + 1}")
+        del labelled
+        ws.drop(f"labelled{step}", f"left{step}")
+        # a round that links next to nothing leaves the rest to the join
+        last = 100 * found.count() < pairs.count()
     out = members.join(classes.withColumnRenamed("class", "component_id"), "node", "left")
     return out.select(F.col("row_id").alias("doc_id"), "n_shingles", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id"))
