@@ -310,7 +310,7 @@ def joined_classes(ws: Workspace, classes: DataFrame | None, links: DataFrame, s
     return known.union(new)
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 5) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, most_matches: int = 6, rounds: int = 3) -> DataFrame:
     """Classes of texts linked by a Jaccard similarity of ``percent`` or more of their ``n``-word shingles.
 
     ``docs`` has doc_id and text.  Rows: doc_id, n_shingles, class_id (of equal
