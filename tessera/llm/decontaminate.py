@@ -1,4 +1,4 @@
-"""Operator 9: benchmark leaks by latent semantic retrieval, then common subsequences and answers."""
+"""Operator 9: benchmark leaks by latent semantic retrieval and shared word runs, then common subsequences and answers."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, text_rows
+from tessera.llm.common import Workspace, mix64, text_rows
 
 TERMS = 1 << 14
 BETWEEN = re.compile(r"[\W_]+")
+#: Characters of scripts written without blanks (Thai to Myanmar, Khmer, kana and Han); each counts as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def plain(word: bytes) -> str:
@@ -23,8 +25,14 @@ def plain(word: bytes) -> str:
     return BETWEEN.sub("", word.decode("utf-8", "replace").lower())
 
 
+def written(text: str | None) -> bytes:
+    """A text as UTF-8, with blanks around the characters of unspaced scripts."""
+    text = text or ""
+    return (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).encode("utf-8", "surrogatepass")
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for x in (text or "").encode("utf-8", "surrogatepass").split() if (w := plain(x))]
+    return [w for x in written(text).split() if (w := plain(x))]
 
 
 class Codes(dict):
@@ -42,7 +50,7 @@ class Codes(dict):
         return code
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        words = written(text).lower().split()
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return codes[codes > -2] if len(codes) else codes
 
@@ -54,6 +62,7 @@ class Passage:
     item: int
     codes: list[int]
     answer: list[int]
+    whole: bool = False  # an item of few words, which leaks only word by word
 
     def common(self, other: list[int]) -> int:
         """Length of the longest common subsequence with ``other``, a bit for each of the passage's words."""
@@ -95,6 +104,8 @@ def passages_of(items: list[tuple[int, str | None, str | None]], window: int, le
     for item, text, answer in items:
         codes = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         if len(codes) < least_words:
+            if codes:
+                passages.append(Passage(item, codes, [], True))
             continue
         known = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(answer)] or codes[-answer_words:]
         for k in range(0, max(1, len(codes) - window // 2), window // 2):
@@ -190,6 +201,48 @@ def latent_space(spark: SparkSession, passages: list[Passage], weight: np.ndarra
     return basis
 
 
+def run_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` words from each place on; 0 where not all of them are the benchmark's."""
+    size = max(0, len(codes) - n + 1)
+    keys, known = np.zeros(size, np.uint64), np.ones(size, bool)
+    for k in range(n):
+        part = codes[k : k + size]
+        keys = mix64(keys + part.astype(np.uint64) + np.uint64(k + 1))
+        known &= part >= 0
+    return np.where(known, keys | np.uint64(1), np.uint64(0))
+
+
+class Runs:
+    """The word runs of the passages: ``least`` words of long ones from every place on, all words of shorter ones."""
+
+    BITS = 20
+
+    def __init__(self, passages: list[Passage], least: int):
+        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for p, x in enumerate(passages):
+            n = len(x.codes) if x.whole else min(least, len(x.codes))
+            by_size.setdefault(n, []).append((run_keys(np.array(x.codes, np.int64), n), p))
+        self.tables = {}
+        for n, own in sorted(by_size.items()):
+            keys = np.concatenate([k for k, _ in own])
+            passage = np.concatenate([np.full(len(k), p) for k, p in own])
+            offset = np.concatenate([np.arange(len(k)) for k, _ in own])
+            order = np.argsort(keys, kind="stable")
+            some = np.zeros(1 << self.BITS, bool)
+            some[keys >> np.uint64(64 - self.BITS)] = True
+            self.tables[n] = some, keys[order], passage[order], offset[order]
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in ``codes``, passage, place in it) of the runs that both have, for each size of runs."""
+        for n, (some, keys, passage, offset) in self.tables.items():
+            own = run_keys(codes, n)
+            at = np.flatnonzero(some[own >> np.uint64(64 - self.BITS)] & (own > 0))
+            low = np.searchsorted(keys, own[at])
+            times = np.searchsorted(keys, own[at], "right") - low
+            hit = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield np.repeat(at, times), passage[hit], offset[hit]
+
+
 HITS = "doc_id long, item_id long, cosine double, common_words long, passage_words long, answer_found boolean, first_word long"
 
 
@@ -206,6 +259,7 @@ class Search:
     cosine: float
     accept: float
     paraphrase: float
+    runs: Runs
 
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """Latent sums of the windows of one document, one for each step of words."""
@@ -224,6 +278,19 @@ class Search:
             out += total[k : k + count]
         return out
 
+    def met(self, docs: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """(document, passage, where the passage would start) by shared runs, once for each step of words."""
+        apart = np.full(1, -1, np.int64)
+        flat = np.concatenate([x for _, codes in docs for x in (codes, apart)]).astype(np.int64)
+        first = np.cumsum([0, *(len(codes) + 1 for _, codes in docs)])
+        found: dict[tuple[int, int, int], int] = {}
+        for place, passage, offset in self.runs.find(flat):
+            owner = np.searchsorted(first, place, "right") - 1
+            start = place - first[owner] - offset
+            for o, p, k in zip(owner.tolist(), passage.tolist(), start.tolist(), strict=True):
+                found.setdefault((o, p, k if self.passages[p].whole else k // self.step), k)
+        return [(o, p, k) for (o, p, _), k in found.items()]
+
     def judge(self, docs: list[tuple[int, np.ndarray]], parts: list[np.ndarray]) -> list[tuple]:
         """The leaks of some documents, given their windows."""
         all_windows = np.concatenate(parts)
@@ -233,47 +300,64 @@ class Search:
         owner = np.repeat(np.arange(len(parts)), sizes)
         first = np.concatenate([[0], np.cumsum(sizes)])
         best: dict[tuple[int, int], tuple] = {}
-        for w, p in zip(*np.nonzero(scores >= bound), strict=True):
-            doc, codes = docs[owner[w]]
+
+        def compare(o: int, p: int, w: int, begin: int, end: int) -> None:
             passage = self.passages[p]
             n = len(passage.codes)
-            start = int(w - first[owner[w]]) * self.step
-            spare = max(self.step, (n * 5 // 4 - self.window) // 2)
-            near = codes[max(0, start - spare) : start + self.window + spare]
+            near = docs[o][1][begin:end]
             if passage.shared_words(near) < self.paraphrase * n:
-                continue
+                return
             near = near.tolist()
-            common = passage.common(near)
-            if common < self.paraphrase * n:
-                continue
-            answered = passage.answered(near)
+            if passage.whole:
+                common, answered = (n, True) if near == passage.codes else (0, False)
+            elif (common := passage.common(near)) >= self.paraphrase * n:
+                answered = passage.answered(near)
+            else:
+                return
             if common >= self.accept * n or answered:
-                row = (common / n, float(scores[w, p] / bound[w, 0] * self.cosine), common, n, answered, max(0, start - spare))
-                key = (int(owner[w]), passage.item)
-                if key not in best or row > best[key]:
+                row = (common / n, float(scores[w, p] / bound[w, 0] * self.cosine), common, n, answered, begin)
+                if (key := (o, passage.item)) not in best or row > best[key]:
                     best[key] = row
+
+        for w, p in zip(*np.nonzero(scores >= bound), strict=True):
+            o, n = int(owner[w]), len(self.passages[p].codes)
+            start = int(w - first[o]) * self.step
+            spare = max(self.step, (n * 5 // 4 - self.window) // 2)
+            compare(o, int(p), w, max(0, start - spare), start + self.window + spare)
+        for o, p, start in self.met(docs):
+            n = len(self.passages[p].codes)
+            w = first[o] + min(max(0, start) // self.step, sizes[o] - 1)
+            if self.passages[p].whole:
+                compare(o, p, w, start, start + n)
+            elif best.get((o, self.passages[p].item), (0,))[0] < 1:  # a whole passage is not surpassed
+                spare = self.step + (self.window - n) // 2
+                compare(o, p, w, max(0, start - spare), start + n + spare)
         return [(docs[o][0], item, *row[1:]) for (o, item), row in sorted(best.items())]
 
 
 def find_leaks(
     spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 48, step: int = 8, rank: int = 128, cosine: float = 0.5, accept: float = 0.7,
-    paraphrase: float = 0.5, answer_words: int = 5, least_words: int = 8, common_share: float = 0.15, most_bytes: int = 64 << 20,
+    paraphrase: float = 0.5, answer_words: int = 5, least_words: int = 8, common_share: float = 0.15, most_bytes: int = 64 << 20, run_words: int = 5,
 ) -> DataFrame:
     """Benchmark items (item_id, text and maybe answer) that occur in documents (doc_id, text), exactly or in other words.
 
     Items are cut into passages of ``window`` words.  TF-IDF weighs the
     benchmark's words by their frequency in all passages of the corpus; words
-    in more than ``common_share`` of them weigh nothing.  The passages' latent
+    in more than ``common_share`` of them weigh half of that, but never nothing,
+    for a benchmark item copied often makes its own words frequent.  The passages' latent
     space comes from a distributed randomised SVD.  Every window of a document
     (a start each ``step`` words) is projected into it; where its cosine with a
     passage reaches ``cosine``, the words around it are compared with the
-    passage: it is a leak if their longest common subsequence covers ``accept``
+    passage, and so are the words around every run of ``run_words`` words that
+    a document shares with it, whatever they weigh: it is a leak if their longest common subsequence covers ``accept``
     of the passage, or ``paraphrase`` of it and the answer stands there word by
     word (the answer column, or else the item's last ``answer_words`` words).
 
     Rows, one for each leaking document and item, its best window: doc_id,
     item_id, cosine, common_words, passage_words, answer_found, first_word.
-    Items of fewer than ``least_words`` words and null texts have no leaks; an
+    An item of fewer than ``least_words`` words leaks where all its words stand
+    in a row.  Characters of scripts written without blanks count as words.
+    Items without words and null texts have no leaks; an
     item twice in the table gives one row.  The benchmark goes to the tasks
     whole, so more than ``most_bytes`` of it raise: call with parts of it then.
     """
@@ -290,15 +374,17 @@ def find_leaks(
     ws = Workspace(spark, "leaks")
     codes = ws.write(coded(docs, vocabulary), "codes")
     df, n = document_frequency(ws, codes, len(vocabulary), window)
-    weight = np.where(df > common_share * max(n, 20), 0, np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
+    weight = ((np.log((n + 1) / (df + 1)) + 0.1) * np.where(df > common_share * max(n, 20), 0.5, 1)).astype(np.float32)
     term = term_of(vocabulary)
-    space = latent_space(spark, passages, weight, term, min(rank, len(passages)))
+    many = [p for p in passages if not p.whole]
+    space = latent_space(spark, many, weight, term, min(rank, len(many))) if many else np.zeros((TERMS, 1), np.float32)
     latent = weight[:, None] * space[term]  # a row for each word of the benchmark
-    sums = np.array([latent[sorted(set(p.codes))].sum(axis=0) for p in passages])
+    sums = np.array([latent[sorted(set(p.codes))].sum(axis=0) * (not p.whole) for p in passages])
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    # the place of a word's latent row; -1 for words without weight and, at the end, for code -1
-    place = np.append(np.where(weight > 0, np.cumsum(weight > 0) - 1, -1), -1)
-    shared = spark.sparkContext.broadcast(Search(passages, latent[weight > 0], place, np.ascontiguousarray(sums.T, np.float32), window, step, cosine, accept, paraphrase))
+    # the place of a word's latent row; -1, at the end, for code -1
+    place = np.append(np.arange(len(weight)), -1)
+    targets = np.ascontiguousarray(sums.T, np.float32)
+    shared = spark.sparkContext.broadcast(Search(passages, latent, place, targets, window, step, cosine, accept, paraphrase, Runs(passages, run_words)))
     kind = "<i2" if len(vocabulary) < 1 << 15 else "<i4"
 
     def search(batches) -> Iterator[pa.RecordBatch]:

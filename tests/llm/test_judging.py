@@ -183,6 +183,26 @@ def test_leaks(spark, odd, none):
         decontaminate.find_leaks(spark, frame, table, most_bytes=10)
 
 
+def test_leaks_of_items_copied_often(spark):
+    """One item in a third of the rows makes all its words frequent; every copy is found all the same."""
+    items = [(k, words(700 + k, 24)) for k in range(10)]
+    docs = {k: words(k, 60) for k in range(200)}
+    w = items[3][1].split()
+    copies = {200 + k: [items[3][1], words(900 + k, 20) + " " + items[3][1], items[3][1] + " " + words(900 + k, 30)][k % 3] for k in range(100)}
+    near = {300: " ".join(x if k % 6 else "other" for k, x in enumerate(w))}
+    frame = spark.createDataFrame([*docs.items(), *copies.items(), *near.items()], "doc_id long, text string").repartition(3)
+    found = decontaminate.find_leaks(spark, frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, 3) for k in [*copies, *near]}
+
+
+def test_leaks_of_short_items(spark):
+    items = [(0, "Who wrote Quux the elder?"), (1, "zyzzyva"), (2, "水是生命之源"), (3, "这个问题的答案是一个很长的句子")]
+    docs = [(0, "so: who wrote Quux, the elder"), (1, "who wrote the elder Quux"), (2, "a zyzzyva b"), (3, "人说水是生命之源。"), (4, "水是生命"), (5, "前这个问题的答案是一个很长的句子后"), (6, "zyzzyvas")]
+    found = decontaminate.find_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (2, 1), (3, 2), (5, 3)}
+    assert all(r.answer_found and r.common_words == r.passage_words for r in found if r.item_id < 3)
+
+
 def test_common_subsequence():
     p = decontaminate.Passage(0, [1, 2, 3, 2, 5], [2, 5])
     assert p.common([9, 1, 2, 2, 5]) == 4 and p.common([]) == 0 and p.common([5, 2, 3, 2, 1]) == 3
