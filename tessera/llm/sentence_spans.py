@@ -32,10 +32,10 @@ def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -
     """(first sentence, sentences, 64-bit hash) of each run of ``run`` sentences with enough words.
 
     Sentences without a word character belong to the run around them without
-    counting.  A run of fewer than ``least_words`` words is left out, as
-    headings and formulas would be; a shorter run that has ``long_words``
-    words counts too, so that a passage of a
-    few long sentences is seen.
+    counting.  Where ``run`` sentences have fewer than ``least_words`` words,
+    the run goes on until it has them, so that a passage of short sentences is
+    seen; a shorter run that has ``long_words`` words counts too, so that a
+    passage of a few long sentences is seen.
     """
     kept = [k for k, x in enumerate(parts) if LETTERS.search(x)]
     one = [normal(parts[k]) for k in kept]
@@ -43,12 +43,14 @@ def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -
     starts, sizes, hashes = [], [], []
     for k in range(len(kept)):
         total = 0
-        for m in range(1, min(run, len(kept) - k) + 1):
+        for m in range(1, len(kept) - k + 1):
             total += words[k + m - 1]
-            if total >= (least_words if m == run else long_words):
+            if total >= (least_words if m >= run else long_words):
                 starts.append(kept[k])
                 sizes.append(kept[k + m - 1] - kept[k] + 1)
                 hashes.append(xxhash.xxh3_64_intdigest(b"\n".join(one[k : k + m])) - (1 << 63))
+            if m >= run and total >= least_words:
+                break
     return starts, sizes, hashes
 
 
@@ -71,7 +73,7 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words:
     """``docs`` (doc_id, text, ...) with repeated sentence runs removed from text.
 
     Every run of ``run`` consecutive sentences (of fewer, if they have
-    ``long_words`` words) is hashed; of equal runs the
+    ``long_words`` words; of more, until they have ``least_words``) is hashed; of equal runs the
     first by (doc_id, place) stays, and each sentence that any later one covers
     goes.  Adds n_sentences and n_removed (long) and original_chars; a document
     that loses nothing keeps its text as it was.  Null text stays null with no

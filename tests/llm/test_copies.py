@@ -181,6 +181,35 @@ def test_spans(spark):
     assert all(r.text == texts[r.doc_id] for r in got if not r.n_removed)
 
 
+def test_spans_of_short_sentences(spark):
+    """A passage of 60 words in sentences of three has spans, and so has one of single words."""
+    three = "".join(f"We saw thing{k}. " for k in range(20))
+    single = "".join(f"word{k}!! " for k in range(40))
+    texts = {1: "Begin here now. " + three + "End.", 2: "Other start is. " + three + "Last one.", 3: single, 4: "Quite another beginning. " + single, 5: "We saw thing3. We saw thing4. We saw thing5."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in sentence_spans.dedup_spans(spark, df).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == {1: 0, 2: 20, 3: 0, 4: 40, 5: 0}
+    assert got[2].text == "Other start is. Last one." and got[4].text == "Quite another beginning. "
+
+
+def test_op10_with_runs_of_short_sentences(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    seen, want = set(), {}
+    for k in sorted(docs):
+        parts = sentence_spans.sentences(docs[k])
+        real = [i for i, p in enumerate(parts) if re.search(r"\w", p)]
+        own = [" ".join(parts[j].lower().split()) for j in real]
+        lost = set()
+        for i in range(len(real)):
+            ends = [m for m in range(i + 1, len(real) + 1) if len(" ".join(own[i:m]).split(" ")) >= (12 if m - i >= 3 else 24)]
+            for m in [m for m in ends if m - i < 3] + [m for m in ends if m - i >= 3][:1]:
+                run = tuple(own[i:m])
+                lost |= set(range(real[i], real[m - 1] + 1)) if run in seen else set()
+                seen.add(run)
+        want[k] = len(lost)
+    assert {r.doc_id: r.n_removed for r in queries.op10_sentence_spans(spark, SF).collect()} == want
+
+
 def test_spans_odd_rows(spark, odd, none):
     rows = sentence_spans.dedup_spans(spark, odd).collect()
     assert len(rows) == odd.count() and {r.doc_id: r.text for r in rows}[0] is None
