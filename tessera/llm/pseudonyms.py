@@ -158,10 +158,13 @@ def _iban_check(text: str) -> int:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    if _iban_check(text) != 1:
+    """Checked and permuted without blanks, which are put back at their places."""
+    plain = text.replace(" ", "")
+    if not 15 <= len(plain) <= 34 or _iban_check(plain) != 1:
         return None
-    body = permute_text(text[4:], key, "iban" + text[:2])
-    return f"{text[:2]}{98 - _iban_check(text[:2] + '00' + body):02d}{body}"
+    body = permute_text(plain[4:], key, "iban" + plain[:2])
+    new = iter(f"{plain[:2]}{98 - _iban_check(plain[:2] + '00' + body):02d}{body}")
+    return "".join(c if c == " " else next(new) for c in text)
 
 
 def _aws(text: str, key: bytes) -> str | None:
@@ -174,13 +177,25 @@ def _secret(text: str, key: bytes) -> str | None:
     return name + mark + permute_text(value, key, "secret", alphabet=hexes)
 
 
+def group_ends(text: str) -> Iterator[str]:
+    """``text`` and what is left of it without its last groups of letters and digits, longest first."""
+    yield text
+    for m in reversed(list(re.finditer("[ -]", text))):
+        yield text[: m.start()]
+
+
 @dataclass(frozen=True)
 class Kind:
-    """A pattern and the pseudonym of what it finds; None from ``change`` leaves a match that is not valid."""
+    """A pattern and the pseudonym of what it finds; None from ``change`` leaves a match that is not valid.
+
+    A ``grouped`` match may be read too far, so its shorter readings that end
+    with a group are tried too.
+    """
 
     name: str
     pattern: str
     change: Callable[[str, bytes], str | None]
+    grouped: bool = False
 
 
 #: Tried in this order at each place; patterns written for this library.
@@ -188,11 +203,11 @@ KINDS = (
     Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", _email),
     Kind("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _aws),
     Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?=[^\s\"']*[0-9])[^\s\"']*[A-Za-z0-9]", _secret),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", _iban),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])", _iban, True),
     Kind("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", _ip),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9]|[./-][0-9])", _date),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
-    Kind("card", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])", _card),
+    Kind("card", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card, True),
     Kind("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])", _phone),
 )
 
@@ -217,11 +232,17 @@ class Pseudonymizer:
         while m := self.pattern.search(text, begin):
             # a match that is not valid gives way to the later kinds at the same place
             for kind, pattern in self.single:
-                if (own := pattern.match(text, m.start())) and (new := self.change(kind.name, own[0])) is not None:
-                    out += [text[at : m.start()], new]
-                    at = begin = own.end()
-                    found[kind.name] = found.get(kind.name, 0) + 1
-                    break
+                if not (own := pattern.match(text, m.start())):
+                    continue
+                for read in group_ends(own[0]) if kind.grouped else (own[0],):
+                    if (new := self.change(kind.name, read)) is not None:
+                        break
+                else:
+                    continue
+                out += [text[at : m.start()], new]
+                at = begin = m.start() + len(read)
+                found[kind.name] = found.get(kind.name, 0) + 1
+                break
             else:
                 begin = m.start() + 1
         return "".join([*out, text[at:]]) if out else text, found
@@ -230,6 +251,8 @@ class Pseudonymizer:
 def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and pii map<string, long> of the counts by kind.
 
+    Cards and IBANs in groups are read as long as they are valid, so digits that
+    follow after a blank (an expiry, a count) stay as they are.
     Numbers are replaced only if valid (Luhn, IBAN check digits, octets, real
     dates); addresses, telephone numbers and secrets by their form.  Null text
     stays null, other columns pass through, a column named pii is replaced.

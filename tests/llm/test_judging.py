@@ -111,6 +111,23 @@ def test_pseudonyms_keep_their_format():
     assert change(None) == (None, {})
 
 
+def test_cards_and_ibans_before_other_digits():
+    change = pseudonyms.Pseudonymizer(KEY)
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    for kind, text, rest in [
+        *(("card", card, r) for r in (" 12/27", " 123", " 2 items", " 12-27", "", " 4111", "-12", " 5500 0000 0000 0004 9")),
+        ("card", "378282246310005", " 1234"), ("iban", iban, ""), ("iban", iban, " and"), ("iban", iban, " 1234"), ("iban", iban, " PAID 12"), ("iban", "DE89 3704 0044 0532 0130 00", " EUR 5"), ("iban", "NO93 8601 1117 947", "."),
+    ]:
+        new, found = change(f"pay {text}{rest}")
+        assert found[kind] == (2 if "5500" in rest else 1) and new.startswith("pay "), (text, rest, new, found)
+        own = new[4 : 4 + len(text)]
+        assert own == change(text)[0] != text and change(own)[1] == {kind: 1}
+        assert [c if c == " " else "x" for c in own] == [c if c == " " else "x" for c in text]
+        assert "5500" in rest or new[4 + len(text) :] == rest
+    assert change(iban)[0].replace(" ", "") == change(iban.replace(" ", ""))[0]
+    assert change("4111 1111 1111 1112 12/27")[1] == {} and change("GB83 WEST 1234 5698 7654 32")[1] == {}
+
+
 def test_pseudonyms_are_one_to_one():
     change = pseudonyms.Pseudonymizer(KEY)
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1999, 2000) for m in range(1, 13) for d in range(1, 29)]
