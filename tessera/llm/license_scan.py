@@ -26,6 +26,17 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("proprietary", "Copyright (c). All rights reserved."),
 )
+#: Whole notices, looked for in passages beside the templates; numbered after them.
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+)
+#: What a copyright line says around years and holder, which do not count there.
+RESERVED = "copyright(?: c)?(?: [a-z0-9]+){0,12}? all rights reserved"
 #: Words too common in English to be of use as anchors; they are chosen last.
 COMMON = ("a", "and", "any", "be", "by", "following", "general", "in", "is", "may", "not", "of", "or", "published", "subject", "the", "this", "to", "under", "with", "you")
 NOT_WORD = "[^a-z0-9]+"
@@ -69,7 +80,89 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
+def passages(docs: DataFrame, templates=TEMPLATES, percent: int = 80, notices=NOTICES) -> DataFrame:
+    """Notices of ``docs`` that no line holds as a whole, in the columns of ``lines``.
+
+    The words of all lines in a row are compared in windows of a template's
+    word count.  A pair of words that holds an anchor and stands in the template
+    chooses the start, wherever else the template goes.  A copyright line is
+    compared without its years and holder.  Windows that touch a line which
+    ``lines`` finds are left out; of windows that meet, the one that shares most
+    stays, then the better, the earlier template, the earlier place.  ``line``
+    is the one where the window begins.
+    """
+    whole = [(k, name, normal(text).split(" ")) for k, (name, text) in enumerate((*templates, *notices)) if normal(text)]
+    known = [(k, name, w, bigrams(w), set(anchors([(name, " ".join(w))], percent))) for k, name, w in whole]
+    own_lines = [g for _, text in templates if (g := bigrams(normal(text).split(" ")))]
+    every = sorted(set().union(*[t[4] for t in known]) | {"reserved"})
+    found = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).filter(F.col("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(every)})(?![a-z0-9])"))
+
+    def words_in(unit: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(unit, NOT_WORD, " "), " "), lambda w: w != "")
+
+    def pairs(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n == 1, w).when(n > 1, F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+    def shared_with(own: Column, grams: list[str]) -> Column:
+        return F.size(F.array_intersect(own, F.array(*map(F.lit, grams)))).cast("long")
+
+    def reaches(unit: Column) -> Column:
+        """Whether a line is found by itself."""
+        def some(own: Column) -> Column:
+            out = F.lit(False)
+            for g in own_lines:
+                out = out | (200 * shared_with(own, g) >= percent * (F.size(own) + len(g)))
+            return out
+
+        return F.exists(F.array(F.array_distinct(pairs(words_in(unit)))), lambda own: own.isNotNull() & some(own))
+
+    # generators stand between the steps, so that no expression is copied into the next one
+    split = F.split("text", "\n", -1)
+    flat = F.flatten(F.transform(split, lambda unit, k: F.transform(words_in(unit), lambda w: F.struct(w.alias("w"), k.alias("line")))))
+    once = found.select("doc_id", F.inline(F.array(F.struct(split.alias("units"), flat.alias("flat")))))
+    once = once.select("doc_id", "units", F.inline(F.array(F.struct(F.col("flat.w").alias("w"), F.col("flat.line").alias("at"), pairs(F.col("flat.w")).alias("pairs")))))
+
+    def hit(name: str, k: int, start: Column, n: Column, shared: Column, unit: Column, size: int) -> Column:
+        row = {"s": -shared, "d": -F.floor(2_000_000 * shared / (unit + size)), "template": F.lit(k), "start": start, "end": start + n - 1, "license": F.lit(name), "shared": shared, "unit_size": unit, "template_size": F.lit(size)}
+        return F.struct(*[c.cast("string" if x == "license" else "long").alias(x) for x, c in row.items()])
+
+    def windows(k: int, name: str, own: list[str], grams: list[str], marks: set[str]) -> Column:
+        n, size = len(own), len(grams)
+        order = [" ".join(own[j : j + 2]) for j in range(max(1, n - 1))]
+        held = [(j, g) for j, g in enumerate(order) if marks & set(g.split(" "))]
+        places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(g).alias("g")) for j, g in held])
+        choose = F.array(*[F.lit(g) for g in sorted({g for _, g in held})])
+        met = F.filter(F.transform("pairs", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_contains(choose, x["g"]))
+        starts = F.array_distinct(F.flatten(F.transform(met, lambda x: F.transform(F.filter(places, lambda y: y["g"] == x["g"]), lambda y: x["i"] - y["j"]))))
+        starts = F.filter(starts, lambda i: (i >= 0) & (i + n <= F.size("w")))
+        scored = F.transform(starts, lambda i: F.transform(F.array(F.array_distinct(F.slice("pairs", i + 1, F.lit(max(1, n - 1))))), lambda g: hit(name, k, i, F.lit(n), shared_with(g, grams), F.size(g), size))[0])
+        return F.filter(scored, lambda h: 200 * h["shared"] >= percent * (h["unit_size"] + h["template_size"]))
+
+    all_hits = [windows(*t) for t in known]
+    for k, name, own, grams, _ in known:
+        if " ".join(own) == "copyright c all rights reserved":
+            text = F.transform(F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == "copyright"), lambda x: F.struct(
+                x["i"].alias("i"), F.regexp_extract(F.array_join(F.slice("w", x["i"] + 1, F.lit(17)), " "), "^" + RESERVED, 0).alias("t")))
+            all_hits.append(F.transform(F.filter(text, lambda x: x["t"] != ""), lambda x: hit(name, k, x["i"], F.size(F.split(x["t"], " ")), F.lit(len(grams)), F.lit(len(grams)), len(grams))))
+    # one column for all templates; lines are looked at only where there are windows
+    hits = once.select("doc_id", "units", "at", F.inline(F.array(F.struct(F.array_sort(F.concat(*all_hits)).alias("hits"))))).filter("size(hits) > 0")
+    taken = F.transform("units", lambda u: reaches(u))
+    hits = hits.select("doc_id", "at", "hits", F.inline(F.array(F.struct(taken.alias("taken")))))
+    free = F.filter("hits", lambda h: ~F.exists(F.slice("taken", F.col("at")[h["start"]] + 1, F.col("at")[h["end"]] - F.col("at")[h["start"]] + 1), lambda x: x))
+    hits = hits.select("doc_id", "at", F.inline(F.array(F.struct(free.alias("free")))))
+    chosen = F.aggregate("free", F.slice("free", 1, 0), lambda got, h: F.when(F.exists(got, lambda g: (g["start"] <= h["end"]) & (h["start"] <= g["end"])), got).otherwise(F.concat(got, F.array(h))))
+    return hits.select("doc_id", "at", F.inline(chosen)).select(
+        "doc_id", F.col("at")[F.col("start").cast("int")].cast("long").alias("line"), "license", "template", "shared", "unit_size", "template_size", (-F.col("d")).alias("dice_1e6"),
+    )
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80, notices=NOTICES) -> DataFrame:
+    """Licence notices of ``docs``: the ``lines`` that are one, and the ``passages`` that hold one over, or in a part of, other lines."""
+    return lines(docs, templates, percent).unionByName(passages(docs, templates, percent, notices))
+
+
+def lines(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) that reach ``percent`` with a licence template, with the best template of each.
 
     Every line of a text is a unit.  Its normal form has ASCII letters in lower
@@ -126,7 +219,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
 
 
 def scan_sql(templates=TEMPLATES, percent: int = 80) -> str:
-    """The same scan in DuckDB SQL, without anchors."""
+    """``lines`` in DuckDB SQL, without anchors."""
     quoted = ", ".join(f"({k}, '{name}', '{normal(text)}')" for k, (name, text) in enumerate(templates) if normal(text))
     return f"""
 WITH known AS (

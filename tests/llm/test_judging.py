@@ -48,6 +48,22 @@ def test_licence_variants(spark, odd, none):
     assert "PythonUDF" not in df.sparkSession._jsparkSession.sessionState().executePlan(license_scan.scan(df)._jdf.queryExecution().logical(), license_scan.scan(df)._jdf.queryExecution().mode()).toString()
 
 
+def test_licences_in_common_layouts(spark):
+    import textwrap
+
+    by = dict(zip(("apache", "mit", "gpl", "mpl", "bsd", "isc"), (t for _, t in license_scan.NOTICES), strict=True))
+    wrapped = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 72))
+    cases = [
+        ("MIT", by["mit"]), ("MIT", wrapped(by["mit"])), ("GPL-3.0", wrapped(by["gpl"])), ("GPL-3.0", wrapped(license_scan.TEMPLATES[6][1])), ("BSD", wrapped(license_scan.TEMPLATES[9][1] + ": one")),
+        ("Apache-2.0", wrapped(by["apache"])), ("Apache-2.0", by["apache"][:200]), ("MPL-2.0", by["mpl"]), ("ISC", wrapped(by["isc"])), ("MIT", "See below. Released under the MIT License. It has no other terms than these."),
+        ("proprietary", "Copyright (c) 2024 Example Corporation. All rights reserved."), ("proprietary", "Copyright 2020-2024 A. Person\nAll rights reserved."),
+    ]
+    df = spark.createDataFrame([(k, f"int main;\n\n{t}\nmore words follow here") for k, (_, t) in enumerate(cases)] + [(99, "We license nothing, and the Software is free of charge. All rights reserved.")], "doc_id long, text string")
+    got = license_scan.scan(df).collect()
+    assert sorted((r.doc_id, r.license, r.line) for r in got) == [(k, name, 2) for k, (name, _) in enumerate(cases)]
+    assert all(r.dice_1e6 >= 800_000 for r in got)
+
+
 def base(text):
     text = text or ""
     w = [x for x in re.split("[\x20\x09-\x0d]+", text) if x]
