@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace, text_rows
-from tessera.llm.tokens import END_ID, Encoder
+from tessera.llm.tokens import END_ID, encoder_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local_rank long"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
@@ -81,7 +81,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int | None = END_I
     """Pieces of at most ``size`` ids of each document, with their rank among those of a length in their partition."""
 
     def run(batches):
-        encoder, part, ranks = Encoder(path, end_id), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, part, ranks = encoder_for(path, end_id), TaskContext.get().partitionId(), defaultdict(int)
         for batch, texts in text_rows(batches):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):

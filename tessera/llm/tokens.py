@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,12 @@ class Encoder:
             self.memory[run] = np.array(got.ids, "<u4").tobytes()
 
 
+@lru_cache(2)
+def encoder_for(path: str, end_id: int | None = END_ID) -> Encoder:
+    """The encoder of a Python worker, which keeps it and what it remembers from one task to the next."""
+    return Encoder(path, end_id)
+
+
 BLOCKS = (
     "shard int, block int, shard_offset long, n_tokens long, first_id long, last_id long, dictionary string, "
     "width int, doc_ids array<long>, lengths array<long>, ends array<long>, payload binary"
@@ -104,7 +111,7 @@ def _blocks(path: str, dictionary: bytes, end_id: int | None) -> Iterator:
     """Per partition (its number is the shard): blocks of documents, each compressed on its own."""
 
     def run(batches):
-        encoder, shard, block, before = Encoder(path, end_id), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, before = encoder_for(path, end_id), TaskContext.get().partitionId(), 0, 0
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True)
@@ -156,7 +163,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None = END_ID, sa
     width_of = np.dtype("<u2")
 
     def run(batches):
-        encoder = Encoder(path, end_id)
+        encoder = encoder_for(path, end_id)
         width = width_of if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         for _, texts in text_rows(batches):
             rows = [np.frombuffer(encoder.encode(x), "<u4").astype(width).tobytes()[:sample_bytes] for x in texts]
