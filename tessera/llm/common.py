@@ -57,6 +57,17 @@ class Workspace:
         jvm.System.gc()
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Each of ``names``, with underscores before it until no column of ``taken`` has it (in any case)."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_rows(batches, text: str = "text"):
     """(batch, list of UTF-8 texts as str, None for null) for each Arrow batch that has rows."""
     for batch in batches:

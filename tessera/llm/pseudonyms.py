@@ -48,11 +48,29 @@ def permute(value: int, size: int, key: bytes, tweak: str, valid: Callable[[int]
 RADIX = ((re.compile("[0-9]"), "0123456789"), (re.compile("[a-z]"), "abcdefghijklmnopqrstuvwxyz"), (re.compile("[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
+#: Characters permuted as one number; longer texts go in blocks, so that the work stays linear.
+BLOCK = 64
+
+
 def permute_text(text: str, key: bytes, tweak: str, alphabet: str | None = None, valid: Callable[[str], bool] | None = None) -> str:
     """``text`` with its ASCII letters and digits permuted as one number, each within its class; other characters stay.
 
     With ``alphabet`` every character of it is permuted within the alphabet.
+    Of a long text each ``BLOCK`` characters are a number; those before are part
+    of its tweak, which can be undone from the front, so this is one to one too.
+    ``valid`` is for texts of one block.
     """
+    if len(text) <= BLOCK:
+        return _permute_block(text, key, tweak, alphabet, valid)
+    seen, out = hashlib.blake2b(f"{len(text)}".encode(), key=key, digest_size=16), []
+    for k in range(0, len(text), BLOCK):
+        block = text[k : k + BLOCK]
+        out.append(_permute_block(block, key, f"{tweak}|{seen.hexdigest()}", alphabet, None))
+        seen.update(block.encode("utf-8", "surrogatepass"))
+    return "".join(out)
+
+
+def _permute_block(text: str, key: bytes, tweak: str, alphabet: str | None, valid: Callable[[str], bool] | None) -> str:
     sets = [alphabet if alphabet and c in alphabet else None if alphabet else next((a for p, a in RADIX if p.fullmatch(c)), None) for c in text]
     value, size = 0, 1
     for c, s in zip(text, sets, strict=True):
@@ -88,9 +106,13 @@ def luhn_digit(payload: str) -> str:
 
 
 def _email(text: str, key: bytes) -> str | None:
+    """Marks before the name stay outside the address; the name may not end with a full stop."""
     local, _, domain = text.rpartition("@")
+    own = local.lstrip("._%+-")
+    if not own or own[-1] == ".":
+        return None
     name, dot, top = domain.rpartition(".")
-    return permute_text(local, key, "email") + "@" + permute_text(name, key, "domain") + dot + top
+    return local[: len(local) - len(own)] + permute_text(own, key, "email") + "@" + permute_text(name, key, "domain") + dot + top
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -132,7 +154,10 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 def _date(text: str, key: bytes) -> str | None:
     """A real date of the years 1900 to 2099; its order (year, day or month first), marks and padding stay.
 
-    Where both readings of 05/04/2024 are dates, the day comes first.
+    Where both readings of 05/04/2024 are dates, the day comes first.  Days of
+    the month up to 12 are permuted among themselves, and so are the others, in
+    every order: a month-first pseudonym then never reads as a day-first one,
+    and a date written in two ways keeps one pseudonym.
     """
     parts = re.split("([-/.])", text)
     a, b, c = parts[0], parts[2], parts[4]
@@ -146,7 +171,8 @@ def _date(text: str, key: bytes) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             continue
-        new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+        alike = lambda v, late=at["d"] > 12: (datetime.date.fromordinal(FIRST_DAY + v).day > 12) == late
+        new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", alike))
         short = any(len(x) == 1 for x in (a, b))
         values = {"y": f"{new.year:04d}", "m": str(new.month) if short else f"{new.month:02d}", "d": str(new.day) if short else f"{new.day:02d}"}
         return parts[1].join(values[k] for k in order)
@@ -198,9 +224,9 @@ class Kind:
     grouped: bool = False
 
 
-#: Tried in this order at each place; patterns written for this library.
+#: Tried in this order at each place.  A run of name characters is read once, from its start: no pattern goes back over it.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", _email),
+    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", _email),
     Kind("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _aws),
     Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?=[^\s\"']*[0-9])[^\s\"']*[A-Za-z0-9]", _secret),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])", _iban, True),
@@ -248,24 +274,27 @@ class Pseudonymizer:
         return "".join([*out, text[at:]]) if out else text, found
 
 
-def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[Kind, ...] = KINDS, text: str = "text", counts: str | None = "pii") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and pii map<string, long> of the counts by kind.
 
     Cards and IBANs in groups are read as long as they are valid, so digits that
     follow after a blank (an expiry, a count) stay as they are.
     Numbers are replaced only if valid (Luhn, IBAN check digits, octets, real
     dates); addresses, telephone numbers and secrets by their form.  Null text
-    stays null, other columns pass through, a column named pii is replaced.
+    stays null, other columns pass through.  ``counts`` names the column of the
+    counts, which replaces one of that name; without it there are none.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"])
-    counts = pa.map_(pa.string(), pa.int64())
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != counts])
+    kind = pa.map_(pa.string(), pa.int64())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         change = Pseudonymizer(key, kinds)
         for batch, texts in text_rows(batches, text):
             done = [change(x) for x in texts]
             columns = [pa.array([d[0] for d in done], pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.record_batch([*columns, pa.array([list(d[1].items()) for d in done], counts)], names=[*batch.schema.names, "pii"])
+            if counts:
+                columns.append(pa.array([list(d[1].items()) for d in done], kind))
+            yield pa.record_batch(columns, names=[*batch.schema.names, *([counts] if counts else [])])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "pii map<string, long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *([f"`{counts}` map<string, long>"] if counts else [])])
     return docs.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, text_rows
+from tessera.llm.common import Workspace, free_names, text_rows
 
 #: A sentence ends at closing punctuation before white space, or at a line end; it keeps what follows it up to the next.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![\s.!?])[^.!?\n]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)\s*")
@@ -28,8 +28,8 @@ def normal(sentence: str) -> bytes:
     return " ".join(sentence.lower().split()).encode("utf-8", "surrogatepass")
 
 
-def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -> tuple[list[int], list[int], list[int]]:
-    """(first sentence, sentences, 64-bit hash) of each run of ``run`` sentences with enough words.
+def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(first sentence, sentences, 128-bit hash) of each run of ``run`` sentences with enough words.
 
     Sentences without a word character belong to the run around them without
     counting.  Where ``run`` sentences have fewer than ``least_words`` words,
@@ -48,25 +48,29 @@ def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -
             if total >= (least_words if m >= run else long_words):
                 starts.append(kept[k])
                 sizes.append(kept[k + m - 1] - kept[k] + 1)
-                hashes.append(xxhash.xxh3_64_intdigest(b"\n".join(one[k : k + m])) - (1 << 63))
+                hashes.append(xxhash.xxh3_128_digest(b"\n".join(one[k : k + m])))
             if m >= run and total >= least_words:
                 break
     return starts, sizes, hashes
 
 
 def spans(docs: DataFrame, run: int, least_words: int, long_words: int) -> DataFrame:
+    """(doc, body, first, size, span, more) of each run; span and more are the halves of its hash."""
+
     def each(batches) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches):
-            ids, starts, sizes, hashes = [], [], [], []
-            for row, text in zip(batch.column("row_id").to_pylist(), texts, strict=True):
+            rows, starts, sizes, hashes = [], [], [], []
+            for row, text in enumerate(texts):
                 got = span_hashes(sentences(text), run, least_words, long_words)
-                ids += [row] * len(got[0])
+                rows += [row] * len(got[0])
                 starts += got[0]
                 sizes += got[1]
                 hashes += got[2]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["row_id", "first", "size", "span"])
+            halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc", "body")]
+            yield pa.record_batch([*own, pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(halves[:, k])) for k in range(2))], names=["doc", "body", "first", "size", "span", "more"])
 
-    return docs.select("row_id", "text").mapInArrow(each, "row_id long, first int, size int, span long")
+    return docs.mapInArrow(each, "doc long, body long, first int, size int, span long, more long")
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words: int = 12, long_words: int = 24) -> DataFrame:
@@ -75,30 +79,32 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words:
     Every run of ``run`` consecutive sentences (of fewer, if they have
     ``long_words`` words; of more, until they have ``least_words``) is hashed; of equal runs the
     first by (doc_id, place) stays, and each sentence that any later one covers
-    goes.  Adds n_sentences and n_removed (long) and original_chars; a document
-    that loses nothing keeps its text as it was.  Null text stays null with no
-    sentences.  doc_ids should differ: rows of one doc_id count as one document
-    in turn, so equal rows lose their repeats at the same places.  A null doc_id
-    comes before all others.  Other columns pass through.
+    goes.  Adds n_sentences and n_removed (long) and original_chars, in place of
+    columns with these names; a document that loses nothing keeps its text as it
+    was.  Null text stays null with no sentences.  A null doc_id comes before
+    all others; different texts under one doc_id, or under none, follow each
+    other in the order of a hash.  Equal rows count as one document, so they
+    lose the same.  Other columns pass through.
     """
     ws = Workspace(spark, "spans")
-    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(row_id.alias("row_id"), F.col("text").cast("string").alias("text"))
+    doc, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.select(doc.alias("doc"), body.alias("body"), F.col("text").cast("string").alias("text"))
     found = ws.write(spans(keyed, run, least_words, long_words), "spans")
-    place = F.struct("row_id", "first")
-    repeated = found.groupBy("span").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1").select("span", "kept")
-    later = found.join(repeated, "span").filter(place != F.col("kept"))
-    lost = later.groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct("first", "size"))).alias("lost"))
+    place = F.struct("doc", "body", "first")
+    repeated = found.groupBy("span", "more").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1").select("span", "more", "kept")
+    later = found.join(repeated, ["span", "more"]).filter(place != F.col("kept"))
+    lost = later.groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.struct("first", "size"))).alias("lost"))
     lost = ws.write(lost, "lost")
-    new = {"text", "n_sentences", "n_removed", "original_chars", "row_id", "lost"}
-    rest = [c for c in docs.columns if c not in new]
-    joined = docs.withColumn("row_id", row_id).join(lost, "row_id", "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text"), F.transform("lost", lambda x: x["first"]).alias("lost_first"), F.transform("lost", lambda x: x["size"]).alias("lost_size"))
+    rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "original_chars")]
+    of_doc, of_body, first, size = free_names([*docs.columns, "text"], "doc", "body", "lost_first", "lost_size")
+    lost = lost.select(F.col("doc").alias(of_doc), F.col("body").alias(of_body), F.transform("lost", lambda x: x["first"]).alias(first), F.transform("lost", lambda x: x["size"]).alias(size))
+    joined = docs.join(lost, (doc == F.col(of_doc)) & (body == F.col(of_body)), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text"), first, size)
 
     def each(batches) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches):
             out, n_all, n_lost, chars = [], [], [], []
-            for text, firsts, sizes in zip(texts, batch.column("lost_first").to_pylist(), batch.column("lost_size").to_pylist(), strict=True):
+            for text, firsts, sizes in zip(texts, batch.column(first).to_pylist(), batch.column(size).to_pylist(), strict=True):
                 parts = sentences(text)
                 gone = np.zeros(len(parts), bool)
                 for k, n in zip(firsts or (), sizes or (), strict=True):
