@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, packing, pseudonyms, quality_model
-from tessera.llm.common import Workspace
+from tessera.llm.common import Workspace, free_names
 from tessera.llm.queries import PUBLIC_KEY, table, word_bpe
 
 
@@ -29,20 +29,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id have no place in a class and stay.
     """
     found = jaccard_join.jaccard_components(spark, docs.select("doc_id", "text"), n=5, percent=80)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
+    [stays] = free_names(docs.columns, "stays")
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col(stays), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     leaks = decontaminate.find_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select(F.col("doc_id").alias("leaks")).distinct(), F.col("doc_id") == F.col("leaks"), "left_anti")
+    [leaking] = free_names(docs.columns, "leaking")
+    return docs.join(leaks.select(F.col("doc_id").alias(leaking)).distinct(), F.col("doc_id") == F.col(leaking), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data, and n_chars of the new texts."""
-    changed = pseudonyms.pseudonymize(docs, PUBLIC_KEY)
+    changed = pseudonyms.pseudonymize(docs, PUBLIC_KEY, counts=None)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
