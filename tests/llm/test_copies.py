@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, queries, sentence_spans, substrings, suffixes
 from tests.llm.conftest import words
@@ -130,12 +131,23 @@ def test_substrings(spark, options):
     assert cut(spark, texts, 50, **options) == covered(texts, 50)
 
 
+def test_substrings_of_clashing_hashes(spark, monkeypatch):
+    """Texts whose first hash is equal are told apart by the second."""
+    monkeypatch.setattr(substrings, "text_hash", lambda text: F.pmod(F.length(text), F.lit(3)).cast("long"))
+    rnd = random.Random(5)
+    own = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(60, 90))) for _ in range(12)]
+    texts = [*own, own[3], own[4] + own[5][:55], "", None, own[6][:49]]
+    assert cut(spark, texts, 50) == covered(texts, 50)
+
+
 def test_substrings_odd_rows(spark, odd, none):
     rows = substrings.dedup_substrings(spark, odd).collect()
     assert len(rows) == odd.count()
     by = {(r.doc_id, r.n_bytes): r for r in rows}
     assert all(r.n_removed == r.n_bytes for r in rows if r.doc_id in (4, 5, 6, 7))
-    assert by[0, 0].n_spans == 0 and set(rows[0].asDict()) == {"doc_id", "lang", "source", "n_chars", "score", "row", "node", "kept", "n_bytes", "n_removed", "n_spans"}
+    assert by[0, 0].n_spans == 0 and set(rows[0].asDict()) == {*odd.columns, "n_bytes", "n_removed", "n_spans"}
+    assert {(r.d, r.row, r.stops) for r in rows if r.doc_id is not None} == {("own 0", "own 2", "own 9")}
+    assert all(r.text == bytes(r.kept).decode("utf-8", "ignore") for r in rows)
     assert substrings.dedup_substrings(spark, none).count() == 0
 
 
@@ -154,21 +166,22 @@ def test_sentences_join_to_the_text():
 
 
 def spans_by_hand(texts, run, least, many):
-    first, hits = {}, {k: set() for k in texts}
-    order = sorted(texts, key=lambda k: (k is not None, k))
-    for k in order:
-        parts = sentence_spans.sentences(texts[k])
+    """The sentences each text loses: runs compared as tuples of their sentences, in the order of the ids."""
+    seen, lost = set(), {}
+    for k in sorted(texts):
+        parts = re.findall(r"[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*(?:[.!?]+(?=\s|$)|(?=\n)|$)\s*", texts[k] or "")
+        parts = [p for p in parts if p]
         real = [i for i, p in enumerate(parts) if re.search(r"\w", p)]
+        own = [" ".join(parts[j].lower().split()) for j in real]
+        gone = set()
         for i in range(len(real)):
-            for m in range(1, run + 1):
-                if i + m <= len(real):
-                    own = tuple(" ".join(parts[j].lower().split()) for j in real[i : i + m])
-                    if sum(len(s.split(" ")) for s in own) >= (least if m == run else many):
-                        if own in first:
-                            hits[k] |= set(range(real[i], real[i + m - 1] + 1))
-                        else:
-                            first[own] = (k, i)
-    return {k: len(h) for k, h in hits.items()}
+            ends = [m for m in range(i + 1, len(real) + 1) if len(" ".join(own[i:m]).split(" ")) >= (least if m - i >= run else many)]
+            for m in [m for m in ends if m - i < run] + [m for m in ends if m - i >= run][:1]:
+                if tuple(own[i:m]) in seen:
+                    gone |= set(range(real[i], real[m - 1] + 1))
+                seen.add(tuple(own[i:m]))
+        lost[k] = (parts, gone)
+    return {k: (len(gone), "".join(p for j, p in enumerate(parts) if j not in gone)) for k, (parts, gone) in lost.items()}
 
 
 def test_spans(spark):
@@ -177,7 +190,7 @@ def test_spans(spark):
     texts = {k: "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "...\n", "\n"]) for k in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = sentence_spans.dedup_spans(spark, df, 3, 9, 12).collect()
-    assert {r.doc_id: r.n_removed for r in got} == spans_by_hand(texts, 3, 9, 12)
+    assert {r.doc_id: (r.n_removed, r.text) for r in got} == spans_by_hand(texts, 3, 9, 12)
     assert all(r.text == texts[r.doc_id] for r in got if not r.n_removed)
 
 
@@ -192,22 +205,11 @@ def test_spans_of_short_sentences(spark):
     assert got[2].text == "Other start is. Last one." and got[4].text == "Quite another beginning. "
 
 
-def test_op10_with_runs_of_short_sentences(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    seen, want = set(), {}
-    for k in sorted(docs):
-        parts = sentence_spans.sentences(docs[k])
-        real = [i for i, p in enumerate(parts) if re.search(r"\w", p)]
-        own = [" ".join(parts[j].lower().split()) for j in real]
-        lost = set()
-        for i in range(len(real)):
-            ends = [m for m in range(i + 1, len(real) + 1) if len(" ".join(own[i:m]).split(" ")) >= (12 if m - i >= 3 else 24)]
-            for m in [m for m in ends if m - i < 3] + [m for m in ends if m - i >= 3][:1]:
-                run = tuple(own[i:m])
-                lost |= set(range(real[i], real[m - 1] + 1)) if run in seen else set()
-                seen.add(run)
-        want[k] = len(lost)
-    assert {r.doc_id: r.n_removed for r in queries.op10_sentence_spans(spark, SF).collect()} == want
+def test_rows_without_a_doc_id_lose_their_own(spark):
+    same, other = words(1, 20).replace(".", ",") + ". ", words(2, 30).replace(".", ",") + "."
+    rows = [(None, same * 3 + "End of the first one here."), (None, other + " Last."), (7, same * 3 + "Something else follows."), (7, "Alone and unlike the rest."), (8, "x")]
+    got = {(r.doc_id, r.text) for r in sentence_spans.dedup_spans(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 12, 99).collect()}
+    assert got == {(None, rows[0][1]), (None, rows[1][1]), (7, "Something else follows."), (7, rows[3][1]), (8, "x")}
 
 
 def test_spans_odd_rows(spark, odd, none):
@@ -215,11 +217,11 @@ def test_spans_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and {r.doc_id: r.text for r in rows}[0] is None
     by = {r.doc_id: r for r in rows}
     assert by[4].n_removed == 0 and by[5].n_removed > 0.8 * by[5].n_sentences
-    assert by[None].lang is None and by[1].n_sentences == 0
+    assert by[None].lang is None and by[1].n_sentences == 0 and set(odd.columns) < set(rows[0].asDict()) and by[5].lost_first == "own 11" or by[5].lost == "own 10"
     assert sentence_spans.dedup_spans(spark, none).count() == 0
 
 
 def test_op10(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.n_removed for r in queries.op10_sentence_spans(spark, SF).collect()}
+    got = {r.doc_id: (r.n_removed, r.text or "") for r in queries.op10_sentence_spans(spark, SF).collect()}
     assert got == spans_by_hand(docs, 3, 12, 24)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.llm import decontaminate, license_scan, pseudonyms, quality_model, quality_rules, queries
-from tests.llm.conftest import words
+from tests.llm.conftest import CLASHING, words
 
 SF = "/root/testdata/sf0.01"
 KEY = b"0123456789abcdef"
@@ -98,6 +98,19 @@ def test_rules_do_not_depend_on_order(spark, odd, none):
     assert sorted(n for n, _, _ in ordered) == sorted(names)
 
 
+def test_rules_are_ordered_by_marginal_cost(spark):
+    """A dear rule goes last although it rejects most; a rule whose measures are there costs little; rejections are of what is left."""
+    dear = quality_rules.Rule("dear", lambda t: sum(ord(c) for _ in range(300) for c in t.text) > 0)
+    rules = (dear, *quality_rules.RULES)
+    texts = [("word " * 60,)] * 30 + [(words(k, 80),) for k in range(60)] + [("#" + words(k, 70).replace(" ", " #"),) for k in range(100, 130)]
+    df = spark.createDataFrame(texts, "text string")
+    found = quality_rules.rule_order(df, rules, quality_rules.BASE_RULES, quality_rules.BASE_MEASURES)
+    by = {n: (seconds, share) for n, seconds, share in found}
+    assert "too_few_words" not in by and len(found) == 6
+    assert found[0][0] == "many_symbols" and [n for n, _, share in found if share][-1] == "dear" and by["dear"][1] == 1
+    assert by["many_symbols"][0] < by["dear"][0] and all(share == 0 for n, _, share in found[2:])
+
+
 def test_permutation():
     for size in (1, 2, 7, 100, 1000):
         assert sorted(pseudonyms.permute(k, size, KEY, "t") for k in range(size)) == list(range(size))
@@ -150,9 +163,39 @@ def test_pseudonyms_are_one_to_one():
     assert len({change(x)[0] for x in days}) == len(days)
 
 
+def test_dates_are_one_to_one_in_every_order():
+    change = pseudonyms.Pseudonymizer(KEY)
+    found: dict = {}
+    for y in (1990, 2006):
+        for m in range(1, 13):
+            for d in range(1, 29):
+                for text in (f"{d:02d}/{m:02d}/{y}", f"{m:02d}/{d:02d}/{y}", f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}"):
+                    found.setdefault(change(text)[0], set()).add(text)
+    assert all(len(v) == 1 for v in found.values())
+    assert change("03/18/2006")[0].split("/") == [change("2006-03-18")[0].split("-")[k] for k in (1, 2, 0)]
+
+
+def test_long_values_and_runs():
+    change = pseudonyms.Pseudonymizer(KEY)
+    local, other = "ab" * 1750, "ab" * 1749 + "ba"
+    for a, b, kind in [(f"{local}@example.com", f"{other}@example.com", "email"), ("token=" + "a1" * 2400, "token=" + "a1" * 2399 + "b1", "secret")]:
+        x, y = change(a), change(b)
+        assert x[1] == y[1] == {kind: 1} and x[0] != y[0] and len(x[0]) == len(a) and x[0] != a
+    import time
+
+    begin = time.perf_counter()
+    for text in ("q" * 1_000_000 + "1", "a.b-" * 200_000, "a" * 200_000 + "@" + "b" * 200_000, "@" * 100_000, "1" * 300_000):
+        assert change(text) == (text, {})
+    assert time.perf_counter() - begin < 20
+    assert change("(..jo.do@ex.com)")[0][3:-1] == change("jo.do@ex.com")[0] and change("jo.@ex.com")[1] == {}
+    blocks = [pseudonyms.permute_text(a + b, KEY, "t") for a in ("x" * 63, "y" + "x" * 62) for b in ("a", "b")]
+    tails = [pseudonyms.permute_text("x" * 64 + b, KEY, "t") for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert len({*blocks}) == 4 and len({*tails}) == 26 and len({t[:64] for t in tails}) == 1
+
+
 def test_op5_and_odd_rows(spark, odd, none):
     rows = pseudonyms.pseudonymize(odd, KEY).collect()
-    assert Counter((r.doc_id, r.text) for r in rows) == Counter((d.doc_id, d.text) for d in odd.collect()) and set(odd.columns) < set(rows[0].asDict())
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((d.doc_id, d.text) for d in odd.collect()) and set(odd.columns) <= set(rows[0].asDict()) and all(r.pii == {} for r in rows)
     assert pseudonyms.pseudonymize(none, KEY).count() == 0
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     by_hand = pseudonyms.Pseudonymizer(queries.PUBLIC_KEY)
@@ -263,6 +306,8 @@ def test_stages_bear_odd_rows(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         out, nothing = stage(spark, odd, SF), stage(spark, none, SF)
         if name != "packing":
+            own = {tuple(r) for r in out.filter("doc_id = 11").select(*CLASHING).collect()}
+            assert own <= {tuple(None if k % 4 == 3 else f"own {k}" for k in range(len(CLASHING)))}
             assert out.columns == odd.columns and nothing.columns == odd.columns and set(documents) < set(out.columns)
         assert nothing.count() == 0
         if name == "near_copies":
