@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,24 +103,33 @@ def fixed_holidays(spark: SparkSession, first_year: int, last_year: int) -> Data
     return years.select("year", F.inline(listed)).select(F.make_date("year", "m", "d").alias("day"), "name")
 
 
-def holiday_array(holidays: DataFrame) -> Column:
-    """The distinct week-day holidays as a sorted literal array: at most some tens a year, so it goes with the plan."""
-    days = sorted(r.day for r in holidays.select("day").filter("day IS NOT NULL").distinct().filter(~is_weekend(F.col("day"))).collect())
-    return F.array(*map(F.lit, days)).cast("array<date>")
+def holiday_ranks(holidays: DataFrame) -> Callable[[Column], Column]:
+    """A function of dates: how many of the distinct week-day holidays lie before one.
+
+    Holiday lists are small (some tens a year).  Their running counts, a number
+    for each day from the first to the last of them, go with the plan as one
+    literal, so a row costs one look-up.
+    """
+    days = sorted(r.d for r in holidays.filter("day IS NOT NULL").filter(~is_weekend(F.col("day"))).select(F.unix_date("day").alias("d")).distinct().collect())
+    if not days:
+        return lambda d: F.lit(0).cast("long")
+    first, last = days[0], days[-1]
+    counts = F.lit(np.searchsorted(np.array(days), np.arange(first, last + 2), "left").astype(np.int32))
+    return lambda d: F.get(counts, F.greatest(F.least(F.unix_date(d), F.lit(last + 1)), F.lit(first)) - first).cast("long")
 
 
-def between(a: Column, b: Column, holidays: Column, include_start: bool = True, include_end: bool = True) -> Column:
+def between(a: Column, b: Column, holidays: Callable[[Column], Column], include_start: bool = True, include_end: bool = True) -> Column:
     """STRUCT<days, weekdays, weekends, holidays, business, reversed> of the span from a to b.
 
-    ``holidays`` is an array of week days off.  Counts come from closed forms,
-    so the cost does not grow with the span.
+    ``holidays`` counts the week days off before a date (``holiday_ranks``).
+    Counts come from closed forms, so the cost does not grow with the span.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     first = lo if include_start else F.date_add(lo, 1)
     after = F.date_add(hi, 1) if include_end else hi
     days = F.greatest(F.datediff(after, first), F.lit(0)).cast("long")
     week = F.when(days > 0, weekdays_before(after) - weekdays_before(first)).otherwise(F.lit(0).cast("long"))
-    off = F.size(F.filter(holidays, lambda h: (h >= first) & (h < after))).cast("long")
+    off = F.when(days > 0, holidays(after) - holidays(first)).otherwise(F.lit(0).cast("long"))
     return F.struct(days.alias("days"), week.alias("weekdays"), (days - week).alias("weekends"), off.alias("holidays"), (week - off).alias("business"), (a > b).alias("reversed"))
 
 
@@ -133,9 +145,11 @@ def add_business_days(df: DataFrame, start: str, n: str, holidays: DataFrame, ou
     days = spark.range(first, last + 1).select(F.date_from_unix_date(F.col("id").cast("int")).alias("day"))
     business = days.filter(~is_weekend(F.col("day"))).join(F.broadcast(holidays.select("day").distinct()), "day", "left_anti")
     # the number of a business day: week days before it less the holidays before it
-    off = holiday_array(holidays)
+    off = holiday_ranks(holidays)
+
     def rank(d: Column) -> Column:
-        return weekdays_before(d) - F.size(F.filter(off, lambda h: h < d))
+        return weekdays_before(d) - off(d)
+
     numbered = business.select(F.col("day").alias(out), rank(F.col("day")).alias("_rank"))
     # counted from the last business day on or before the start (forward), the first on or after it (backward)
     target = F.when(F.col(n) >= 0, rank(F.date_add(F.col(start), 1)) - 1 + F.col(n)).otherwise(rank(F.col(start)) + F.col(n))

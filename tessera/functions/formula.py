@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,21 @@ def fifteen(x: Column) -> Column:
     return F.format_string("%.14e", x).cast("double")
 
 
+POWERS = 10.0 ** np.arange(23)  # all of them exact as doubles
+
+
+def snapped(x: Column) -> Column:
+    """``fifteen`` by arithmetic, for rounding: scaled to 15 digits, rounded there and scaled back by an exact power of ten.
+
+    A last digit that is a tie may go the other way, which no rounding to fewer
+    digits sees.
+    """
+    k = (14 - F.floor(F.log10(F.abs(x)))).cast("int")
+    p = F.get(F.lit(POWERS), F.abs(k))
+    scaled = F.when(k >= 0, F.rint(x * p) / p).otherwise(F.rint(x / p) * p)
+    return F.when(x == 0, x).when(F.abs(k) < len(POWERS), scaled).otherwise(fifteen(x))
+
+
 def number(c: Cell) -> Cell:
     """Coerced to a number: blank 0, booleans 1 and 0, text without its commas or #VALUE!."""
     if c.kind == "num":
@@ -85,7 +101,7 @@ def boolean(c: Cell) -> Cell:
 def _round(x: Column, digits: Column, mode: str) -> Column:
     """Half away from zero, up or down in magnitude, on 15 significant digits."""
     scale = F.pow(F.lit(10.0), F.floor(digits))
-    m = fifteen(F.abs(x) * scale)
+    m = snapped(F.abs(x) * scale)
     whole = {"half": F.floor(m + 0.5), "up": F.ceil(m), "down": F.floor(m)}[mode]
     return F.signum(x) * whole / scale
 
@@ -268,7 +284,7 @@ class Translator:
             mode = {"ROUND": "half", "ROUNDUP": "up"}.get(name, "down")
             return Cell("num", _round(nums[0].value, digits, mode), errs_num)
         if name == "INT" and len(args) == 1:
-            return Cell("num", F.floor(fifteen(nums[0].value)).cast("double"), errs_num)
+            return Cell("num", F.floor(snapped(nums[0].value)).cast("double"), errs_num)
         if name == "ABS" and len(args) == 1:
             return Cell("num", F.abs(nums[0].value), errs_num)
         if name == "MOD" and len(args) == 2:

@@ -50,7 +50,7 @@ def business_type(digits: Column) -> Column:
 def check_number(text: Column) -> Column:
     """STRUCT<kind, number, formatted, expected, valid, type> of a number of 10 or 13 digits; kind null otherwise."""
     d = digits_only(text)
-    bare = F.regexp_replace(F.trim(text), r"[\s-]", "").rlike("^[0-9]+$")
+    bare = F.regexp_replace(F.trim(text), r"[\s.-]", "").rlike("^[0-9]+$")
     ten, thirteen = bare & (F.length(d) == 10), bare & (F.length(d) == 13)
     expected = F.when(ten, business_check_digit(d)).when(thirteen, corporate_check_digit(d))
     shown = F.when(ten, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 5))).when(thirteen, F.concat_ws("-", F.substring(d, 1, 6), F.substring(d, 7, 7)))
@@ -72,6 +72,14 @@ def check_many(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("input", F.explode(split_numbers(F.col(column)))).withColumn("verdict", check_number(F.col("input"))).select(*df.columns, "input", "verdict.*")
 
 
+def batch_csv(checked: DataFrame) -> DataFrame:
+    """The verdicts of ``check_many`` as guarded CSV lines (input, line), those of formula-like input with a ' in front."""
+    from tessera.operators.tables import csv_line
+
+    shown = checked.withColumns({"kind": F.coalesce("kind", F.lit("unknown")), "verdict": F.when(F.col("kind").isNull(), "not a number").when(F.col("valid"), "valid").otherwise("invalid"), "expected": F.col("expected").cast("string")})
+    return shown.select("input", csv_line(shown, ["input", "formatted", "kind", "verdict", "expected"], numbers_pass=False).alias("line"))
+
+
 def totals(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("numbers"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
 

@@ -170,3 +170,14 @@ def item_total(lines: DataFrame, bp: int, mode: str = "floor") -> DataFrame:
     """One row: count of lines, net, tax once on the total, gross, lines in error."""
     total = lines.agg(F.count("amount").alias("lines"), F.coalesce(F.sum("amount"), F.lit(0)).cast(WIDE).alias("sum"), F.count("error").alias("errors"))
     return total.select("lines", from_net(F.col("sum"), F.lit(bp), mode).alias("v"), "errors").select("lines", "v.*", "errors")
+
+
+def item_table(lines: DataFrame, bp: int, mode: str = "floor", name: str = "item", quantity: str = "qty", price: str = "price") -> DataFrame:
+    """The lines of ``item_lines`` as text cells (item, quantity, price, amount), then net, tax and total; order by part, then as the lines are.
+
+    Lines in error carry it in place of their amount.
+    """
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    body = lines.select(F.lit(0).alias("part"), cell(F.col(name)).alias("item"), cell(F.col(quantity)).alias("quantity"), cell(F.col(price)).alias("price"), F.coalesce(comma(F.col("amount")), F.concat(F.lit("error: "), F.col("error"))).alias("amount"))
+    rows = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(label).alias("item"), F.lit("").alias("quantity"), F.lit("").alias("price"), comma(F.col(c)).alias("amount")) for k, (label, c) in enumerate((("net", "net"), ("tax", "tax"), ("total", "gross")), 1)])
+    return body.unionByName(item_total(lines, bp, mode).select(F.inline(rows)))

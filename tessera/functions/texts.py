@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.identifiers import digits_only, luhn
+from tessera.operators.scratch import Scratch
+from tessera.operators.tables import numbered
 
 BLANKS = r"(?U)[\s﻿]"
 
@@ -31,12 +32,17 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
 
 
+def count_graphemes(text: Column) -> Column:
+    """How many there are; in ASCII only CR and LF join."""
+    return F.when(text.rlike(r"[^\x00-\x7f]|\r\n"), F.regexp_count(text, F.lit(r"\X"))).otherwise(F.length(text))
+
+
 def counts(text: Column) -> Column:
     """STRUCT of measures: graphemes, code points with and without white space, Hangul, words, lines, paragraphs, bytes."""
     parts = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), r"\n[^\S\n]*\n\s*")
     bare = F.regexp_replace(text, r"[\r\n]", "")
     return F.struct(
-        F.size(graphemes(text)).cast("long").alias("graphemes"),
+        count_graphemes(text).cast("long").alias("graphemes"),
         F.length(text).cast("long").alias("chars"),
         F.length(bare).cast("long").alias("with_spaces"),
         F.length(F.regexp_replace(text, BLANKS, "")).cast("long").alias("without_spaces"),
@@ -50,7 +56,7 @@ def counts(text: Column) -> Column:
 
 def manuscript(text: Column, columns: int = 20, rows: int = 10) -> Column:
     """STRUCT<rows, pages> of manuscript paper: each paragraph indented by a cell, empty ones a row."""
-    need = F.transform(lines(text), lambda p: F.when(p == "", 1).otherwise(F.ceil((F.size(graphemes(p)) + 1) / columns)).cast("long"))
+    need = F.transform(lines(text), lambda p: F.when(p == "", 1).otherwise(F.ceil((count_graphemes(p) + 1) / columns)).cast("long"))
     n = F.aggregate(need, F.lit(0).cast("long"), lambda a, x: a + x)
     return F.struct(n.alias("rows"), F.ceil(n / rows).alias("pages"))
 
@@ -133,33 +139,57 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$") & (F.length(r) < 20), F.lpad(r, 20, "0")).otherwise(r)), "")
 
 
-def plan_renames(df: DataFrame, name: str, order: list[Column], template: str, start: int = 1, step: int = 1, find: str = "", replace: str = "", regex: bool = False, case: str = "keep", underscores: bool = False, modified: str | None = None, today: Column | None = None) -> DataFrame:
+def plan_renames(df: DataFrame, name: str, order: list[Column], template: str, start: int = 1, step: int = 1, find: str = "", replace: str = "", regex: bool = False, flags: str = "", case: str = "keep", underscores: bool = False, modified: str | None = None, today: Column | None = None, most_rounds: int = 50) -> DataFrame:
     """``df`` with new_name: find and replace in the stem, case, blanks, numbering, template, safe characters, unique names.
 
-    Numbers follow ``order``.  Equal names (without regard to case) get " (2)",
-    " (3)" in order, and a name that such a number would hit gets one more
-    round of numbering.  The numbering needs one order of all rows, so it is
-    meant for lists of files, not for big tables.
+    Numbers follow ``order``, counted by range partitions, so no task sees all
+    rows.  ``flags`` (of i, m, s, u) go with ``regex``.  Equal names (without
+    regard to case) get " (2)", " (3)" in order, names that such a number would
+    hit are numbered in their turn, until no two are equal.
     """
     parts = split_name(F.col(name))
     stem = parts["stem"]
     if find:
-        stem = F.regexp_replace(stem, find, replace) if regex else F.replace(stem, F.lit(find), F.lit(replace))
+        stem = F.regexp_replace(stem, f"(?{flags}){find}" if flags else find, replace) if regex else F.replace(stem, F.lit(find), F.lit(replace))
     stem = {"keep": stem, "lower": F.lower(stem), "upper": F.upper(stem)}[case]
     stem = F.regexp_replace(stem, r"\s+", "_") if underscores else stem
     today = F.current_date() if today is None else today
-    number = F.lit(start) + (F.row_number().over(Window.orderBy(*order)) - 1) * step
     date = F.col(modified) if modified else today
-    planned = df.withColumns({"_n": number, "_row": F.row_number().over(Window.orderBy(*order))})
+    planned = numbered(df, order, "_row").withColumn("_n", F.lit(start) + (F.col("_row") - 1) * step)
     dot = F.when(parts["ext"] != "", F.concat(F.lit("."), parts["ext"])).otherwise(F.lit(""))
     planned = planned.withColumns({"_stem": fill_template(template, stem, parts["ext"], F.col("_n"), date, today), "_dot": F.lit("") if "{ext}" in template else dot})
     planned = planned.withColumn("new_name", sanitize_name(F.concat("_stem", "_dot")))
-    for _ in range(3):
+    ws = Scratch(df.sparkSession, "renames")
+    for k in range(most_rounds):
+        planned = ws.write(planned, f"round{k}")
+        if not planned.groupBy(F.lower("new_name")).count().filter("count > 1").limit(1).count():
+            return planned.drop("_n", "_row", "_stem", "_dot")
         again = F.row_number().over(Window.partitionBy(F.lower("new_name")).orderBy("_row"))
         piece = split_name(F.col("new_name"))
         tail = F.when(piece["ext"] != "", F.concat(F.lit("."), piece["ext"])).otherwise(F.lit(""))
-        planned = planned.withColumn("_again", again).withColumn("new_name", F.when(F.col("_again") > 1, F.concat(piece["stem"], F.lit(" ("), F.col("_again").cast("string"), F.lit(")"), tail)).otherwise(F.col("new_name")))
-    return planned.drop("_n", "_row", "_stem", "_dot", "_again")
+        planned = planned.withColumn("_again", again).withColumn("new_name", F.when(F.col("_again") > 1, F.concat(piece["stem"], F.lit(" ("), F.col("_again").cast("string"), F.lit(")"), tail)).otherwise(F.col("new_name"))).drop("_again")
+    raise RuntimeError(f"names still clash after {most_rounds} rounds")
+
+
+def part_file_name(stem: Column, label: Column, ext: str) -> Column:
+    """The file of a part of a table: the table's name, the part's, the format's."""
+    return sanitize_name(F.concat(stem, F.lit("_"), F.regexp_replace(F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit("blank")), r"\s+", " "), F.lit(f".{ext}")))
+
+
+def sheet_names(names: list[str], most: int = 31) -> list[str]:
+    """Legal names of worksheets, unique without regard to case: none of []:*?/\\ and no ' at the ends, ``most`` long."""
+    used: set[str] = set()
+    out = []
+    for name in names:
+        base = name.translate(dict.fromkeys(map(ord, "[]:*?/\\"), "_")).strip().strip("'") or "Sheet"
+        k, new = 1, base[:most]
+        while new.lower() in used:
+            k += 1
+            tail = f" ({k})"
+            new = base[: most - len(tail)] + tail
+        used.add(new.lower())
+        out.append(new)
+    return out
 
 
 # payloads and escapes
@@ -178,6 +208,24 @@ def decode_xml(text: Column) -> Column:
     return text
 
 
+def escape_rtf(text: Column) -> Column:
+    """Text for RTF: braces and backslashes escaped, line ends as \\line, others than ASCII as signed UTF-16 units."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"([\\{}])", r"\\$1"), r"\r\n|\r|\n", r"\\line ")
+    unit = lambda n: F.concat(F.lit("\\u"), F.when(n > 32767, n - 65536).otherwise(n).cast("string"), F.lit("?"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        high, low = F.floor((n - 65536) / 1024) + 55296, (n - 65536) % 1024 + 56320
+        return F.when(n < 128, c).when(n < 65536, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(bare.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(bare, ""), one), "")).otherwise(bare)
+
+
+def page_label(template: str, n: Column, total: Column) -> Column:
+    """A page number as text: {n} and {total} of the template filled in."""
+    return F.replace(F.replace(F.lit(template), F.lit("{n}"), n.cast("string")), F.lit("{total}"), total.cast("string"))
+
+
 def wifi_payload(ssid: Column, password: Column, kind: str = "WPA", hidden: bool = False) -> Column:
     safe = lambda c: F.regexp_replace(c, r'([\;,":])', r"\\$1")
     key = F.lit("") if kind == "nopass" else F.concat(F.lit("P:"), safe(password), F.lit(";"))
@@ -208,69 +256,3 @@ def size_label(n: Column) -> Column:
     """1,023 B, 1.0 KB, 2.5 MB ..."""
     step = lambda k, u: F.concat(F.format_number(n / 1024**k, 1), F.lit(f" {u}"))
     return F.when(n < 1024, F.concat(F.format_number(n, 0), F.lit(" B"))).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
-
-
-# personal data, in the JVM
-
-#: Kinds in order of priority, with patterns written for this library.
-PRIVATE = {
-    "resident": r"(?<![0-9])[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[- ]?[1-8][0-9]{6}(?![0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9-])(?:01[016789]|02|0[3-6][1-5]|070|050[0-9])([- .]?)[0-9]{3,4}\1[0-9]{4}(?![0-9-])|(?<![0-9-])1[568][0-9]{2}[- ][0-9]{4}(?![0-9-])",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "account": r"(?<![0-9-])[0-9]{2,6}-[0-9]{2,6}-[0-9]{2,7}(?:-[0-9]{1,3})?(?![0-9-])",
-    "passport": r"(?<![A-Za-z0-9])[MSRODmsrod][0-9]{3}[0-9A-Za-z][0-9]{4}(?![A-Za-z0-9])",
-}
-DEFAULT_PRIVATE = ("resident", "card", "phone", "email")
-
-
-def _accept(kind: str, found: Column) -> Column:
-    d = digits_only(found)
-    if kind == "card":
-        return luhn(d) & (found.rlike("[ -]") | F.substring(d, 1, 1).isin("2", "3", "4", "5", "6", "9"))
-    if kind == "account":
-        return F.length(d).between(10, 14) & ~found.rlike(r"^(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$|^[0-9]{3}-[0-9]{2}-[0-9]{5}$|^0[0-9]{1,2}-")
-    return F.lit(True)
-
-
-def mask(found: Column, mode: str = "partial", kind: str = "email") -> Column:
-    """partial keeps some ends, full leaves the layout alone, tag names the kind."""
-    if mode == "tag":
-        return F.lit(f"[{kind}]")
-    if mode == "full" or kind == "account":
-        return F.regexp_replace(found, "[0-9A-Za-z]", "*")
-    if kind == "email":
-        return F.concat(F.substring(found, 1, 1), F.lit("***"), F.regexp_extract(found, "@.*$", 0))
-    keep = {"resident": 6, "card": 4, "phone": 3, "passport": 1}[kind]
-    tail = {"resident": 0, "card": 4, "phone": 4, "passport": 0}[kind]
-    chars = F.transform(F.split(found, ""), lambda c, k: F.when((k < keep) | (k >= F.length(found) - tail) | ~c.rlike("[0-9A-Za-z]"), c).otherwise(F.lit("*")))
-    return F.array_join(chars, "")
-
-
-def _hits(text: Column, kind: str) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(PRIVATE[kind]), F.lit(0)), lambda x: _accept(kind, x))
-
-
-def find_private(text: Column, kinds: tuple[str, ...] = DEFAULT_PRIVATE) -> Column:
-    """ARRAY<STRUCT<kind, found>> of the accepted matches, an earlier kind taking its text from later ones."""
-
-    def named(kind: str, hits: Column) -> Column:
-        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
-
-    out, rest = [], text
-    for kind in (k for k in PRIVATE if k in kinds):
-        hits = _hits(rest, kind)
-        out.append(named(kind, hits))
-        rest = F.aggregate(hits, rest, lambda a, x: F.replace(a, x, F.lit("\u0001")))
-    return F.concat(*out)
-
-
-def redact(text: Column, kinds: tuple[str, ...] = DEFAULT_PRIVATE, mode: str = "partial") -> Column:
-    """``text`` with the accepted matches masked, kinds in order of priority."""
-
-    def masked(kind: str, text: Column) -> Column:
-        return F.aggregate(F.array_distinct(_hits(text, kind)), text, lambda a, x: F.replace(a, x, mask(x, mode, kind)))
-
-    for kind in (k for k in PRIVATE if k in kinds):
-        text = masked(kind, text)
-    return text

@@ -6,9 +6,12 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scratch import Scratch
+
 
 def occurrence_keys(header: Sequence[str]) -> list[tuple[str, int]]:
     """(trimmed name, how many equal ones stood before) of each column."""
@@ -47,17 +50,25 @@ def drop_blank_rows(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return df.filter(reduce(lambda a, b: a | b, [~is_blank(F.col(f"`{c}`")) for c in names]))
 
 
-def split_by_rows(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
-    """``df`` with part, from 1: the row's place in ``order`` by ``size``.
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1, as ``name``.
 
-    Places come from range partitions: each counts its rows, and the counts of
-    those before are added, so no task sees all rows.
+    Places come from range partitions: each numbers its rows, and the counts of
+    those before are added, so no task sees all rows.  The sorted rows are
+    written once, so both reads of them see the same partitions; the counts are
+    one row for each partition.
     """
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    ws = Scratch(df.sparkSession, "numbered")
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    parted = ws.write(parted, "rows")
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    before = sorted_.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = sorted_.join(F.broadcast(before.select("_p", "_before")), "_p")
-    return placed.withColumn("part", (F.floor((F.col("_before") + local) / size) + 1).cast("long")).drop("_p", "_m", "_before")
+    before = parted.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parted.join(before.select("_p", "_before"), "_p").withColumn(name, (F.col("_before") + local + 1).cast("long")).drop("_p", "_m", "_before")
+
+
+def split_by_rows(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+    """``df`` with part, from 1: the row's place in ``order`` by ``size``."""
+    return numbered(df, order, "_place").withColumn("part", (F.floor((F.col("_place") - 1) / size) + 1).cast("long")).drop("_place")
 
 
 def split_by_column(df: DataFrame, column: str, order: Column) -> DataFrame:
@@ -79,10 +90,10 @@ def cell_text(c: Column, kind: str) -> Column:
 
 
 def guard(c: Column, numbers_pass: bool = True) -> Column:
-    """Text that a spreadsheet would run as a formula gets a ' in front; numbers may pass."""
+    """Text that a spreadsheet would run as a formula gets a ' in front; numbers, with commas or not, may pass."""
     risky = c.rlike(r"^[=+\-@\t\r]")
     if numbers_pass:
-        risky = risky & ~c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?%?$")
+        risky = risky & ~c.rlike(r"^[+-]?([0-9]+(,[0-9]{3})*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?%?$")
     return F.when(risky, F.concat(F.lit("'"), c)).otherwise(c)
 
 
@@ -110,6 +121,63 @@ def markdown_row(columns: Sequence[str]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
 
 
+def table_labels(tables: DataFrame) -> DataFrame:
+    """``tables`` (file, sheet) with label: the file's name, and its sheet's where several of a file are used."""
+    several = F.count("*").over(Window.partitionBy("file")) > 1
+    return tables.withColumn("label", F.when(several, F.concat_ws(" - ", "file", "sheet")).otherwise(F.col("file")))
+
+
+def inspect_sheets(cells: DataFrame, names: int = 100, columns: int = 200, header_rows: int = 21) -> DataFrame:
+    """(path, sheet, headers, rows) of a table of cells (path, sheet, row, cells): the first ``names`` sheets of each file.
+
+    headers is the first row that is not blank among the first ``header_rows``,
+    rows the last row's place, so that blank rows between count.
+    """
+    filled = F.exists("cells", lambda c: ~is_blank(c))
+    head = F.min(F.when(filled & (F.col("row") < header_rows), F.struct("row", F.slice("cells", 1, columns).alias("cells"))))
+    found = cells.groupBy("path", "sheet").agg(head["cells"].alias("headers"), (F.max("row") + 1).cast("long").alias("rows"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("sheet"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= names).drop("_place")
+
+
+def pick_sheets(cells: DataFrame, choice: str | None = None) -> DataFrame:
+    """The cells of the first sheet of each file, of a named one, or of all (*)."""
+    if choice == "*":
+        return cells
+    if choice is not None:
+        return cells.filter(F.col("sheet") == choice)
+    first = cells.groupBy("path").agg(F.min(F.struct("position", "sheet"))["sheet"].alias("_first"))
+    return cells.join(first, "path").filter("sheet = _first").drop("_first")
+
+
+def write_csv(df: DataFrame, columns: Sequence[str], header: Sequence[str], path: str, sep: str = ",", numbers_pass: bool = True, mark: bool = True) -> None:
+    """``df`` as guarded, minimally quoted text files with CRLF: each with its byte order mark and header.
+
+    A file for each partition, so any number of rows; an empty table gives one
+    file with the header.
+    """
+    title = sep.join(f'"{h.replace(chr(34), chr(34) * 2)}"' if any(c in h for c in f'"\r\n{sep}') else h for h in header)
+    start = ("\ufeff" if mark else "") + title
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            lines = batch.column("value").to_pylist()
+            if first:
+                lines, first = [start, *lines], False
+            yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+        if first:
+            yield pa.record_batch([pa.array([start], pa.string())], names=["value"])
+
+    lines = df.select(csv_line(df, columns, sep, numbers_pass).alias("value"))
+    lines.mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
+
+
+def write_parts(df: DataFrame, part: str, path: str, form: str = "csv") -> None:
+    """A folder for each value of ``part``, as ``split_by_rows`` and the groups of a column give it."""
+    df.write.partitionBy(part).format(form).option("header", "true").save(path)
+
+
 def page_ranges(text: str, count: int) -> list[int]:
     """The pages of "1-3, 5, 8-" in ascending order, each once."""
     pages: set[int] = set()

@@ -20,13 +20,37 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, CAST(k - 1 AS INT) AS pos, 'paragraph' AS kind, p[k] AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[*_`~#>|\\[\\]!-]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) u(k)
 """)
-def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("text", r"[*_`~#>|\[\]!-]", " ")
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     docs = read(spark, sf_dir, "documents").select("doc_id", blocks.markdown_to_blocks(F.array_join(lines, "\n\n")).alias("blocks"))
     return blocks.explode_blocks(docs, "blocks").select("doc_id", "pos", "kind", "text")
 
 
+@query(None)
+def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of all texts as they are; tests hold the parser to written cases."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", blocks.markdown_to_blocks("text").alias("blocks"))
+    return blocks.explode_blocks(docs, "blocks").select("doc_id", "pos", "kind", "text", F.size("rows").alias("n_rows"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS s FROM part)
+SELECT p_partkey, pos, kind, text, cells FROM (
+ SELECT p_partkey, 0 AS pos, 'heading2' AS kind, p_name AS text, NULL AS cells FROM p UNION ALL SELECT p_partkey, 1, 'paragraph', 'Made by ' || p_brand || ' (https://example.org/' || p_partkey || ') as ' || p_type || '. Second line.', NULL FROM p UNION ALL
+ SELECT p_partkey, 2, 'table', NULL, 'size;a|b;' || s || ';' FROM p UNION ALL SELECT p_partkey, 3, 'item', p_brand, NULL FROM p UNION ALL SELECT p_partkey, 4, 'item', s || ' big', NULL FROM p UNION ALL
+ SELECT p_partkey, 5, 'quote', p_type, NULL FROM p UNION ALL SELECT p_partkey, 6, 'rule', NULL, NULL FROM p UNION ALL SELECT p_partkey, 7, 'code', '# ' || p_name || chr(10) || '| x |', NULL FROM p)
+""")
+def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown with headings, links, tables, items, quotes, rules and code, made of the parts."""
+    text = F.format_string(
+        "## %1$s ##\n\nMade by [%2$s](https://example.org/%5$d \"title\") as **%3$s**.\nSecond `line`.\n\n| size | a\\|b\n|:---|---:|\n| %4$s |\n\n* %2$s\n2. %4$s ~~big~~\n> %3$s\n- - -\n```\n# %1$s\n| x |\n```",
+        "p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.col("p_partkey").cast("long"),
+    )
+    parts = read(spark, sf_dir, "part").select("p_partkey", blocks.markdown_to_blocks(text).alias("blocks"))
+    return blocks.explode_blocks(parts, "blocks").select("p_partkey", "pos", "kind", "text", F.array_join(F.flatten("rows"), ";").alias("cells"))
+
+
 @query("SELECT n_regionkey, string_agg('<p>' || n_name || '</p>', chr(10) ORDER BY n_name) AS html, string_agg(n_name, chr(10) || chr(10) ORDER BY n_name) AS plain, '| n | k |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_name) AS md FROM nation GROUP BY n_regionkey")
 def blocks_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_name", F.col("n_nationkey").cast("string").alias("k")))).alias("l"))
@@ -48,7 +72,7 @@ def turn_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the one before it: lines added and deleted, as a unified diff."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
-    return textdiff.diff_texts(turns, "before", "text").select("conv_id", "turn", "added", "deleted", "unified")
+    return textdiff.diff_texts(turns, "before", "text").select("conv_id", "turn", "added", "deleted", "changed", "complete", "unified")
 
 
 @query("SELECT doc_id, text, 'utf-8' AS encoding, strlen(text) + 3 AS size FROM documents WHERE text IS NOT NULL")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, formula, identifiers, money, texts
-from tessera.operators import tables
+from tessera.functions import dates, formula, identifiers, money, private, texts
+from tessera.operators import tables, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import documents, streams  # noqa: F401  they register their own
+    from tessera.plans import documents, sources, streams  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
@@ -167,7 +167,7 @@ FROM o JOIN r x ON x.day = a - 1 JOIN r y ON y.day = b
 """)
 def business_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.to_date("o_orderdate")
-    span = dates.between(a, F.date_add(a, (F.col("o_orderkey") % 90).cast("int")), dates.holiday_array(dates.fixed_holidays(spark, 1990, 2009)))
+    span = dates.between(a, F.date_add(a, (F.col("o_orderkey") % 90).cast("int")), dates.holiday_ranks(dates.fixed_holidays(spark, 1990, 2009)))
     return read(spark, sf_dir, "orders").select("o_orderkey", span.alias("s")).select("o_orderkey", "s.days", "s.weekdays", "s.holidays", "s.business")
 
 
@@ -216,30 +216,64 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) AS emails,
- regexp_replace(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[email]', 'g') AS masked FROM documents
+SELECT doc_id, len(regexp_extract_all(text, '[\\w.%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}')) AS emails,
+ regexp_replace(text, '[\\w.%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}', '[email]', 'g') AS masked FROM documents
 """)
 def redacted_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
-    return df.select("doc_id", F.size(texts.find_private(F.col("t"), ("email",))).cast("long").alias("emails"), texts.redact(F.col("text"), ("email",), "tag").alias("masked"))
+    return df.select("doc_id", F.size(private.find_private(F.col("t"), ("email",))).cast("long").alias("emails"), private.redact(F.col("text"), ("email",), "tag").alias("masked"))
 
 
 @query(None)
 def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All default kinds; back references and look-behind are beyond DuckDB's patterns, so tests hold it to plain Python."""
     df = read(spark, sf_dir, "documents")
-    found = texts.find_private(F.coalesce("text", F.lit("")))
-    return df.select("doc_id", texts.redact(F.col("text")).alias("masked"), F.size(found).alias("found"))
+    found = private.find_private(F.coalesce("text", F.lit("")))
+    return df.select("doc_id", private.redact(F.col("text")).alias("masked"), F.size(found).alias("found"))
 
 
-@query("""
-SELECT kind, count(*) AS n FROM (SELECT 'email' AS kind FROM documents, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}'))) GROUP BY kind
-""")
+@query(None)
+def private_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each finding of any kind stands, with its line."""
+    return private.findings(read(spark, sf_dir, "documents").select("doc_id", "text"), kinds=tuple(private.SHAPES)).drop("found")
+
+
+@query(None)
 def private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.explode(texts.find_private(F.col("text"), ("email",))).alias("f"))
+    df = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.explode(private.find_private(F.col("text"), tuple(private.SHAPES))).alias("f"))
     return df.groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, CAST(l_partkey AS BIGINT) AS p FROM lineitem),
+n AS (SELECT l_orderkey, k, q, p, CASE WHEN k = 1 THEN 100 ELSE q END AS now FROM l),
+t AS (SELECT l_orderkey, sum(now * p) AS total, count(*) AS lines, sum(q * p) AS before FROM n GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS book, 'C1' AS address, CAST(p * 100 AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS str FROM n WHERE k = 1 AND q <> 100 AND p <> 0 UNION ALL
+SELECT CAST(l_orderkey AS VARCHAR), 'D1', CAST(total AS DOUBLE), NULL FROM t WHERE total <> before UNION ALL
+SELECT CAST(l_orderkey AS VARCHAR), 'D2', floor(CAST(total AS DOUBLE) / lines + 0.5), NULL FROM t WHERE floor(CAST(total AS DOUBLE) / lines + 0.5) <> floor(CAST(before AS DOUBLE) / lines + 0.5) UNION ALL
+SELECT CAST(l_orderkey AS VARCHAR), 'A1', NULL, CASE WHEN total > 3000000 THEN 'big' ELSE 'small' END FROM t WHERE (total > 3000000) <> (before > 3000000)
+""")
+def recalculated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a workbook of formulas, one quantity edited: products, a sum and a mean over columns, a test on another sheet."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("book"), F.col("l_quantity").cast("double").alias("q"), F.col("l_partkey").cast("double").alias("p"), place.alias("row"))
+    cell = lambda col, num, text=None: F.struct(F.lit("lines").alias("sheet"), F.col("row"), F.lit(col).alias("col"), F.lit("num").alias("kind"), num.alias("num"), F.lit(None).cast("string").alias("str"), (F.lit(None).cast("string") if text is None else text).alias("formula"))
+    own = F.format_string("=A%1$d*B%1$d", F.col("row") + 1)
+    body = lines.select("book", F.inline(F.array(cell(0, F.col("q")), cell(1, F.col("p")), cell(2, F.col("q") * F.col("p"), own))))
+    sums = lines.groupBy("book").agg(F.sum(F.col("q") * F.col("p")).alias("total"), F.count("*").alias("n"))
+    head = lambda sheet, row, col, kind, num, text, f: F.struct(F.lit(sheet).alias("sheet"), F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(kind).alias("kind"), num.alias("num"), text.alias("str"), F.lit(f).alias("formula"))
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    tops = sums.select("book", F.inline(F.array(
+        head("lines", 0, 3, "num", F.col("total"), blank, "=SUM(C:C)"), head("lines", 1, 3, "num", F.floor(F.col("total") / F.col("n") + 0.5).cast("double"), blank, "=ROUND(D1/COUNT(A1:A50), 0)"),
+        head("notes", 0, 0, "str", none, F.when(F.col("total") > 3000000, "big").otherwise("small"), '=IF(lines!D1>3000000, "big", "small")'),
+    )))
+    more = {"bool": F.lit(None).cast("boolean"), "err": blank}
+    cells = body.unionByName(tops).withColumns(more)
+    edits = cells.filter("row = 0 AND col = 0 AND sheet = 'lines'").withColumn("num", F.lit(100.0)).drop("formula")
+    changes, _ = workbook.recalculate(cells, edits)
+    return changes.select("book", "address", "after.num", "after.str")
+
+
 @query("""
 SELECT p_partkey, lpad(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR), 5, '0') || '_' || lower(p_brand) || '.txt' AS new_name FROM part
 """)

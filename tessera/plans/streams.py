@@ -1,9 +1,10 @@
-"""Queries of the streaming additions, over the table as a batch."""
+"""Queries of the streaming additions, over the table as a batch and as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.scratch import Scratch
 from tessera.plans.registry import query, read
 from tessera.streaming import events
 
@@ -11,3 +12,13 @@ from tessera.streaming import events
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.windowed_counts(read(spark, sf_dir, "events"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events
+WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL
+""")
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stream that drains the files there are: windows that the watermark has closed."""
+    ws = Scratch(spark, "stream")
+    return events.run_once(spark, sf_dir, "events.parquet", f"{ws.path}/out", f"{ws.path}/log")

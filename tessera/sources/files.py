@@ -7,6 +7,7 @@ parallel and from any file system; a file is parsed by a small helper.
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import json
 import re
@@ -14,6 +15,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -55,6 +57,32 @@ def encoded_cp949(text: Column | str) -> Column:
     return run(text)
 
 
+def encode_like(text: str, encoding: str, mark: bool) -> tuple[bytes, str, bool]:
+    """(bytes, encoding, lost): the text in the encoding and with the mark that ``decode_text`` told, in UTF-8 where that lacks a character."""
+    try:
+        own, lost = text.encode(encoding), False
+    except UnicodeEncodeError:
+        own, encoding, lost = text.encode("utf-8"), "utf-8", True
+    marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
+    return (marks.get(encoding, b"") if mark else b"") + own, encoding, lost
+
+
+def redacted_files(files: DataFrame, kinds: tuple[str, ...] | None = None, mode: str = "partial") -> DataFrame:
+    """(path, content, encoding, lost, found) of files with their personal data masked, in the encoding they came in where that can be."""
+    from tessera.functions import private
+
+    kinds = kinds or private.DEFAULT_KINDS
+    read = files.withColumn("d", decoded("content"))
+    found = read.select("path", "d.*", private.redact(F.col("d.text"), kinds, mode).alias("masked"), F.size(private.find_private(F.col("d.text"), kinds)).alias("found"))
+
+    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(path, *encode_like(*own), n) for path, *own, n in zip(*(part[c] for c in ("path", "masked", "encoding", "mark", "found")), strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "content", "encoding", "lost", "found"])
+
+    return found.mapInPandas(encoded, "path string, content binary, encoding string, lost boolean, found int")
+
+
 def utf8_bytes(text: Column, mark: bool = False) -> Column:
     body = F.encode(text, "UTF-8")
     return F.concat(F.unhex(F.lit("EFBBBF")), body) if mark else body
@@ -88,8 +116,8 @@ def each_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], s
     return files.mapInPandas(run, f"path string, {schema}, error string")
 
 
-def _cells(path: str, content: bytes) -> Iterator[dict]:
-    text = decode_text(content)[0]
+def _cells(path: str, content: bytes, strict: bool = False) -> Iterator[dict]:
+    text = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8") if strict else decode_text(content)[0]
     reader = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if path.lower().endswith((".tsv", ".tab")) else ",")
     rows = [r for r in reader]
     width = max(map(len, rows), default=0)
@@ -98,9 +126,27 @@ def _cells(path: str, content: bytes) -> Iterator[dict]:
             yield {"row": k, "cells": row + [""] * (width - len(row))}
 
 
-def read_csv(files: DataFrame) -> DataFrame:
-    """(path, row, cells) of CSV and TSV files: never typed, short rows filled up, long ones kept, blank ones left out."""
-    return each_file(files, _cells, "row long, cells array<string>")
+def read_csv(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, row, cells) of CSV and TSV files: never typed, short rows filled up, long ones kept, blank ones left out.
+
+    A file is a task's work here, for widths and encodings are a file's own;
+    ``read_large_csv`` splits files.  ``strict`` refuses what is not UTF-8.
+    """
+    return each_file(files, partial(_cells, strict=strict), "row long, cells array<string>")
+
+
+def read_large_csv(spark: SparkSession, path: str, columns: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """(path, cells) of CSV files of any size by Spark's own reader, which splits them: ``columns`` strings a row, blank rows left out.
+
+    Rows end with their line, and cells past ``columns`` would be lost, so rows
+    that have any raise.
+    """
+    schema = ", ".join([*(f"c{k} string" for k in range(columns)), "rest string"])
+    rows = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "rest").csv(path)
+    cells = F.array(*[F.coalesce(f"c{k}", F.lit("")) for k in range(columns)])
+    wide = F.length(F.regexp_replace(F.col("rest"), '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(F.col("rest"), '"[^"]*"', ""), F.lit(sep), F.lit(""))) >= columns
+    checked = F.when(F.coalesce(wide, F.lit(False)), F.raise_error(F.concat(F.lit("a row has too many cells: "), F.col("rest")))).otherwise(cells)
+    return rows.select(F.input_file_name().alias("path"), checked.alias("cells")).filter(F.exists("cells", lambda c: F.trim(c) != ""))
 
 
 def _json_rows(path: str, content: bytes) -> Iterator[dict]:
@@ -171,10 +217,15 @@ def read_zip(files: DataFrame) -> DataFrame:
     return each_file(files, parse, "pos long, name string, size long, data binary")
 
 
-def parse_xml(data: bytes) -> ElementTree.Element:
-    if re.search(rb"<!\s*(DOCTYPE|ENTITY)", data[:4096], re.I):
+class _Refusing(ElementTree.TreeBuilder):
+    """A tree of a document without declarations: the parser itself says where one stands, in any encoding."""
+
+    def doctype(self, name, pubid, system):
         raise ValueError("document type declarations are refused")
-    return ElementTree.fromstring(data)
+
+
+def parse_xml(data: bytes) -> ElementTree.Element:
+    return ElementTree.fromstring(data, ElementTree.XMLParser(target=_Refusing()))
 
 
 def local(tag: str) -> str:
@@ -192,31 +243,98 @@ def column_number(address: str) -> int:
     return n - 1
 
 
+#: Fixed values of the file format: the built-in number formats that are dates or times.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _date_styles(parts: dict[str, bytes]) -> set[int]:
+    """The cell styles whose number format is a date: built in, or with day, month, year or time letters outside quotes and brackets."""
+    if "xl/styles.xml" not in parts:
+        return set()
+    tree = parse_xml(parts["xl/styles.xml"])
+    own = {int(x.get("numFmtId")) for x in tree.iter() if local(x.tag) == "numFmt" and re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", x.get("formatCode", "")), re.I)}
+    cells = next((x for x in tree if local(x.tag) == "cellXfs"), ())
+    return {k for k, x in enumerate(cells) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+
+def serial_date(serial: float, from_1904: bool) -> str:
+    """A serial day number as a date, with the time where it is not midnight; day 60 of the 1900 system never was."""
+    day = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30) if serial >= 60 else datetime.datetime(1899, 12, 31)
+    at = day + datetime.timedelta(seconds=round(serial * 86400))
+    return at.strftime("%Y-%m-%d") if at.time() == datetime.time() else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def _xlsx(path: str, content: bytes) -> Iterator[dict]:
     parts = dict(zip_entries(content))
+    if "content.xml" in parts:
+        yield from _ods(parse_xml(parts["content.xml"]))
+        return
     shared = [texts_of(s, "t") for s in parse_xml(parts["xl/sharedStrings.xml"])] if "xl/sharedStrings.xml" in parts else []
     links = {r.get("Id"): r.get("Target") for r in parse_xml(parts["xl/_rels/workbook.xml.rels"])}
-    for sheet in (s for s in parse_xml(parts["xl/workbook.xml"]).iter() if local(s.tag) == "sheet"):
+    book, dated = parse_xml(parts["xl/workbook.xml"]), _date_styles(parts)
+    from_1904 = any(local(x.tag) == "workbookPr" and x.get("date1904") in ("1", "true") for x in book.iter())
+    for position, sheet in enumerate(s for s in book.iter() if local(s.tag) == "sheet"):
         target = links[next(v for k, v in sheet.attrib.items() if local(k) == "id")].lstrip("/")
         tree = parse_xml(parts[target if target.startswith("xl/") else f"xl/{target}"])
         for row in (r for r in tree.iter() if local(r.tag) == "row"):
-            cells: dict[int, str | None] = {}
+            cells: dict[int, dict] = {}
             for c in row:
                 value = next((v.text for v in c if local(v.tag) == "v"), None)
-                kind = c.get("t")
-                if kind == "s" and value is not None:
+                kind = {"s": "str", "inlineStr": "str", "str": "str", "b": "bool", "e": "err", "d": "date"}.get(c.get("t"), "num")
+                if c.get("t") == "s" and value is not None:
                     value = shared[int(value)]
-                elif kind == "inlineStr":
+                elif c.get("t") == "inlineStr":
                     value = texts_of(c, "t")
-                elif kind == "b":
+                elif kind == "bool":
                     value = "TRUE" if value == "1" else "FALSE"
-                cells[column_number(c.get("r")) if c.get("r") else len(cells)] = value
-            yield {"sheet": sheet.get("name"), "row": int(row.get("r", 0)) - 1, "cells": [cells.get(k) for k in range(max(cells, default=-1) + 1)]}
+                elif kind == "num" and value is not None and int(c.get("s", 0)) in dated:
+                    value, kind = serial_date(float(value), from_1904), "date"
+                formula = next((v.text for v in c if local(v.tag) == "f" and v.text), None)
+                at = column_number(c.get("r")) if c.get("r") else len(cells)
+                cells[at] = {"text": value, "kind": kind if value is not None else "blank", "formula": formula}
+            own = [cells.get(k, {"text": None, "kind": "blank", "formula": None}) for k in range(max(cells, default=-1) + 1)]
+            yield {"sheet": sheet.get("name"), "position": position, "row": int(row.get("r", 0)) - 1, "cells": [c["text"] for c in own], "kinds": [c["kind"] for c in own], "formulas": [c["formula"] for c in own]}
+
+
+def _ods(tree: ElementTree.Element) -> Iterator[dict]:
+    """The tables of an OpenDocument spreadsheet; repeated cells are repeated, rows that repeat an empty one are not."""
+    names = {"float": "num", "percentage": "num", "currency": "num", "string": "str", "boolean": "bool", "date": "date", "time": "date"}
+    for position, table in enumerate(t for t in tree.iter() if local(t.tag) == "table"):
+        get = lambda x, name: next((v for k, v in x.attrib.items() if local(k) == name), None)
+        at = 0
+        for row in (r for r in table.iter() if local(r.tag) == "table-row"):
+            cells: list[tuple[str | None, str]] = []
+            for c in row:
+                if local(c.tag) not in ("table-cell", "covered-table-cell"):
+                    continue
+                kind = names.get(get(c, "value-type") or "", "blank")
+                text = "\n".join("".join(p.itertext()) for p in c if local(p.tag) == "p")
+                value = {"num": get(c, "value"), "bool": (get(c, "boolean-value") or "").upper(), "date": (get(c, "date-value") or text).replace("T", " ")}.get(kind, text or None)
+                kind = "str" if kind == "blank" and value else kind
+                cells += [(value, kind)] * min(int(get(c, "number-columns-repeated") or 1), 1 << 14)
+            while cells and cells[-1][0] in (None, ""):
+                cells.pop()
+            times = int(get(row, "number-rows-repeated") or 1)
+            for k in range(times if cells else 0):
+                yield {"sheet": get(table, "name"), "position": position, "row": at + k, "cells": [c for c, _ in cells], "kinds": [k for _, k in cells], "formulas": [None] * len(cells)}
+            at += times
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
-    """(path, sheet, row, cells) of the stored values of workbooks."""
-    return each_file(files, _xlsx, "sheet string, row long, cells array<string>")
+    """(path, sheet, position, row, cells, kinds, formulas) of the stored values of XLSX and ODS workbooks.
+
+    kinds says what each cell is (num, str, bool, date, err, blank); dates come as ISO texts.
+    """
+    return each_file(files, _xlsx, "sheet string, position int, row long, cells array<string>, kinds array<string>, formulas array<string>")
+
+
+def workbook_cells(sheets: DataFrame) -> DataFrame:
+    """The cell model of ``read_xlsx``: a row (book, sheet, row, col, kind, num, str, bool, err, formula) for each cell."""
+    each = sheets.filter("sheet IS NOT NULL").select(F.col("path").alias("book"), "sheet", F.col("row").cast("int").alias("row"), F.posexplode(F.arrays_zip("cells", "kinds", "formulas")).alias("col", "c"))
+    kind, text = F.when(F.col("c.kinds") == "date", "str").otherwise(F.col("c.kinds")), F.col("c.cells")
+    value = lambda name, v: F.when(kind == name, v).alias(name)
+    cells = each.select("book", "sheet", "row", "col", kind.alias("kind"), value("num", text.try_cast("double")), value("str", text), value("bool", text == "TRUE"), value("err", text), F.col("c.formulas").alias("formula"))
+    return cells.filter("kind <> 'blank' OR formula IS NOT NULL")
 
 
 def xlsx_bytes(sheets: list[tuple[str, list[list]]]) -> bytes:
@@ -253,35 +371,85 @@ def xlsx_bytes(sheets: list[tuple[str, list[list]]]) -> bytes:
     return buffer.getvalue()
 
 
+def _grid(table: ElementTree.Element, row: str, cell: str, text: Callable[[ElementTree.Element], str]) -> list[list[str]]:
+    """The texts of a table's cells by rows; spanned columns are filled up with empty ones."""
+    out = []
+    for r in (x for x in table.iter() if local(x.tag) == row):
+        cells: list[str] = []
+        for c in (x for x in r if local(x.tag) in cell.split()):
+            spans = [int(v) for x in c.iter() for k, v in x.attrib.items() if (local(x.tag), local(k)) in (("gridSpan", "val"), ("cellSpan", "colSpan"))]
+            cells += [" ".join(text(c).split())] + [""] * (max([1, *spans]) - 1)
+        out.append(cells)
+    width = max(map(len, out), default=0)
+    return [r + [""] * (width - len(r)) for r in out if r]
+
+
+def _blocks_of(tree: ElementTree.Element, table: str, row: str, cell: str, paragraphs: tuple[str, ...], text: Callable[[ElementTree.Element], str]) -> Iterator[dict]:
+    """Paragraphs and tables in the order of the document; what lies in a table is its own."""
+    def walk(node: ElementTree.Element) -> Iterator[dict]:
+        for x in node:
+            if local(x.tag) == table:
+                yield {"kind": "table", "text": None, "rows": _grid(x, row, cell, text)}
+            elif local(x.tag) in paragraphs and not any(local(y.tag) == table for y in x.iter()):
+                yield {"kind": "paragraph", "text": text(x), "rows": None}
+            else:
+                yield from walk(x)
+
+    return walk(tree)
+
+
+def _all_text(node: ElementTree.Element) -> str:
+    return "".join(node.itertext())
+
+
+def _runs(node: ElementTree.Element) -> str:
+    return texts_of(node, "t")
+
+
 def _office(path: str, content: bytes) -> Iterator[dict]:
-    """Paragraphs of DOCX, ODT, PPTX, EPUB and HWPX archives, in reading order."""
-    parts = dict(zip_entries(content))
+    """Blocks of DOCX, ODT, PPTX, EPUB and HWPX archives, and of FB2 and flat ODT files, in reading order."""
+    from tessera.operators.blocks import html_blocks
+
+    odf = ("table", "table-row", "table-cell covered-table-cell", ("p", "h"), _all_text)
     natural = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
-    if "word/document.xml" in parts:
-        found = [texts_of(p, "t") for p in parse_xml(parts["word/document.xml"]).iter() if local(p.tag) == "p"]
+    if not content.startswith(b"PK"):
+        tree = parse_xml(content)
+        found = list(_blocks_of(tree, *odf)) if local(tree.tag) == "document" else list(_blocks_of(next(x for x in tree if local(x.tag) == "body"), "table", "tr", "td th", ("p", "v", "subtitle", "text-author"), _all_text))
+    elif "word/document.xml" in (parts := dict(zip_entries(content))):
+        found = list(_blocks_of(parse_xml(parts["word/document.xml"]), "tbl", "tr", "tc", ("p",), _runs))
     elif "content.xml" in parts:
-        found = ["".join(p.itertext()) for p in parse_xml(parts["content.xml"]).iter() if local(p.tag) in ("p", "h")]
+        found = list(_blocks_of(parse_xml(parts["content.xml"]), *odf))
     elif "ppt/presentation.xml" in parts:
         links = {r.get("Id"): r.get("Target") for r in parse_xml(parts["ppt/_rels/presentation.xml.rels"])}
         order = [next(v for k, v in s.attrib.items() if local(k) == "id" and "}" in k) for s in parse_xml(parts["ppt/presentation.xml"]).iter() if local(s.tag) == "sldId"]
-        found = [texts_of(p, "t") for i in order for p in parse_xml(parts[f"ppt/{links[i]}"]).iter() if local(p.tag) == "p"]
-    elif "META-INF/container.xml" in parts and "META-INF/encryption.xml" not in parts:
-        from tessera.operators.blocks import html_blocks
-
+        found = [b for i in order for b in _blocks_of(parse_xml(parts[f"ppt/{links[i]}"]), "tbl", "tr", "tc", ("p",), _runs)]
+    elif "META-INF/container.xml" in parts:
+        if "META-INF/encryption.xml" in parts:
+            raise ValueError("the book is encrypted")
         opf = next(x.get("full-path") for x in parse_xml(parts["META-INF/container.xml"]).iter() if local(x.tag) == "rootfile")
         tree, base = parse_xml(parts[opf]), opf.rpartition("/")[0]
         items = {x.get("id"): x.get("href") for x in tree.iter() if local(x.tag) == "item"}
         pages = [items[x.get("idref")] for x in tree.iter() if local(x.tag) == "itemref"]
-        found = [b["text"] or "\n".join("\t".join(r) for r in b["rows"]) for p in pages for b in html_blocks(decode_text(parts[f"{base}/{p}" if base else p])[0])]
+        if not all(safe_path(p) and "://" not in p for p in pages):
+            raise ValueError("a page lies outside the book")
+        found = [b for p in pages for b in html_blocks(decode_text(parts[f"{base}/{p}" if base else p])[0])]
     else:
         sections = sorted((n for n in parts if re.fullmatch(r"Contents/section\d+\.xml", n)), key=natural)
         if not sections:
             raise ValueError("no known document inside")
-        found = [texts_of(p, "t") for s in sections for p in parse_xml(parts[s]).iter() if local(p.tag) == "p"]
-    for k, text in enumerate(x for x in found if x.strip()):
-        yield {"pos": k, "text": text}
+        found = [b for s in sections for b in _blocks_of(parse_xml(parts[s]), "tbl", "tr", "tc", ("p",), _runs)]
+    for k, block in enumerate(b for b in found if b["rows"] or (b["text"] or "").strip()):
+        yield {"pos": k, **block}
 
 
 def read_office(files: DataFrame) -> DataFrame:
-    """(path, pos, text) of the paragraphs of office documents."""
-    return each_file(files, _office, "pos long, text string")
+    """(path, pos, kind, text, rows) of the paragraphs and tables of documents."""
+    return each_file(files, _office, "pos long, kind string, text string, rows array<array<string>>")
+
+
+def document_stats(blocks: DataFrame) -> DataFrame:
+    """(path, paragraphs, tables, rows, cells, bullets) of what ``read_office`` gives."""
+    rows = F.sum(F.when(F.col("kind") == "table", F.size("rows")).otherwise(0))
+    cells = F.sum(F.when(F.col("kind") == "table", F.aggregate("rows", F.lit(0), lambda n, r: n + F.size(r))).otherwise(0))
+    bullets = F.count_if(F.coalesce(F.col("text").rlike(r"^\s*[-*•·◦▪]\s"), F.lit(False)))
+    return blocks.groupBy("path").agg(F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.count_if(F.col("kind") == "table").alias("tables"), rows.alias("rows"), cells.alias("cells"), bullets.alias("bullets"))

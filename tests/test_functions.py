@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, formula, identifiers, money, texts
+from tessera.functions import dates, formula, identifiers, money, private, texts
 
 
 def one(spark, *columns):
@@ -110,6 +111,8 @@ def test_dates(spark):
     assert [(r.line, r.name, r.error) for r in held] == [(1, "Children", None), (2, "", "not a date")]
     days = [datetime.date(2024, 1, 1) + datetime.timedelta(k) for k in range(400)]
     off = dates.fixed_holidays(spark, 2024, 2025)
+    assert tuple(one(spark, dates.between(d("2024-12-24"), d("2025-01-03"), dates.holiday_ranks(off)))) == (11, 9, 2, 2, 7, False)
+    assert tuple(one(spark, dates.between(d("2030-01-03"), d("2030-01-01"), dates.holiday_ranks(off.limit(0)))))[3:] == (0, 3, True)
     off_days = {r.day for r in off.collect()}
     df = spark.createDataFrame([(a, n) for a in days[150:170] for n in (-12, -1, 0, 1, 9)], "a date, n int")
     for r in dates.add_business_days(df, "a", "n", off, "due").collect():
@@ -144,8 +147,94 @@ def test_texts(spark):
 
 
 def test_redaction(spark):
-    text = "a 900101-1234567 b 4111 1111 1111 1111 c 010-1234-5678 d x@y.example.org e 4111111111111112 f 2024-01-02"
-    assert one(spark, texts.redact(F.lit(text))) == "a 900101-******* b 4111 **** **** 1111 c 010-****-5678 d x***@y.example.org e 4111111111111112 f 2024-01-02"
-    assert [x.kind for x in one(spark, texts.find_private(F.lit(text)))] == ["resident", "card", "phone", "email"]
-    assert one(spark, texts.redact(F.lit("12-345-678901 M12345678"), ("account", "passport"), "full")) == "**-***-****** *********"
-    assert one(spark, texts.redact(F.lit(None).cast("string"))) is None
+    text = "a 900101-1234567 b 4111 1111 1111 1111 c 010-1234-5678 d xy@y.example.org e 4111111111111112 f 2024-01-02 g x@y.example.org h 1588.1234"
+    assert one(spark, private.redact(F.lit(text))) == "a 900101-1****** b 4111 **** **** 1111 c 010-****-5678 d x*@y.example.org e 4111111111111112 f 2024-01-02 g *@y.example.org h 1588.****"
+    assert [x.kind for x in one(spark, private.find_private(F.lit(text)))] == ["resident", "card", "phone", "email", "email", "phone"]
+    assert one(spark, private.redact(F.lit("12-345-678901 M12345678 123-45-67890 2024-01-123456 0502-123-4567"), ("account", "passport"), "full")) == "**-***-****** ********* 123-45-67890 2024-01-123456 0502-123-4567"
+    assert one(spark, private.redact(F.lit("12-345-678901 M123A5678"), ("account", "passport"))) == "12-***-****** M123*****"
+    assert one(spark, private.redact(F.lit("ab.c@d-e.org"), mode="full")) == "****@***.***" and one(spark, private.redact(F.lit("ab@c.org 01012345678"), mode="tag")) == "[email] [phone]"
+    assert one(spark, private.redact(F.lit(None).cast("string"))) is None and one(spark, private.redact(F.lit(""))) == ""
+    for clean in ("900231-1234567", "034-123-4567 045-123-4567", "0101234567890123", "1-010-1234-5678", "x@y", "12.010-1234-5678", "010-1234-56789", "15881234"):
+        assert one(spark, private.redact(F.lit(clean))) == clean, clean
+    # the same digits within a longer run stay
+    assert one(spark, private.redact(F.lit("010-1234-5678 and 9010-1234-5678"))) == "010-****-5678 and 9010-1234-5678"
+
+
+def by_hand(text):
+    """Telephone, card and resident numbers and addresses by plain scanning: candidates from each place on, longest first."""
+    import calendar
+
+    out, k = [], 0
+    while k < len(text):
+        for kind, n in [(kind, n) for kind in ("email", "resident", "card", "phone") for n in range(min(60, len(text) - k), 5, -1)]:
+            piece, before, after = text[k : k + n], text[max(0, k - 2) : k], text[k + n : k + n + 2]
+            digits = re.sub("[^0-9]", "", piece)
+            marks = " -" if kind == "card" else ".-"
+            inside = before[-1:].isdigit() or (before[1:] in marks and len(before) == 2 and before[0].isdigit()) or after[:1].isdigit() or (after[:1] in marks and len(after) == 2 and after[1].isdigit())
+            luhn = sum(sum(divmod(2 * int(c), 10)) if j % 2 else int(c) for j, c in enumerate(reversed(digits))) % 10 == 0
+            if kind == "resident":
+                ok = re.fullmatch("[0-9]{6}[ -]?[1-8][0-9]{6}", piece) and not inside and 1 <= int(digits[2:4]) <= 12 and 1 <= int(digits[4:6]) <= calendar.monthrange(2000, int(digits[2:4]))[1]
+            elif kind == "card":
+                ok = re.fullmatch("[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{13,19}", piece) and not inside and (not piece.isdigit() or piece[0] in "234569") and luhn
+            elif kind == "phone":
+                ok = re.fullmatch("01[016789]([ .-]?)[0-9]{3,4}\\1[0-9]{4}", piece) and not inside
+            else:
+                ok = re.fullmatch("[A-Za-z0-9_.%+-]+@([A-Za-z0-9-]+[.])+[A-Za-z]{2,}", piece) and not re.match("[A-Za-z0-9_.%+-]", before[-1:]) and not re.match("[A-Za-z0-9-]", after[:1])
+            if ok:
+                out.append((kind, k, text.count("\n", 0, k) + 1, piece))
+                k += n - 1
+                break
+        k += 1
+    return out
+
+
+def test_findings_by_hand(spark):
+    import random
+
+    rnd = random.Random(4)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = [lambda: f"010-{digits(4)}-{digits(4)}", lambda: f"011{digits(7)}", lambda: f"{digits(6)}-{rnd.randint(1, 9)}{digits(6)}", lambda: "4111 1111 1111 1111", lambda: "5500000000000004", lambda: f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", lambda: f"j.d{digits(1)}@mail.ex-a.org", lambda: digits(rnd.randint(1, 20)), lambda: "word"]
+    texts = ["".join(rnd.choice(make)() + rnd.choice([" ", ", ", "\n", ".", " x ", "-", ""]) for _ in range(rnd.randint(0, 8))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {k: [] for k in range(len(texts))}
+    for r in private.findings(df).collect():
+        got[r.k].append((r.kind, r["index"], r.line, r.found))
+        assert r.length == len(r.found) and r.masked != r.found
+    for k, t in enumerate(texts):
+        assert sorted(got[k], key=lambda x: x[1]) == by_hand(t), t
+
+
+def test_names_of_files(spark):
+    assert texts.sheet_names(["a/b", "A_b", "", "'x'", "y" * 40, "y" * 40]) == ["a_b", "A_b (2)", "Sheet", "x", "y" * 31, "y" * 27 + " (2)"]
+    assert one(spark, texts.part_file_name(F.lit("t"), F.lit(" a/b "), "csv")) == "t_a_b.csv" and one(spark, texts.part_file_name(F.lit("t"), F.lit(" "), "csv")) == "t_blank.csv"
+    assert one(spark, texts.escape_rtf(F.lit("a{b}\\ é가👍\n"))) == "a\\{b\\}\\\\ \\u233?\\u-21504?\\u-10179?\\u-9139?\\line "
+    assert one(spark, texts.page_label("{n} / {total}", F.lit(3), F.lit(10))) == "3 / 10"
+    names = [(k, n) for k, n in enumerate(["a.txt", "A.txt", "a (2).txt", "a.txt", "a (2) (2).txt", "b.txt"])]
+    got = [r.new_name for r in texts.plan_renames(spark.createDataFrame(names, "k int, n string"), "n", [F.col("k")], "{name}").orderBy("k").collect()]
+    assert len({g.lower() for g in got}) == 6 and got[0] == "a.txt" and got[-1] == "b.txt"
+    upper = texts.plan_renames(spark.createDataFrame(names, "k int, n string"), "n", [F.col("k")], "{n:2}-{name}", find="^A", replace="z", regex=True, flags="i").orderBy("k").collect()
+    assert [r.new_name for r in upper][:2] == ["01-z.txt", "02-z.txt"]
+
+
+def test_item_table_and_batches(spark):
+    items = spark.createDataFrame([("pen", "2", "1,000"), ("x", "x", "5")], "item string, qty string, price string")
+    rows = money.item_table(money.item_lines(items), 1000).orderBy("part", "item").collect()
+    assert [(r.item, r.amount) for r in rows] == [("pen", "2,000"), ("x", "error: quantity"), ("net", "2,000"), ("tax", "200"), ("total", "2,200")]
+    many = identifiers.check_many(spark.createDataFrame([("124.81.00998, 123-45-67890, =1",)], "t string"), "t")
+    lines = {r.input: r.line for r in identifiers.batch_csv(many).collect()}
+    assert lines["124.81.00998"] == "124.81.00998,124-81-00998,business,valid,8" and lines["=1"] == "'=1,,unknown,not a number,"
+    assert "invalid" in lines["123-45-67890"]
+
+
+def test_snapped(spark):
+    import random
+
+    rnd = random.Random(2)
+    values = [rnd.choice([1, -1]) * rnd.random() * 10 ** rnd.randint(-18, 18) for _ in range(3000)] + [0.0, 1.005 * 100, 1e22, 1e300, 999.9999999999999, 1000.0, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", formula.snapped(F.col("v")).alias("s"), formula.fifteen(F.col("v")).alias("f"))
+    rows = df.collect()
+    assert all(abs(r.s - r.f) <= 1.1e-14 * abs(r.f) for r in rows) and sum(r.s == r.f for r in rows) > 0.8 * len(rows)
+    assert all(r.s == r.f for r in rows[-7:])
+    for digits in range(-2, 7):
+        x = df.select(*[F.signum("v") * F.floor(F.abs(F.col(c)) * 10.0**digits + 0.5) for c in ("s", "f")]).toDF("a", "b")
+        assert x.filter("abs(a) < 1e13 AND a <> b").count() == 0
