@@ -103,15 +103,23 @@ def each_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], s
     """Rows of ``parse(path, content)`` for each file; a file that cannot be read gives a row with its error."""
     names = [x.split()[0] for x in re.split(r",\s*(?![^<]*>)", schema)]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in ("path", *names, "error")})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            held: list[dict] = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 try:
                     rows = [{"path": path, **r} for r in parse(path, bytes(content))]
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, zlib.error, struct.error) as error:
                     rows = [{"path": path, "error": str(error)}]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", *names, "error"]).astype(object).where(lambda f: f.notna(), None)
+                held += rows
+                if len(held) > 5000:
+                    yield frame(held)
+                    held = []
+            if held:
+                yield frame(held)
 
     return files.mapInPandas(run, f"path string, {schema}, error string")
 
