@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, free_names, text_rows
+from tessera.llm.common import Workspace, free_names, partitions_for, text_rows
 
 #: A sentence ends at closing punctuation before white space, or at a line end; it keeps what follows it up to the next.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![\s.!?])[^.!?\n]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)\s*")
@@ -73,6 +74,66 @@ def spans(docs: DataFrame, run: int, least_words: int, long_words: int) -> DataF
     return docs.mapInArrow(each, "doc long, body long, first int, size int, span long, more long")
 
 
+LATER = "edge int, part int, span long, more long, doc long, body long, first int, size int"
+PLAIN, UNSURE, FIRST, LAST = range(4)
+
+
+def later_runs(ws: Workspace, found: DataFrame) -> DataFrame:
+    """(doc, body, first, size) of the runs that are not the first of their hash in the order of (doc, body, first).
+
+    Runs are sorted by hash and place over range partitions, which cut a run
+    that a third of the rows share into many; in each, a run is later if it
+    stands elsewhere than the first one of its hash.  Where a partition begins
+    within a hash, that first one lies before it: each partition tells the
+    groups at its ends (two rows), and from these the driver sees which of the
+    runs at the beginnings are later too.
+    """
+    order = ("span", "more", "doc", "body", "first")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        part, carried, began, groups = TaskContext.get().partitionId(), None, None, 0
+
+        def rows(edge: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), *(pa.int64(),) * 4, pa.int32(), pa.int32())
+            return pa.record_batch([pa.array(c, t) for c, t in zip([edge, np.full(len(edge), part), *columns], kinds, strict=True)], names=["edge", "part", *order, "size"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in order]
+            new = np.ones(n, bool)
+            new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            if carried is not None:
+                new[0] = (columns[0][0], columns[1][0]) != tuple(carried[:2])
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            kept = [np.where(start >= 0, c[np.maximum(start, 0)], carried[k] if carried else 0) for k, c in enumerate(columns)]
+            elsewhere = np.logical_or.reduce([c != x for c, x in zip(columns[2:], kept[2:], strict=True)])
+            unsure = ~elsewhere & (groups + np.cumsum(new) == 1)
+            at = np.flatnonzero(elsewhere | unsure)
+            yield rows(np.where(elsewhere[at], PLAIN, UNSURE), [*(c[at] for c in columns), batch.column("size").to_numpy()[at]])
+            began = began or [int(c[0]) for c in columns]
+            carried, groups = [int(x[-1]) for x in kept], groups + int(new.sum())
+        if began:
+            yield rows(np.array([FIRST, LAST]), [np.array(c) for c in zip(began, carried, strict=True)] + [np.zeros(2)])
+
+    dealt = found.repartitionByRange(partitions_for(ws.spark), *order).sortWithinPartitions(*order)
+    marked = ws.write(dealt.mapInArrow(run, LATER), "later")
+    ends: dict[int, dict[int, tuple]] = {}
+    for r in marked.filter(F.col("edge") >= FIRST).toLocalIterator():  # two rows for each partition
+        ends.setdefault(r.part, {})[r.edge] = (r.span, r.more, (r.doc, r.body, r["first"]))
+    open_, held = [], None
+    for part in sorted(ends):
+        first, last = ends[part][FIRST], ends[part][LAST]
+        goes_on = held is not None and held[:2] == first[:2]
+        if goes_on and held[2] != first[2]:
+            open_.append(part)
+        if not goes_on or last[:2] != first[:2]:
+            held = last
+    sure = F.col("edge") == PLAIN
+    return marked.filter(sure | ((F.col("edge") == UNSURE) & F.col("part").isin(open_)) if open_ else sure).select("doc", "body", "first", "size")
+
+
 def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words: int = 12, long_words: int = 24) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated sentence runs removed from text.
 
@@ -90,10 +151,7 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words:
     doc, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))
     keyed = docs.select(doc.alias("doc"), body.alias("body"), F.col("text").cast("string").alias("text"))
     found = ws.write(spans(keyed, run, least_words, long_words), "spans")
-    place = F.struct("doc", "body", "first")
-    repeated = found.groupBy("span", "more").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1").select("span", "more", "kept")
-    later = found.join(repeated, ["span", "more"]).filter(place != F.col("kept"))
-    lost = later.groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.struct("first", "size"))).alias("lost"))
+    lost = later_runs(ws, found).groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.struct("first", "size"))).alias("lost"))
     lost = ws.write(lost, "lost")
     rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "original_chars")]
     of_doc, of_body, first, size = free_names([*docs.columns, "text"], "doc", "body", "lost_first", "lost_size")

@@ -205,6 +205,19 @@ def test_spans_of_short_sentences(spark):
     assert got[2].text == "Other start is. Last one." and got[4].text == "Quite another beginning. "
 
 
+def test_a_run_over_many_partitions(spark):
+    """One passage in most rows spans several range partitions: only its first place stays."""
+    passage = "Every one of these rows has the same three sentences. They are long enough to count as a run. No more is in them than that. "
+    texts = {k: (passage if k % 4 else "") + f"Row number {k} ends with words of its own here. " for k in range(400)}
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = sentence_spans.dedup_spans(spark, df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.doc_id: r.n_removed for r in got} == {k: n for k, (n, _) in spans_by_hand(texts, 3, 12, 24).items()} and len(got) == 401
+
+
 def test_rows_without_a_doc_id_lose_their_own(spark):
     same, other = words(1, 20).replace(".", ",") + ". ", words(2, 30).replace(".", ",") + "."
     rows = [(None, same * 3 + "End of the first one here."), (None, other + " Last."), (7, same * 3 + "Something else follows."), (7, "Alone and unlike the rest."), (8, "x")]
