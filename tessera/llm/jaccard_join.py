@@ -15,6 +15,7 @@ from tessera.llm.common import Workspace, components, mix64, partitions_for, tex
 #: Counters of the frequency sketch: 4 bytes each, so what is broadcast has this fixed size.
 COUNTERS = 1 << 22
 BLOCK = 1 << 14
+SALTS = 16
 BITS = ("bits0", "bits1", "bits2", "bits3")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -170,7 +171,12 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_postings(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """Postings whose token has a second node, streamed over sorted partitions: memory does not follow a token's count."""
+    """Postings whose token has a second node, streamed over sorted range partitions.
+
+    Memory does not follow a token's count, and a token that many nodes have is
+    cut into partitions.  A cut may part two postings, so the first and the last
+    one of each partition stay whatever their token.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held = None
@@ -183,6 +189,7 @@ def shared_postings(spark: SparkSession, found: DataFrame) -> DataFrame:
                 continue
             same = token[1:] == token[:-1]
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            keep[0] |= held is None
             keep = keep[:-1]  # the last row waits for the next batch, with one row before it for its token
             start = carried if held is not None else 0
             rows = np.flatnonzero(keep)
@@ -190,12 +197,11 @@ def shared_postings(spark: SparkSession, found: DataFrame) -> DataFrame:
             yield from table.take(pa.array(rows)).combine_chunks().to_batches()
             carried = min(len(token) - 1, 1)
             held = table.slice(len(token) - 1 - carried)
-        if held is not None and held.num_rows > 1:
-            token = held.column("token").to_numpy()
-            if token[-1] == token[-2]:
-                yield from held.slice(held.num_rows - 1).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.slice(held.num_rows - 1).combine_chunks().to_batches()
 
-    dealt = found.repartition(partitions_for(spark), "token").sortWithinPartitions("token", "size", "node")
+    order = ("token", "size", "node")
+    dealt = found.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, POSTING)
 
 
@@ -235,10 +241,12 @@ def contract(ws: Workspace, labelled: DataFrame, percent: int, step: int, window
     Postings of a token are sorted by another part of the parity bits in each
     step, which brings similar sets together; of the partners that sizes,
     reaches and bits allow, the one whose bits differ in the fewest places is
-    taken.  A node that finds none here is left to ``candidate_pairs``.
+    taken.  Range partitions cut a token that many nodes have, which parts a few
+    neighbours.  A node that finds none here is left to ``candidate_pairs``.
     """
     turned = [BITS[(step + k) % len(BITS)] for k in range(len(BITS))]
-    dealt = labelled.repartition(partitions_for(ws.spark), "token").sortWithinPartitions("token", *turned, "node")
+    order = ("token", *turned, "node")
+    dealt = labelled.repartitionByRange(partitions_for(ws.spark), *order).sortWithinPartitions(*order)
     names = ("token", "node", "class", "size", "reach", *BITS)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -323,16 +331,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     group by a linear number of pairs; then every pair of different classes
     that the prefixes allow is verified, so no link is lost.  Texts without
     words, and null ones, stay alone, as do rows without a doc_id, which are
-    left out of the result.  Rows of one doc_id count as one document with the
-    shingles of all of them apart: doc_ids should be unique.
+    left out of the result.  Equal rows are one document; of different texts
+    under one doc_id only one, left to chance, is compared with others, though
+    each has its row: doc_ids should be unique.
     """
     ws = Workspace(spark, "jaccard")
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(sketch(spark, ws, docs.select("text"), n))
     described = ws.write(describe(docs, counts, n, percent, most_matches), "described")
     ws.drop("sketch")
-    by_set = described.filter("n_shingles > 0").groupBy("signature").agg(F.min("row_id").alias("node"))
-    members = ws.write(described.select("row_id", "n_shingles", "signature").join(by_set, "signature", "left").select("row_id", "n_shingles", F.coalesce("node", "row_id").alias("node")), "members")
+    # sets found once need no partner; those found often are dealt out by row, so that a set of many rows is no task of its own
+    by_set = described.filter("n_shingles > 0").groupBy("signature").agg(F.min("row_id").alias("node"), F.count("*").alias("rows")).filter("rows > 1")
+    by_set = ws.write(by_set, "sets").select("signature", "node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = described.select("row_id", "n_shingles", "signature", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = ws.write(dealt.join(by_set, ["signature", "salt"], "left").select("row_id", "n_shingles", F.coalesce("node", "row_id").alias("node")), "members")
     one = members.filter("row_id = node AND n_shingles > 0").select(F.col("node"), F.col("row_id")).distinct()
     reps = ws.write(described.join(one, "row_id").dropDuplicates(["row_id"]), "reps")
     bits = ws.write(reps.select("node", *BITS), "bits")
