@@ -203,6 +203,14 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, at: str, end_id
     spark.createDataFrame(starts, "shard int, start long, n_tokens long, first_id long").coalesce(1).write.parquet(f"{at}/shards")
 
 
+def id_ranges(ids: set[int], most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all ``ids``, cut at the widest gaps, so that a filter does not grow with the ids."""
+    order = sorted(ids)
+    widest = sorted(range(1, len(order)), key=lambda k: order[k] - order[k - 1], reverse=True)[: most - 1]
+    cuts = [0, *sorted(widest), len(order)]
+    return [(order[a], order[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
 def read_store(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32, ids binary) of a store.
 
@@ -217,8 +225,8 @@ def read_store(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -
     blocks = spark.read.schema(BLOCKS).parquet(f"{at}/blocks")
     if wanted is not None:
         near = F.lit(False)
-        for x in sorted(wanted):
-            near = near | ((F.col("first_id") <= x) & (F.col("last_id") >= x))
+        for low, high in id_ranges(wanted):
+            near = near | ((F.col("first_id") <= high) & (F.col("last_id") >= low))
         blocks = blocks.filter(near)
     starts = {r.shard: r.start for r in spark.read.schema("shard int, start long, n_tokens long, first_id long").parquet(f"{at}/shards").collect()}
 

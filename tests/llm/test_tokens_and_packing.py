@@ -44,6 +44,17 @@ def test_store_round_trip(spark, odd, tmp_path):
     assert sorted(r.doc_id for r in some) == [3, 6, 6] and {r.start for r in some} <= {r.start for r in rows}
 
 
+def test_many_ids_of_a_store(spark, tmp_path):
+    at, path = f"file://{tmp_path}/store", public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(k * k, words(k, 5)) for k in range(600)], "doc_id long, text string")
+    tokens.write_store(spark, docs, path, at)
+    wanted = [k * k for k in range(0, 600, 3)] + [5, 10**12]
+    got = {r.doc_id: bytes(r.ids) for r in tokens.read_store(spark, at, wanted).collect()}
+    assert got == {k * k: ids(words(k, 5)) for k in range(0, 600, 3)}
+    assert tokens.read_store(spark, at, []).count() == 0
+    assert tokens.id_ranges({1, 2, 3, 9, 10, 50}, 3) == [(1, 3), (9, 10), (50, 50)] and tokens.id_ranges(set()) == []
+
+
 def test_store_of_nothing(spark, none):
     assert tokens.token_store(spark, none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
