@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the published numbering rules.
 BUSINESS_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
 CORPORATE_WEIGHTS = (1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2)
+#: Digits five and six of a corporate number and the kind of company they name.
+CORPORATE_TYPES = {"11": "stock company", "12": "general partnership", "13": "limited partnership", "14": "limited company"}
 
 
 def digit(text: Column, k: int) -> Column:
@@ -47,6 +49,14 @@ def business_type(digits: Column) -> Column:
     )
 
 
+def corporate_type(digits: Column) -> Column:
+    """The kind of company that digits five and six name, null for others."""
+    code, found = F.substring(digits, 5, 2), F.lit(None).cast("string")
+    for k, name in CORPORATE_TYPES.items():
+        found = F.when(code == k, name).otherwise(found)
+    return found
+
+
 def check_number(text: Column) -> Column:
     """STRUCT<kind, number, formatted, expected, valid, type> of a number of 10 or 13 digits; kind null otherwise."""
     d = digits_only(text)
@@ -56,7 +66,7 @@ def check_number(text: Column) -> Column:
     shown = F.when(ten, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 5))).when(thirteen, F.concat_ws("-", F.substring(d, 1, 6), F.substring(d, 7, 7)))
     return F.struct(
         F.when(ten, "business").when(thirteen, "corporate").alias("kind"), d.alias("number"), shown.alias("formatted"), expected.alias("expected"),
-        F.coalesce(expected == F.right(d, F.lit(1)).cast("int"), F.lit(False)).alias("valid"), F.when(ten, business_type(d)).alias("type"),
+        F.coalesce(expected == F.right(d, F.lit(1)).cast("int"), F.lit(False)).alias("valid"), F.when(ten, business_type(d)).when(thirteen, corporate_type(d)).alias("type"),
     )
 
 

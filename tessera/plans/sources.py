@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.texts import escape_xml
 from tessera.plans.registry import query, read
-from tessera.sources import files
+from tessera.sources import files, writers
 
 
 def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,3 +97,47 @@ def office_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = files.read_office(orders_of(spark, sf_dir).select("path", packed(body).alias("content")))
     return found.select("path", "pos", "kind", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
+@query(f"""
+WITH d AS (SELECT path || '.' || form AS path, row, key, status FROM ({ROWS.format('o_orderpriority')}), (SELECT unnest(['docx', 'epub', 'fb2', 'fodt', 'odt']) AS form))
+SELECT path, CAST(0 AS BIGINT) AS pos, 'paragraph' AS kind, 'Orders of ' || path || ' & <Co>' AS text, NULL AS cells FROM (SELECT DISTINCT path FROM d) UNION ALL
+SELECT path, CAST(1 AS BIGINT), 'table', NULL, string_agg(key || ',' || status, ';' ORDER BY row) FROM d GROUP BY path
+""")
+def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph and a table for each customer, written in each format of documents that can be read, and read back."""
+    block = lambda kind, text, rows: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), rows.cast("array<array<string>>").alias("rows"))
+    table = F.transform("rows", lambda r: F.array(F.lpad(r["o_orderkey"].cast("string"), 9, "0"), r["o_orderstatus"]))
+    orders, none = orders_of(spark, sf_dir), F.lit(None)
+    out = None
+    for form in ("docx", "epub", "fb2", "fodt", "odt"):
+        path = F.concat("path", F.lit(f".{form}"))
+        parts = F.array(block("paragraph", F.concat(F.lit("Orders of "), path, F.lit(" & <Co>")), none), block("table", none, table))
+        made = orders.select(path.alias("path"), writers.document_bytes(parts, F.col("path"), form).alias("content"))
+        out = made if out is None else out.unionByName(made)
+    return files.read_office(out).select("path", "pos", "kind", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
+@query(f"""
+SELECT path || form AS path, CAST(row - 1 AS BIGINT) AS row, CAST(CAST(key AS BIGINT) AS VARCHAR) || ',' || status || ',' || CASE WHEN status = 'F' THEN 'TRUE' ELSE 'FALSE' END || ',' || '  ' || priority AS cells, 'num,str,bool,str' AS kinds
+FROM ({ROWS.format('o_orderpriority')}), (SELECT unnest(['.ods', '.fods']) AS form)
+""")
+def written_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each customer in both OpenDocument forms, read back."""
+    cell = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    row = lambda r: F.array(cell("num", r["o_orderkey"].cast("string")), cell("str", r["o_orderstatus"]), cell("bool", F.upper((r["o_orderstatus"] == "F").cast("string"))), cell("str", F.concat(F.lit("  "), r["o_orderpriority"])))
+    sheets = F.array(F.struct(F.lit("orders & more").alias("name"), F.transform("rows", row).alias("rows")))
+    orders = orders_of(spark, sf_dir)
+    ods, fods = (orders.select(F.concat("path", F.lit(f".{form}")).alias("path"), writers.spreadsheet_bytes(sheets, form).alias("content")) for form in ("ods", "fods"))
+    return files.read_xlsx(ods.unionByName(fods)).select("path", "row", F.array_join("cells", ",").alias("cells"), F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderpriority AS p, CAST(o_orderkey AS VARCHAR) AS k, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CAST(o_orderkey AS VARCHAR)) AS n FROM orders)
+SELECT o_custkey AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY p, k) - 1 AS BIGINT) AS pos, 'orders/' || p || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.txt' AS name, k AS text FROM o
+""")
+def order_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer as entries of an archive, named by priority, so that names meet."""
+    entries = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("archive"), F.concat(F.lit("orders/"), "o_orderpriority", F.lit(".txt")).alias("name"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("data"))
+    found = files.read_zip(writers.archives(entries).select(F.col("archive").cast("string").alias("path"), "content"))
+    return found.select(F.col("path").cast("bigint").alias("path"), "pos", "name", F.decode("data", "UTF-8").alias("text"))

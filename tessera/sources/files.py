@@ -273,6 +273,9 @@ def serial_date(serial: float, from_1904: bool) -> str:
 
 
 def _xlsx(path: str, content: bytes) -> Iterator[dict]:
+    if not content.startswith(b"PK"):
+        yield from _ods(parse_xml(content))
+        return
     parts = dict(zip_entries(content))
     if "content.xml" in parts:
         yield from _ods(parse_xml(parts["content.xml"]))
@@ -316,7 +319,7 @@ def _ods(tree: ElementTree.Element) -> Iterator[dict]:
                 if local(c.tag) not in ("table-cell", "covered-table-cell"):
                     continue
                 kind = names.get(get(c, "value-type") or "", "blank")
-                text = "\n".join("".join(p.itertext()) for p in c if local(p.tag) == "p")
+                text = "\n".join(_all_text(p) for p in c if local(p.tag) == "p")
                 value = {"num": get(c, "value"), "bool": (get(c, "boolean-value") or "").upper(), "date": (get(c, "date-value") or text).replace("T", " ")}.get(kind, text or None)
                 kind = "str" if kind == "blank" and value else kind
                 cells += [(value, kind)] * min(int(get(c, "number-columns-repeated") or 1), 1 << 14)
@@ -329,7 +332,7 @@ def _ods(tree: ElementTree.Element) -> Iterator[dict]:
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
-    """(path, sheet, position, row, cells, kinds, formulas) of the stored values of XLSX and ODS workbooks.
+    """(path, sheet, position, row, cells, kinds, formulas) of the stored values of XLSX, ODS and FODS workbooks.
 
     kinds says what each cell is (num, str, bool, date, err, blank); dates come as ISO texts.
     """
@@ -406,12 +409,29 @@ def _blocks_of(tree: ElementTree.Element, table: str, row: str, cell: str, parag
     return walk(tree)
 
 
+#: Elements of text documents that stand for a character.
+SIGNS = {"tab": "\t", "br": "\n", "cr": "\n", "line-break": "\n", "lineBreak": "\n", "noBreakHyphen": "-"}
+
+
 def _all_text(node: ElementTree.Element) -> str:
-    return "".join(node.itertext())
+    """All text of a node, with its tabs, line ends and counted blanks."""
+    out = [node.text or ""]
+    for x in node:
+        if local(x.tag) == "s":
+            out.append(" " * min(int(next((v for k, v in x.attrib.items() if local(k) == "c"), 1)), 1 << 14))
+        else:
+            out.append(SIGNS.get(local(x.tag)) or _all_text(x))
+        out.append(x.tail or "")
+    return "".join(out)
 
 
 def _runs(node: ElementTree.Element) -> str:
-    return texts_of(node, "t")
+    """The texts of a paragraph's runs; a tab of the paragraph's settings is no character."""
+    if local(node.tag) in ("pPr", "rPr"):
+        return ""
+    if local(node.tag) == "t":
+        return _all_text(node)
+    return "".join(SIGNS.get(local(x.tag)) or _runs(x) for x in node)
 
 
 def _office(path: str, content: bytes) -> Iterator[dict]:
