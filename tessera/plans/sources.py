@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.texts import escape_xml
 from tessera.plans.registry import query, read
-from tessera.sources import files, writers
+from tessera.sources import files, patches, writers
 
 
 def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,20 +40,39 @@ def json_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("row > 0").select("path", "row", F.col("cells")[0].alias("key"), F.col("cells")[1].alias("status"), F.col("cells")[2].alias("priority"))
 
 
-@query(f"SELECT path, row, CAST(key AS DOUBLE) AS key, 'num' AS kind, status, priority FROM ({ROWS.format('o_orderpriority')})")
-def xlsx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook for each customer, written and read back as cells with their kinds."""
+def workbooks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of a workbook for each customer."""
 
     @F.pandas_udf("binary")
     def written(rows: pd.Series) -> pd.Series:
         return pd.Series([files.xlsx_bytes([("orders", [["key", "status", "priority"], *[[int(r["o_orderkey"]), r["o_orderstatus"], r["o_orderpriority"]] for r in own]])]) for own in rows])
 
-    sheets = files.read_xlsx(orders_of(spark, sf_dir).select("path", written("rows").alias("content")))
-    cells = files.workbook_cells(sheets).filter("row > 0")
+    return orders_of(spark, sf_dir).select("path", written("rows").alias("content"))
+
+
+def orders_in(workbooks: DataFrame) -> DataFrame:
+    cells = files.workbook_cells(files.read_xlsx(workbooks)).filter("row > 0")
     value = lambda col, name: F.max(F.when(F.col("col") == col, F.col(name)))
     return cells.groupBy(F.col("book").alias("path"), F.col("row").cast("long").alias("row")).agg(value(0, "num").alias("key"), value(0, "kind").alias("kind"), value(1, "str").alias("status"), value(2, "str").alias("priority"))
 
 
+@query(f"SELECT path, row, CAST(key AS DOUBLE) AS key, 'num' AS kind, status, priority FROM ({ROWS.format('o_orderpriority')})")
+def xlsx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each customer, written and read back as cells with their kinds."""
+    return orders_in(workbooks_of(spark, sf_dir))
+
+
+@query(f"SELECT path, row, CAST(key AS DOUBLE) + CASE WHEN status = 'F' THEN 0.5 ELSE 0 END AS key, 'num' AS kind, status, CASE WHEN status = 'O' THEN 'open & ' || priority ELSE priority END AS priority FROM ({ROWS.format('o_orderpriority')})")
+def patched_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same workbooks with numbers of finished orders and texts of open ones changed in place."""
+    workbooks = workbooks_of(spark, sf_dir)
+    orders = orders_of(spark, sf_dir).select("path", F.posexplode("rows").alias("row", "o"))
+    place = lambda col: ["path", F.lit("orders").alias("sheet"), (F.col("row") + 1).alias("row"), F.lit(col).alias("col")]
+    numbers = orders.filter("o.o_orderstatus = 'F'").select(*place(0), *patches.edit("num", F.col("o.o_orderkey") + 0.5))
+    names = orders.filter("o.o_orderstatus = 'O'").select(*place(2), *patches.edit("str", F.concat(F.lit("open & "), "o.o_orderpriority")))
+    return orders_in(patches.patched_workbooks(workbooks, numbers.unionByName(names)).select("path", "content"))
+
+
 @query("SELECT 'c' || o_custkey AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, 'orders/' || o_orderkey || '.txt' AS name, CAST(strlen(o_orderpriority) AS BIGINT) AS size, sha256(o_orderpriority) AS sha256 FROM orders")
 def zip_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each customer, with a path that leaves it among its entries."""
