@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.texts import escape_xml
 from tessera.plans.registry import query, read
-from tessera.sources import files, patches, writers
+from tessera.sources import files, imports, patches, writers
 
 
 def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,3 +160,21 @@ def order_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("archive"), F.concat(F.lit("orders/"), "o_orderpriority", F.lit(".txt")).alias("name"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("data"))
     found = files.read_zip(writers.archives(entries).select(F.col("archive").cast("string").alias("path"), "content"))
     return found.select(F.col("path").cast("bigint").alias("path"), "pos", "name", F.decode("data", "UTF-8").alias("text"))
+
+
+@query(f"""
+WITH r AS (SELECT path, row, CAST(CAST(key AS BIGINT) AS VARCHAR) AS k, key, status, priority FROM ({ROWS.format('o_orderpriority')}))
+SELECT path || '.tsv' AS path, 'Sheet1' AS sheet, CAST(row - 1 AS BIGINT) AS row, key || '|' || status || '|' || priority AS cells, 'str,str,str' AS kinds FROM r UNION ALL
+SELECT path || '.json', 'Sheet1', row, k || '|' || status || '|' || priority, 'num,str,str' FROM r UNION ALL
+SELECT path || '.xml', 'orders', CAST(2 * row AS BIGINT), k || '|-|' || priority, 'num,blank,str' FROM r
+""")
+def mixed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as TSV, JSON and XML spreadsheet files, read together by their endings."""
+    row = lambda *cells: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    tsv = F.array_join(F.transform("rows", lambda r: row(F.lpad(r["o_orderkey"].cast("string"), 9, "0"), "\t", r["o_orderstatus"], "\t", r["o_orderpriority"])), "\r\n")
+    cell = lambda r, k: row('<Row s:Index="', ((k + 1) * 2 + 1).cast("string"), '"><Cell><Data s:Type="Number">', r["o_orderkey"].cast("string"), '</Data></Cell><Cell s:Index="3"><Data s:Type="String">', escape_xml(r["o_orderpriority"]), "</Data></Cell></Row>")
+    xml = row('<Workbook xmlns:s="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet s:Name="orders"><Table>', F.array_join(F.transform("rows", cell), ""), "</Table></Worksheet></Workbook>")
+    orders = orders_of(spark, sf_dir)
+    tables = [orders.select(F.concat("path", F.lit(f".{name}")).alias("path"), F.encode(text, "UTF-8").alias("content")) for name, text in (("tsv", tsv), ("json", F.to_json("rows")), ("xml", xml))]
+    found = imports.read_sheets(tables[0].unionByName(tables[1]).unionByName(tables[2]))
+    return found.filter("NOT (path LIKE '%.json' AND row = 0)").select("path", "sheet", "row", F.array_join("cells", "|", "-").alias("cells"), F.array_join("kinds", ",").alias("kinds"))

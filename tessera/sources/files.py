@@ -10,6 +10,7 @@ import csv
 import datetime
 import io
 import json
+import lzma
 import re
 import struct
 import zipfile
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ENTRIES, MOST_BYTES = 5000, 64 << 20
+#: What damaged files raise in the parsers; parts that are missing show as lookups that fail, and so do methods of compression unknown here.
+UNREADABLE = (ValueError, LookupError, ArithmeticError, TypeError, AttributeError, RuntimeError, EOFError, csv.Error, lzma.LZMAError, zipfile.BadZipFile, ElementTree.ParseError, zlib.error, struct.error)
 
 
 def decode_text(content: bytes) -> tuple[str, str, bool, bool]:
@@ -112,8 +115,8 @@ def each_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], s
             for path, content in zip(part["path"], part["content"], strict=True):
                 try:
                     rows = [{"path": path, **r} for r in parse(path, bytes(content))]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, zlib.error, struct.error) as error:
-                    rows = [{"path": path, "error": str(error)}]
+                except UNREADABLE as error:
+                    rows = [{"path": path, "error": str(error) or type(error).__name__}]
                 held += rows
                 if len(held) > 5000:
                     yield frame(held)
@@ -126,6 +129,7 @@ def each_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], s
 
 def _cells(path: str, content: bytes, strict: bool = False) -> Iterator[dict]:
     text = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8") if strict else decode_text(content)[0]
+    csv.field_size_limit(max(len(text), csv.field_size_limit()))
     reader = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if path.lower().endswith((".tsv", ".tab")) else ",")
     rows = [r for r in reader]
     width = max(map(len, rows), default=0)
@@ -442,7 +446,13 @@ def _office(path: str, content: bytes) -> Iterator[dict]:
     natural = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
     if not content.startswith(b"PK"):
         tree = parse_xml(content)
-        found = list(_blocks_of(tree, *odf)) if local(tree.tag) == "document" else list(_blocks_of(next(x for x in tree if local(x.tag) == "body"), "table", "tr", "td th", ("p", "v", "subtitle", "text-author"), _all_text))
+        if local(tree.tag) == "document":
+            found = list(_blocks_of(tree, *odf))
+        else:
+            bodies = [x for x in tree if local(x.tag) == "body"]
+            if not bodies:
+                raise ValueError("no known document inside")
+            found = [b for x in bodies for b in _blocks_of(x, "table", "tr", "td th", ("p", "v", "subtitle", "text-author"), _all_text)]
     elif "word/document.xml" in (parts := dict(zip_entries(content))):
         found = list(_blocks_of(parse_xml(parts["word/document.xml"]), "tbl", "tr", "tc", ("p",), _runs))
     elif "content.xml" in parts:

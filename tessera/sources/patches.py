@@ -6,8 +6,6 @@ only these bytes are written anew, all others are copied.
 
 from __future__ import annotations
 
-import zipfile
-from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.workbook import VALUE_FIELDS, address
-from tessera.sources.files import local, parse_xml, zip_entries
+from tessera.sources.files import UNREADABLE, local, parse_xml, zip_entries
 from tessera.sources.writers import zipped
 
 #: Types of cells in the file format that hold text, and the type that each kind of value asks for.
@@ -201,8 +199,8 @@ def patched_workbooks(files: DataFrame, edits: DataFrame) -> DataFrame:
             return content, [], None
         try:
             return *patch_xlsx(bytes(content), wanted), None
-        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as error:
-            return content, [], str(error)
+        except UNREADABLE as error:
+            return content, [], str(error) or type(error).__name__
 
     schema = "path string, content binary, problems array<struct<sheet string, address string, problem string>>, error string"
     return files.select("path", "content").groupBy("path").cogroup(flat.groupBy("path")).applyInPandas(run, schema)
