@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, sentence_spans, substrings, tokens
+from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, runs, sentence_spans, substrings, tokens
 from tessera.llm.common import prepare
 
 
@@ -76,6 +76,14 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_spans(spark, docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), pattern=True)
+    return found.withColumn("best", runs.strongest()).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000L * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.listed(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -88,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_decontaminate": op9_decontaminate,
         "op10_sentence_spans": op10_sentence_spans,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
