@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, runs, sentence_spans, substrings, tokens
+from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, runs, sentence_spans, spellings, substrings, tokens
 from tessera.llm.common import prepare
 
 
@@ -84,6 +84,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spellings.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spellings.group_spellings(spark, words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_sentence_spans": op10_sentence_spans,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_spelling_groups": op13_spelling_groups,
     }
 
 
