@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, runs, sentence_spans, spellings, substrings, tokens
+from tessera.llm import decontaminate, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, runs, sentence_spans, spellings, substrings, tokens, topk
 from tessera.llm.common import prepare
 
 
@@ -76,6 +76,10 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_spans(spark, docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_hundredth(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), pattern=True)
     return found.withColumn("best", runs.strongest()).select(
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_decontaminate": op9_decontaminate,
         "op10_sentence_spans": op10_sentence_spans,
+        "op11_topk_search": op11_topk_search,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_spelling_groups": op13_spelling_groups,
     }
@@ -110,4 +115,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": license_scan.scan_sql(),
         "op4_quality_rules": quality_rules.rules_sql(),
+        "op11_topk_search": topk.search_sql(),
     }
