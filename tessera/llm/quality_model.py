@@ -128,12 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
     A bounded sample of about ``most_rows`` labelled rows, picked by a hash of
     the id, is fitted on the driver; its features, not its texts, go there.
-    Null labels and ids are left out.
+    Null labels and ids are left out.  Labels of one id that disagree count as
+    the smallest, and of several texts under one id the smallest is learnt
+    from, so a repeated id is one row of the sample.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder() != 0)).select("doc_id", F.col(label).cast("int").alias("label"))
     every = max(1, -(-known.count() // most_rows))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).dropDuplicates(["doc_id"])
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "label")
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).groupBy("doc_id").agg(F.min("label").alias("label"))
+    sample = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches):

@@ -24,29 +24,34 @@ END_ID = 1
 class Encoder:
     """Ids of whole texts by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    Where the file's pre-tokenizer drops white space (checked on a probe), no
+    Where the file's pre-tokenizer drops white space (checked on probes), no
     piece spans it, so a text's ids are the ids of its runs between blanks and
     line ends, one after the other; other files get whole texts.  Runs repeat,
     so their ids are remembered.  Before that, texts of Latin letters are put
     in lower case and single commas and full stops apart, as the file does
-    itself (on the probe too).  New words go to the library many at a time
-    where each ends in a token with the word-end mark, by which their ids are
-    told apart.  The memory is emptied at ``most`` entries, so its size does
-    not follow the input.
+    itself (on the probes too).  A text that holds a token which the library
+    looks for in raw text (its added tokens, in any letter case) goes to the
+    library as it is.  New words go there many at a time where each ends in a
+    token with the word-end mark, by which their ids are told apart.  Runs of
+    over ``LONG`` letters are not remembered, and the memory is emptied at
+    ``most`` bytes, so its size does not follow the input.
     """
 
-    PROBE = "One  two\n\tThree, it's 4 a.b É. "
+    PROBES = ("One  two\n\tThree, it's 4 a.b É. ", "A.B, c. ... ,, x . y\r\nZÀÿ", "  \t1,000.50 don't #@! (x), [y]. ", "ß µ\xa0n\x85e\x1cf, g")
     CLOSE = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ")
+    LONG, ENTRY = 64, 170
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most: int = 1_200_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.most, self.memory = most, {"": b""}
-        self.by_run = self._whole(self.PROBE) == b"".join(self._whole(x) for x in self.PROBE.split())
-        self.apart = self.by_run and self._whole(self.PROBE) == b"".join(self._whole(x) for x in self.PROBE.lower().replace(", ", " , ").replace(". ", " . ").split())
+        self.most, self.memory, self.held = most, {"": b""}, 0
+        self.raw = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        joined = lambda text: b"".join(self._whole(x) for x in re.split("[ \n\t\r]", text))
+        self.by_run = all(self._whole(p) == joined(p) for p in self.PROBES)
+        self.apart = self.by_run and all(self._whole(p) == joined(p.lower().replace(", ", " , ").replace(". ", " . ")) for p in self.PROBES if not self.CLOSE.search(p))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
@@ -70,28 +75,37 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if not self.by_run:
+        if not self.by_run or self.raw and self._looked_for(text):
             return self._whole(text) + self.end
         runs = self._runs(text)
         try:
             return b"".join(map(self.memory.__getitem__, runs)) + self.end
         except KeyError:
-            self._learn(runs)
-            return b"".join(map(self.memory.__getitem__, runs)) + self.end
+            known = self._learn(runs)
+            return b"".join(map(known.__getitem__, runs)) + self.end
+
+    def _looked_for(self, text: str) -> bool:
+        low = text.lower()
+        return any(token in low for token in self.raw)
 
-    def _learn(self, runs: list[str]) -> None:
-        if len(self.memory) > self.most:
-            self.memory = {"": b""}
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of all ``runs``; those that are not too long are remembered."""
+        if self.held > self.most:
+            self.memory, self.held = {"": b""}, 0
         new = [x for x in set(runs) if x not in self.memory]
-        words = [x for x in new if x.isalpha()]
+        words, got = [x for x in new if x.isalpha()], {}
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(cuts) == len(words):
             raw = ids.tobytes()
-            self.memory.update((x, raw[a:b]) for x, a, b in zip(words, [0, *cuts], cuts, strict=False))
+            got.update((x, raw[a:b]) for x, a, b in zip(words, [0, *cuts], cuts, strict=False))
             new = [x for x in new if not x.isalpha()]
-        for run, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[run] = np.array(got.ids, "<u4").tobytes()
+        for run, own in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            got[run] = np.array(own.ids, "<u4").tobytes()
+        short = {x: y for x, y in got.items() if len(x) <= self.LONG}
+        self.memory.update(short)
+        self.held += sum(self.ENTRY + 4 * len(x) + len(y) for x, y in short.items())
+        return self.memory if len(short) == len(got) else {**{x: self.memory[x] for x in runs if x in self.memory}, **got}
 
 
 @lru_cache(2)
@@ -155,8 +169,9 @@ BLOCK_SCHEMA = pa.schema([
 def train_dictionary(docs: DataFrame, path: str, end_id: int | None = END_ID, sample_docs: int = 1000, sample_bytes: int = 8192, size: int = 1 << 16) -> bytes:
     """A zstandard dictionary from the serialised ids of about ``sample_docs`` documents, ``sample_bytes`` of each.
 
-    The sample bounds what reaches the driver (8 MB); it decides the
-    compression ratio alone, never an id.  Too few samples to train give a
+    They are picked by a hash of id and text, four times as many at most where
+    rows repeat, which bounds what reaches the driver (32 MB); the sample
+    decides the compression ratio alone, never an id.  Too few samples to train give a
     dictionary of their raw content, none give an empty one.
     """
     every = max(1, docs.count() // sample_docs)
@@ -169,7 +184,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None = END_ID, sa
             rows = [np.frombuffer(encoder.encode(x), "<u4").astype(width).tobytes()[:sample_bytes] for x in texts]
             yield pa.record_batch([pa.array(rows, pa.binary())], names=["ids"])
 
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").limit(4 * sample_docs)
     samples = [bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").collect()]
     if not samples:
         return b""

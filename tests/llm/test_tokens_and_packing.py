@@ -30,6 +30,19 @@ def test_encoder_is_the_tokenizer(name):
         assert encoder.encode(text) == ids(text, name), text[:40]
 
 
+def test_encoder_on_texts_with_added_tokens_in_any_case():
+    """Added tokens are looked for in raw text, so lower-casing must not make them; memory of any size gives the same ids."""
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    bits = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " ", "  ", "\n", "\t", "a", "É", "B.", ", ", "x,y", ". ", "...", "don't", "1,000", "日本", "ß", "\x85", "\xa0", "</w>", "<|", "|>", "AbC", "a" * 90]
+    for encoder, some in ((tokens.Encoder(path), bits), (tokens.Encoder(path, most=3000), bits), (tokens.Encoder(path), bits[4:])):
+        assert encoder.by_run and encoder.apart
+        for _ in range(4000):
+            text = "".join(rnd.choice(some) for _ in range(rnd.randint(0, 9)))
+            want = np.array([*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+            assert encoder.encode(text) == want, text
+        assert max(map(len, encoder.memory)) <= encoder.LONG
+
+
 def test_store_round_trip(spark, odd, tmp_path):
     at = f"file://{tmp_path}/store"
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -60,9 +73,14 @@ def test_store_of_nothing(spark, none):
 
 
 def test_op1(spark):
-    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op1_token_store(spark, SF).collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    assert got == {d.doc_id: (len(ids(d.text)) // 4, zlib.crc32(ids(d.text))) for d in docs}
+    got = {tuple(r) for r in queries.op1_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    want, start = set(), 0
+    for d in docs:
+        own = ids(d.text)
+        want.add((d.doc_id, start, len(own) // 4, zlib.crc32(own)))
+        start += len(own) // 4
+    assert got == want
 
 
 def test_histogram_packs_every_piece():
