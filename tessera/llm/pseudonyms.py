@@ -215,20 +215,26 @@ class Kind:
     """A pattern and the pseudonym of what it finds; None from ``change`` leaves a match that is not valid.
 
     A ``grouped`` match may be read too far, so its shorter readings that end
-    with a group are tried too.
+    with a group are tried too.  A ``valued`` one goes on to the last letter or
+    digit before a blank or quote, if there is a digit on the way.
     """
 
     name: str
     pattern: str
     change: Callable[[str, bytes], str | None]
     grouped: bool = False
+    valued: bool = False
+
+
+VALUE = re.compile(r"[^\s\"']*")
+DIGIT = re.compile("[0-9]")
 
 
 #: Tried in this order at each place.  A run of name characters is read once, from its start: no pattern goes back over it.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", _email),
     Kind("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _aws),
-    Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?=[^\s\"']*[0-9])[^\s\"']*[A-Za-z0-9]", _secret),
+    Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?=[^\s\"'])", _secret, valued=True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])", _iban, True),
     Kind("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", _ip),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9]|[./-][0-9])", _date),
@@ -254,13 +260,24 @@ class Pseudonymizer:
         found: dict[str, int] = {}
         if not text or not self.quick.search(text):
             return text, found
-        out, at, begin = [], 0, 0
+        out, at, begin, bare = [], 0, 0, 0
         while m := self.pattern.search(text, begin):
             # a match that is not valid gives way to the later kinds at the same place
             for kind, pattern in self.single:
                 if not (own := pattern.match(text, m.start())):
                     continue
-                for read in group_ends(own[0]) if kind.grouped else (own[0],):
+                whole = own[0]
+                if kind.valued:
+                    if own.end() < bare:  # within a value that was read before and has no digit from there on
+                        continue
+                    end = VALUE.match(text, own.end()).end()
+                    if not DIGIT.search(text, own.end(), end):
+                        bare = end
+                        continue
+                    while not (text[end - 1].isascii() and text[end - 1].isalnum()):
+                        end -= 1
+                    whole = text[m.start() : end]
+                for read in group_ends(whole) if kind.grouped else (whole,):
                     if (new := self.change(kind.name, read)) is not None:
                         break
                 else:

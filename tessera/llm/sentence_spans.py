@@ -29,14 +29,12 @@ def normal(sentence: str) -> bytes:
     return " ".join(sentence.lower().split()).encode("utf-8", "surrogatepass")
 
 
-def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -> tuple[list[int], list[int], list[bytes]]:
-    """(first sentence, sentences, 128-bit hash) of each run of ``run`` sentences with enough words.
+def span_hashes(parts: list[str], run: int, long_words: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(first sentence, sentences, 128-bit hash) of each run of ``run`` sentences.
 
     Sentences without a word character belong to the run around them without
-    counting.  Where ``run`` sentences have fewer than ``least_words`` words,
-    the run goes on until it has them, so that a passage of short sentences is
-    seen; a shorter run that has ``long_words`` words counts too, so that a
-    passage of a few long sentences is seen.
+    counting.  A shorter run that has ``long_words`` words counts too, so that
+    a passage of a few long sentences is seen.
     """
     kept = [k for k, x in enumerate(parts) if LETTERS.search(x)]
     one = [normal(parts[k]) for k in kept]
@@ -44,25 +42,23 @@ def span_hashes(parts: list[str], run: int, least_words: int, long_words: int) -
     starts, sizes, hashes = [], [], []
     for k in range(len(kept)):
         total = 0
-        for m in range(1, len(kept) - k + 1):
+        for m in range(1, min(run, len(kept) - k) + 1):
             total += words[k + m - 1]
-            if total >= (least_words if m >= run else long_words):
+            if m == run or total >= long_words:
                 starts.append(kept[k])
                 sizes.append(kept[k + m - 1] - kept[k] + 1)
                 hashes.append(xxhash.xxh3_128_digest(b"\n".join(one[k : k + m])))
-            if m >= run and total >= least_words:
-                break
     return starts, sizes, hashes
 
 
-def spans(docs: DataFrame, run: int, least_words: int, long_words: int) -> DataFrame:
+def spans(docs: DataFrame, run: int, long_words: int) -> DataFrame:
     """(doc, body, first, size, span, more) of each run; span and more are the halves of its hash."""
 
     def each(batches) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches):
             rows, starts, sizes, hashes = [], [], [], []
             for row, text in enumerate(texts):
-                got = span_hashes(sentences(text), run, least_words, long_words)
+                got = span_hashes(sentences(text), run, long_words)
                 rows += [row] * len(got[0])
                 starts += got[0]
                 sizes += got[1]
@@ -134,13 +130,12 @@ def later_runs(ws: Workspace, found: DataFrame) -> DataFrame:
     return marked.filter(sure | ((F.col("edge") == UNSURE) & F.col("part").isin(open_)) if open_ else sure).select("doc", "body", "first", "size")
 
 
-def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words: int = 12, long_words: int = 24) -> DataFrame:
+def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, long_words: int = 24) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated sentence runs removed from text.
 
     Every run of ``run`` consecutive sentences (of fewer, if they have
-    ``long_words`` words; of more, until they have ``least_words``) is hashed; of equal runs the
-    first by (doc_id, place) stays, and each sentence that any later one covers
-    goes.  Adds n_sentences and n_removed (long) and original_chars, in place of
+    ``long_words`` words) is hashed; of equal runs the first by (doc_id, place)
+    stays, and each sentence that any later one covers goes.  Adds n_sentences and n_removed (long) and original_chars, in place of
     columns with these names; a document that loses nothing keeps its text as it
     was.  Null text stays null with no sentences.  A null doc_id comes before
     all others; different texts under one doc_id, or under none, follow each
@@ -150,7 +145,7 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, run: int = 3, least_words:
     ws = Workspace(spark, "spans")
     doc, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))
     keyed = docs.select(doc.alias("doc"), body.alias("body"), F.col("text").cast("string").alias("text"))
-    found = ws.write(spans(keyed, run, least_words, long_words), "spans")
+    found = ws.write(spans(keyed, run, long_words), "spans")
     lost = later_runs(ws, found).groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.struct("first", "size"))).alias("lost"))
     lost = ws.write(lost, "lost")
     rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "original_chars")]

@@ -165,7 +165,7 @@ def test_sentences_join_to_the_text():
     assert sentence_spans.sentences("One two. Three 3.5 four!\nFive") == ["One two. ", "Three 3.5 four!\n", "Five"]
 
 
-def spans_by_hand(texts, run, least, many):
+def spans_by_hand(texts, run, many):
     """The sentences each text loses: runs compared as tuples of their sentences, in the order of the ids."""
     seen, lost = set(), {}
     for k in sorted(texts):
@@ -175,8 +175,9 @@ def spans_by_hand(texts, run, least, many):
         own = [" ".join(parts[j].lower().split()) for j in real]
         gone = set()
         for i in range(len(real)):
-            ends = [m for m in range(i + 1, len(real) + 1) if len(" ".join(own[i:m]).split(" ")) >= (least if m - i >= run else many)]
-            for m in [m for m in ends if m - i < run] + [m for m in ends if m - i >= run][:1]:
+            for m in range(i + 1, min(i + run, len(real)) + 1):
+                if m - i < run and len(" ".join(own[i:m]).split(" ")) < many:
+                    continue
                 if tuple(own[i:m]) in seen:
                     gone |= set(range(real[i], real[m - 1] + 1))
                 seen.add(tuple(own[i:m]))
@@ -189,19 +190,19 @@ def test_spans(spark):
     pool = [words(k, rnd.randint(2, 9)).replace(".", "") + ". " for k in range(25)]
     texts = {k: "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "...\n", "\n"]) for k in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = sentence_spans.dedup_spans(spark, df, 3, 9, 12).collect()
-    assert {r.doc_id: (r.n_removed, r.text) for r in got} == spans_by_hand(texts, 3, 9, 12)
+    got = sentence_spans.dedup_spans(spark, df, 3, 12).collect()
+    assert {r.doc_id: (r.n_removed, r.text) for r in got} == spans_by_hand(texts, 3, 12)
     assert all(r.text == texts[r.doc_id] for r in got if not r.n_removed)
 
 
 def test_spans_of_short_sentences(spark):
-    """A passage of 60 words in sentences of three has spans, and so has one of single words."""
+    """A passage of 60 words in sentences of three has spans, and so have one of single words and three short sentences."""
     three = "".join(f"We saw thing{k}. " for k in range(20))
     single = "".join(f"word{k}!! " for k in range(40))
-    texts = {1: "Begin here now. " + three + "End.", 2: "Other start is. " + three + "Last one.", 3: single, 4: "Quite another beginning. " + single, 5: "We saw thing3. We saw thing4. We saw thing5."}
+    texts = {1: "Begin here now. " + three + "End.", 2: "Other start is. " + three + "Last one.", 3: single, 4: "Quite another beginning. " + single, 5: "We saw thing3. We saw thing4. We saw thing5.", 6: "He ran off. She sat down. They all left.", 7: "Alone at first. He ran off. She sat down. They all left."}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in sentence_spans.dedup_spans(spark, df).collect()}
-    assert {k: r.n_removed for k, r in got.items()} == {1: 0, 2: 20, 3: 0, 4: 40, 5: 0}
+    assert {k: r.n_removed for k, r in got.items()} == {1: 0, 2: 20, 3: 0, 4: 40, 5: 3, 6: 0, 7: 3}
     assert got[2].text == "Other start is. Last one." and got[4].text == "Quite another beginning. "
 
 
@@ -215,13 +216,13 @@ def test_a_run_over_many_partitions(spark):
         got = sentence_spans.dedup_spans(spark, df).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert {r.doc_id: r.n_removed for r in got} == {k: n for k, (n, _) in spans_by_hand(texts, 3, 12, 24).items()} and len(got) == 401
+    assert {r.doc_id: r.n_removed for r in got} == {k: n for k, (n, _) in spans_by_hand(texts, 3, 24).items()} and len(got) == 401
 
 
 def test_rows_without_a_doc_id_lose_their_own(spark):
     same, other = words(1, 20).replace(".", ",") + ". ", words(2, 30).replace(".", ",") + "."
     rows = [(None, same * 3 + "End of the first one here."), (None, other + " Last."), (7, same * 3 + "Something else follows."), (7, "Alone and unlike the rest."), (8, "x")]
-    got = {(r.doc_id, r.text) for r in sentence_spans.dedup_spans(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 12, 99).collect()}
+    got = {(r.doc_id, r.text) for r in sentence_spans.dedup_spans(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 99).collect()}
     assert got == {(None, rows[0][1]), (None, rows[1][1]), (7, "Something else follows."), (7, rows[3][1]), (8, "x")}
 
 
@@ -237,4 +238,4 @@ def test_spans_odd_rows(spark, odd, none):
 def test_op10(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: (r.n_removed, r.text or "") for r in queries.op10_sentence_spans(spark, SF).collect()}
-    assert got == spans_by_hand(docs, 3, 12, 24)
+    assert got == spans_by_hand(docs, 3, 24)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -331,3 +332,14 @@ def test_pipeline_is_its_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     total = lambda df: df.agg(F.sum("length"), F.count_distinct("doc_id")).first()
     assert total(__spark_entry__.queries()["pipeline"](spark, sf)) == total(last)
+
+
+def test_secrets_are_read_in_linear_time():
+    change = pseudonyms.Pseudonymizer(b"a key of 20 bytes or")
+    took = []
+    for n in (5_000, 80_000):
+        began = time.process_time()
+        assert change("token=" * n + " 5")[1] == {}
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * 4 * took[0] + 0.5
+    assert change("token=" * 50 + "abc1-")[1] == {"secret": 1} and change("1token=abc token: \"x9\"")[1] == {"secret": 1}
