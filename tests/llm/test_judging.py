@@ -339,7 +339,7 @@ def test_secrets_are_read_in_linear_time():
     took = []
     for n in (5_000, 80_000):
         began = time.process_time()
-        assert change("token=" * n + " 5")[1] == {}
+        assert change("token=" * n + "x 5")[1] == {}
         took.append(time.process_time() - began)
     assert took[1] < 16 * 4 * took[0] + 0.5
     assert change("token=" * 50 + "abc1-")[1] == {"secret": 1} and change("1token=abc token: \"x9\"")[1] == {"secret": 1}
