@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.formula import DIV, NUM, VALUE, UnsupportedFormula, column_letters
+from tessera.operators import ranges
 from tessera.operators.scratch import Scratch
 
 VALUE_FIELDS = ("kind", "num", "str", "bool", "err")
@@ -357,105 +359,313 @@ def within(tiled: DataFrame, cells: DataFrame) -> DataFrame:
     return tiled.join(placed, ["book", "sheet", "col", "block"]).filter("row BETWEEN r0 AND r1")
 
 
-def gathered(tiled: DataFrame, cells: DataFrame) -> DataFrame:
-    """(id, held): what each formula's areas hold, a struct for each area, whatever its size."""
-    met = within(tiled, cells)
-    place_of_error = F.min(F.when(F.col("kind_v") == "err", F.struct("row", "col", "err")))
-    truth = F.when(F.col("kind_v") == "bool", F.col("bool")).when(F.col("kind_v") == "num", F.col("num") != 0)
+def range_aggregates() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What a range makes of its cells, running and merged; the ends of ranges lie among the cells with no kind."""
+    num = F.when(F.col("kind_v") == "num", F.col("num"))
+    truth = F.when(F.col("kind_v") == "bool", F.col("bool")).otherwise(num != 0)
+    running = {
+        "n": F.count(num), "total": F.sum(num), "product": F.product(num), "low": F.min(num), "high": F.max(num), "filled": F.count_if((F.col("kind_v") != "blank") & (F.coalesce("str", F.lit("x")) != "")),
+        "every": F.bool_and(truth), "some": F.bool_or(truth), "first_error": F.min(F.when(F.col("kind_v") == "err", F.struct("row", "col", "err"))), "problem": F.max("problem"),
+    }
+    how = {"n": F.sum, "total": F.sum, "product": F.product, "low": F.min, "high": F.max, "filled": F.sum, "every": F.bool_and, "some": F.bool_or, "first_error": F.min, "problem": F.max}
+    return running, {name: merge(name) for name, merge in how.items()}
+
+
+def gathered(areas: DataFrame, cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(id, held): what each formula's areas hold, a struct for each area, whatever its size.
+
+    Single cells are met by their place, ranges by look-ups of running
+    aggregates (``ranges``), and those that stand side by side by tiles.
+    """
+    one = areas.filter("kind = 'cell'").select("id", "need", "book", "sheet", F.col("r0").alias("row"), F.col("c0").alias("col")).join(cells, list(PLACE))
+    one = one.select("id", "need", F.col("kind_v").alias("kind"), *VALUE_FIELDS[1:], "problem")
+    wide = ranges.over_ranges(areas.filter("kind = 'range'"), cells, sheets, *range_aggregates()).withColumn("error", F.col("first_error.err"))
     is_num = F.col("kind_v") == "num"
-    plain = met.filter("kind <> 'zip'").groupBy("id", "need").agg(
-        F.max("kind_v").alias("kind"), F.max("num").alias("num"), F.max("str").alias("str"), F.max("bool").alias("bool"), F.max("err").alias("err"), F.count_if(is_num).alias("n"), F.sum(F.when(is_num, F.col("num"))).alias("total"),
-        F.product(F.when(is_num, F.col("num"))).alias("product"), F.min(F.when(is_num, F.col("num"))).alias("low"), F.max(F.when(is_num, F.col("num"))).alias("high"),
-        F.count_if((F.col("kind_v") != "blank") & (F.coalesce("str", F.lit("x")) != "")).alias("filled"), F.bool_and(truth).alias("every"), F.bool_or(truth).alias("some"), place_of_error["err"].alias("error"), F.max("problem").alias("problem"),
-    )
-    sides = met.filter("kind = 'zip'").withColumns({"r": F.col("row") - F.col("r0"), "c": F.col("col") - F.col("c0")})
+    met = within(tiles(areas.filter("kind = 'zip'"), sheets), cells)
+    sides = met.withColumns({"r": F.col("row") - F.col("r0"), "c": F.col("col") - F.col("c0")})
     items = sides.groupBy("id", "need", "parts", "r", "c").agg(F.product(F.when(is_num, F.col("num")).otherwise(0.0)).alias("x"), F.count("*").alias("k"), F.max("err").alias("error"), F.max("problem").alias("problem"))
     zipped = items.groupBy("id", "need").agg(F.sum(F.when(F.col("k") == F.col("parts"), F.col("x")).otherwise(0.0)).alias("total"), F.max("error").alias("error"), F.max("problem").alias("problem"))
-    both = plain.unionByName(zipped, allowMissingColumns=True)
+    both = one.unionByName(wide, allowMissingColumns=True).unionByName(zipped, allowMissingColumns=True)
     return both.groupBy("id").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "id"])).alias("held"))
 
 
+RESULT = ["id", *PLACE, *VALUE_FIELDS, "problem"]
+RESULT_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+RESULT_SCHEMA = "id long, book string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, problem string"
+
+
+def value_of(text: str, sheet: str, held: dict[int, dict]) -> tuple:
+    """(kind, num, str, bool, err, problem) of a formula, given what its areas hold."""
+    blocked = next((h["problem"] for h in held.values() if h["problem"]), None)
+    if blocked:
+        return (None,) * 5 + (blocked if blocked.startswith("reads ") else f"reads a cell that fails: {blocked}",)
+    try:
+        v = Evaluation(held).value(read(text, sheet).tree)
+    except UnsupportedFormula as error:
+        return (None,) * 5 + (str(error),)
+    kind = "blank" if v is None else "err" if isinstance(v, Err) else "bool" if isinstance(v, bool) else "num" if isinstance(v, float) else "str"
+    return (kind, *(v if kind == k else None for k in ("num", "str", "bool", "err")), None)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT_KINDS, strict=True)], names=RESULT)
+
+
 def evaluated(ready: DataFrame) -> DataFrame:
     """``ready`` (id, place, formula, held) as values (id, place, kind ..., problem)."""
-    names = ["id", *PLACE, *VALUE_FIELDS, "problem"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-
-    def one(text: str, sheet: str, held: list[dict] | None) -> tuple:
-        blocked = next((h["problem"] for h in held or () if h["problem"]), None)
-        if blocked:
-            return (None,) * 5 + (blocked if blocked.startswith("reads ") else f"reads a cell that fails: {blocked}",)
-        try:
-            v = Evaluation({h["need"]: h for h in held or ()}).value(read(text, sheet).tree)
-        except UnsupportedFormula as error:
-            return (None,) * 5 + (str(error),)
-        kind = "blank" if v is None else "err" if isinstance(v, Err) else "bool" if isinstance(v, bool) else "num" if isinstance(v, float) else "str"
-        return (kind, *(v if kind == k else None for k in ("num", "str", "bool", "err")), None)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*(r[c] for c in ("id", *PLACE)), *one(r["formula"], r["sheet"], r["held"])) for r in batch.to_pylist()]
+            rows = [(*(r[c] for c in ("id", *PLACE)), *value_of(r["formula"], r["sheet"], {h["need"]: h for h in r["held"] or ()})) for r in batch.to_pylist()]
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _batch(rows)
+
+    return ready.select("id", *PLACE, "formula", "held").mapInArrow(run, RESULT_SCHEMA)
+
+
+class Together:
+    """Formulas that hang together, computed in their order: those that an edit reaches, each once all that it reads are known.
+
+    A member has id, place, formula, seed (reads an edited cell), the value
+    stored, and held, what its areas hold besides other members.
+    """
+
+    def __init__(self, members: list[dict]):
+        self.members = members
+        columns: dict[tuple, list[tuple[int, int]]] = {}
+        for k, m in enumerate(members):
+            columns.setdefault((m["sheet"], m["col"]), []).append((m["row"], k))
+        self.columns = {c: ([r for r, _ in sorted(own)], [k for _, k in sorted(own)]) for c, own in columns.items()}
+        self.areas = [[(*a, self.inside(*a[4:])) for a in read(m["formula"], m["sheet"]).areas] for m in members]
+        self.reads = [sorted({k for a in own for k in a[-1]}) for own in self.areas]
+        self.values = [tuple(m[c] for c in (*VALUE_FIELDS, "problem")) for m in members]
+
+    def inside(self, sheet: str, r0: int, c0: int, r1: int, c1: int) -> list[int]:
+        """The members in an area."""
+        wanted = ((sheet, c) for c in range(c0, c1 + 1)) if c1 - c0 < len(self.columns) else (c for c in self.columns if c[0] == sheet and c0 <= c[1] <= c1)
+        found: list[int] = []
+        for key in wanted:
+            if key in self.columns:
+                rows, own = self.columns[key]
+                found += own[bisect_left(rows, r0) : bisect_right(rows, r1)]
+        return found
+
+    def held(self, k: int) -> dict[int, dict]:
+        out = {h["need"]: dict(h) for h in self.members[k]["held"] or ()}
+        for need, _, _, kind, *_, inside in self.areas[k]:
+            for m in inside:
+                v = dict(zip((*VALUE_FIELDS, "problem"), self.values[m], strict=True))
+                if kind == "cell":
+                    out[need] = v
+                    continue
+                own = out.setdefault(need, {"n": 0, "total": None, "product": None, "low": None, "high": None, "filled": 0, "every": None, "some": None, "first_error": None, "error": None, "problem": None})
+                own["problem"] = own["problem"] or v["problem"]
+                if v["kind"] == "err":
+                    at = {"row": self.members[m]["row"], "col": self.members[m]["col"], "err": v["err"]}
+                    if own["first_error"] is None or (at["row"], at["col"]) < (own["first_error"]["row"], own["first_error"]["col"]):
+                        own["first_error"], own["error"] = at, v["err"]
+                own["filled"] += v["kind"] not in (None, "blank") and v["str"] != ""
+                truth = v["bool"] if v["kind"] == "bool" else v["num"] != 0 if v["kind"] == "num" else None
+                if truth is not None:
+                    own["every"], own["some"] = truth and own["every"] is not False, truth or bool(own["some"])
+                if v["kind"] == "num":
+                    x = v["num"]
+                    first = not own["n"]
+                    own["n"] += 1
+                    own["total"], own["product"] = (x, x) if first else (own["total"] + x, own["product"] * x)
+                    own["low"], own["high"] = (x, x) if first else (min(own["low"], x), max(own["high"], x))
+        return out
+
+    def names(self, group: list[int]) -> str:
+        """The members of a group by place, with their sheets where they are on several."""
+        own = sorted((self.members[k]["sheet"], self.members[k]["row"], self.members[k]["col"]) for k in group)
+        several = own[0][0] != own[-1][0]
+        return ", ".join(f"{sheet}!" * several + f"{letters(col)}{row + 1}" for sheet, row, col in own)
+
+    def results(self) -> list[tuple]:
+        readers: list[list[int]] = [[] for _ in self.members]
+        for k, own in enumerate(self.reads):
+            for m in own:
+                readers[m].append(k)
+        todo = [k for k, m in enumerate(self.members) if m["seed"]]
+        reached = set(todo)
+        while todo:
+            for k in readers[todo.pop()]:
+                if k not in reached:
+                    reached.add(k)
+                    todo.append(k)
+        waits = {k: sum(m in reached for m in self.reads[k]) for k in reached}
+        todo = [k for k in reached if not waits[k]]
+        while todo:
+            k = todo.pop()
+            self.values[k] = value_of(self.members[k]["formula"], self.members[k]["sheet"], self.held(k))
+            del waits[k]
+            for m in readers[k]:
+                if m in waits:
+                    waits[m] -= 1
+                    if not waits[m]:
+                        todo.append(m)
+        circle = {k: "reads a cycle" for k in waits}
+        for group in cycles(waits, self.reads):
+            circle.update(dict.fromkeys(group, f"part of a cycle: {self.names(group)}"))
+        for k, text in circle.items():
+            self.values[k] = (None,) * 5 + (text,)
+        return [(*(self.members[k][c] for c in ("id", *PLACE)), *self.values[k]) for k in sorted(reached)]
+
+
+def cycles(nodes, reads: list[list[int]]) -> list[list[int]]:
+    """The sets of ``nodes`` that read each other in a circle (strongly connected, or reading themselves)."""
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    open_: set[int] = set()
+    found = []
+    for root in nodes:
+        if root in index:
+            continue
+        path = [(root, iter(reads[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        open_.add(root)
+        while path:
+            k, rest = path[-1]
+            for m in rest:
+                if m not in nodes:
+                    continue
+                if m not in index:
+                    index[m] = low[m] = len(index)
+                    stack.append(m)
+                    open_.add(m)
+                    path.append((m, iter(reads[m])))
+                    break
+                if m in open_:
+                    low[k] = min(low[k], index[m])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[k])
+                if low[k] == index[k]:
+                    group = []
+                    while not group or group[-1] != k:
+                        group.append(stack.pop())
+                    open_.difference_update(group)
+                    if len(group) > 1 or k in reads[k]:
+                        found.append(group)
+    return found
+
+
+def letters(col: int) -> str:
+    out, col = "", col + 1
+    while col:
+        col, k = divmod(col - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def computed_together(members: DataFrame) -> DataFrame:
+    """``members`` (component, id, place, formula, seed, value, problem, held) as the values of those that an edit reaches."""
+    dealt = members.repartition("component").sortWithinPartitions("component", "id")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if own and own[-1]["component"] != row["component"]:
+                    if rows := Together(own).results():
+                        yield _batch(rows)
+                    own = []
+                own.append(row)
+        if own and (rows := Together(own).results()):
+            yield _batch(rows)
 
-    return ready.select("id", *PLACE, "formula", "held").mapInArrow(run, "id long, book string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, problem string")
+    return dealt.mapInArrow(run, RESULT_SCHEMA)
 
 
 def address(row, col):
     return F.concat(column_letters(col), (row + 1).cast("string"))
 
 
-def recalculate(cells: DataFrame, edits: DataFrame, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(changes, problems) after ``edits`` (place and value) to ``cells`` (place, value, formula).
-
-    The formulas that read an edited cell, and those that read them, are found
-    by joins until none is new, and computed in rounds: each round takes those
-    whose areas hold no formula that is still to come.  What is left when no
-    round can start is a cycle.  Chains longer than ``most_rounds`` raise.
-    changes: place, address, before, after (structs), of formulas whose value is
-    another now; problems: place, address, problem, of formulas that cannot be
-    read or computed, and of those that read them, whose stored values stay.
-    An edit of a cell with a formula replaces it.  Order both by place.
-    """
-    spark = cells.sparkSession
-    ws = Scratch(spark, "workbook")
-    own = ws.write(edits.select(*PLACE, *VALUE_FIELDS), "edits")
-    kept = cells.join(own.select(*PLACE), list(PLACE), "left_anti").select(*PLACE, *VALUE_FIELDS, "formula")
-    now = ws.write(kept.unionByName(own, allowMissingColumns=True), "cells")
-    formulas = ws.write(with_areas(now.filter("formula IS NOT NULL")).withColumn("id", F.monotonically_increasing_id()), "formulas")
-    sheets = now.groupBy("book", "sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
-    areas = formulas.select("id", "book", F.inline("areas"))
-    tiled = ws.write(tiles(areas, sheets), "tiles")
-    reads = ws.write(within(tiled, formulas.select(*PLACE, F.col("id").alias("on"))).select("id", "on").distinct(), "reads")
-    dirty = ws.write(within(tiled, own.select(*PLACE)).select("id").distinct(), "dirty0")
-    new = dirty
+def in_rounds(ws: Scratch, formulas: DataFrame, areas: DataFrame, seeds: DataFrame, now: DataFrame, sheets: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(values, pending) of ``formulas`` that an edit reaches, each round computing those whose areas hold none that is still to come."""
+    dirty = new = seeds
     for k in range(1, most_rounds + 1):
-        new = ws.write(reads.join(new.withColumnRenamed("id", "on"), "on").select("id").distinct().join(dirty, "id", "left_anti"), f"dirty{k}")
-        if not new.limit(1).count():
+        new = ws.write(ranges.holding(areas, formulas.join(new, "id", "left_semi"), sheets).join(dirty, "id", "left_anti"), f"dirty{k}")
+        if new.isEmpty():
             break
         dirty = dirty.union(new)
     else:
-        raise RuntimeError(f"chains of over {most_rounds} formulas")
+        raise RuntimeError(f"chains of over {most_rounds} formulas in a component that is too large for a task")
     pending = ws.write(formulas.join(dirty, "id", "left_semi").select("id", *PLACE, "formula"), "pending0")
-    waits = ws.write(reads.join(dirty, "id", "left_semi").join(dirty.withColumnRenamed("id", "on"), "on", "left_semi"), "waits")
-    values = ("kind", *VALUE_FIELDS[1:], "problem")
     still = now.select(*PLACE, *VALUE_FIELDS).join(pending.select(*PLACE), list(PLACE), "left_anti").withColumn("problem", F.lit(None).cast("string"))
     still = ws.write(still, "still")
+    values = (*PLACE, *VALUE_FIELDS, "problem")
     done = ws.write(evaluated(pending.limit(0).withColumn("held", F.lit(None).cast("array<struct<need int, problem string>>"))), "done", append=True)
     for k in range(1, most_rounds + 1):
-        blocked = waits.join(pending.select(F.col("id").alias("on")), "on", "left_semi").select("id").distinct()
-        ready = ws.write(pending.join(blocked, "id", "left_anti"), f"ready{k}")
-        if not ready.limit(1).count():
+        own = areas.join(pending, "id", "left_semi")
+        ready = ws.write(pending.join(ranges.holding(own, pending, sheets), "id", "left_anti"), f"ready{k}")
+        if ready.isEmpty():
             break
-        cells_now = still.select(*PLACE, *values).unionByName(done.select(*PLACE, *values)).withColumnRenamed("kind", "kind_v")
-        held = gathered(tiled.join(ready.select("id"), "id", "left_semi"), cells_now)
+        cells_now = still.select(*values).unionByName(done.select(*values)).withColumnRenamed("kind", "kind_v")
+        held = gathered(areas.join(ready, "id", "left_semi"), cells_now, sheets)
         done = ws.write(evaluated(ready.join(held, "id", "left")), "done", append=True)
         pending = ws.write(pending.join(ready.select("id"), "id", "left_anti"), f"pending{k}")
     else:
-        raise RuntimeError(f"chains of over {most_rounds} formulas")
+        raise RuntimeError(f"chains of over {most_rounds} formulas in a component that is too large for a task")
+    return done, pending
+
+
+def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, most_reads: int = 20_000_000, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(changes, problems) after ``edits`` (place and value) to ``cells`` (place, value, formula).
+
+    Formulas hang together where one holds another in its areas; which do is
+    found by joins, in rounds that grow with the logarithm of the longest chain.
+    What areas hold of plain cells is looked up for all formulas at once
+    (``ranges``), so running totals over long columns cost two look-ups each.
+    A component of at most ``together`` formulas that read each other
+    ``most_reads`` times at most is then computed in one task, in the order of
+    its formulas, however long its chains are.  Larger ones, and those in which
+    SUMPRODUCT reads formulas, are computed in rounds over all of them; there a
+    chain of over ``most_rounds`` raises.
+
+    changes: place, address, before, after (structs), of formulas whose value is
+    another now; problems: place, address, problem, of formulas that cannot be
+    read or computed, of those in a cycle (with its members, where one task saw
+    it) and of those that read such cells, whose stored values stay.  An edit of
+    a cell with a formula replaces it.  Order both by place.
+    """
+    spark = cells.sparkSession
+    ws = Scratch(spark, "workbook")
+    own = ws.write(edits.select(*PLACE, *VALUE_FIELDS), "edits")
+    kept = cells.join(own.select(*PLACE), list(PLACE), "left_anti").select(*PLACE, *VALUE_FIELDS, "formula")
+    now = ws.write(kept.unionByName(own, allowMissingColumns=True), "cells")
+    formulas = ws.write(with_areas(now.filter("formula IS NOT NULL")).withColumn("id", F.monotonically_increasing_id()), "formulas")
+    sheets = ws.write(now.groupBy("book", "sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols")), "sheets")
+    areas = ws.write(formulas.select("id", "book", F.inline("areas")), "areas")
+    readable = formulas.filter("unreadable IS NULL").drop("areas", "unreadable")
+    seeds = ws.write(ranges.holding(areas, own, sheets), "seeds")
+    edges, counts = ranges.links(areas, readable.select("id", *PLACE), sheets)
+    parts = ranges.components(ws, ws.write(edges, "edges")).withColumnRenamed("node", "id")
+    placed = readable.select("id").join(parts, "id", "left").join(counts, "id", "left").join(seeds.withColumn("seed", F.lit(True)), "id", "left")
+    placed = ws.write(placed.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("side_by_side", F.lit(False)).alias("side_by_side"), F.coalesce("seed", F.lit(False)).alias("seed")), "placed")
+    sizes = placed.groupBy("component").agg(F.bool_or("seed").alias("live"), ((F.count("*") <= together) & (F.sum("n") <= most_reads) & ~F.bool_or("side_by_side")).alias("in_task"))
+    live = ws.write(placed.select("id", "component", "seed").join(sizes.filter("live").select("component", "in_task"), "component"), "live")
+
+    some = live.filter("in_task").select("id", "component", "seed")
+    plain = now.filter("formula IS NULL").unionByName(now.join(formulas.filter("unreadable IS NOT NULL"), list(PLACE), "left_semi")).select(*PLACE, F.col("kind").alias("kind_v"), *VALUE_FIELDS[1:]).withColumn("problem", F.lit(None).cast("string"))
+    held = gathered(areas.join(some, "id", "left_semi"), plain, sheets)
+    members = readable.join(some, "id").withColumn("problem", F.lit(None).cast("string")).join(held, "id", "left")
+    done = ws.write(computed_together(members), "together")
+    rest = live.filter("NOT in_task")
+    circles = done.limit(0).select(*PLACE)
+    if not rest.isEmpty():
+        rest = ws.write(rest, "rest")
+        more, pending = in_rounds(ws, readable.join(rest, "id", "left_semi"), areas.join(rest, "id", "left_semi"), ws.write(rest.filter("seed").select("id"), "dirty0"), now, sheets, most_rounds)
+        done, circles = done.unionByName(more), pending.select(*PLACE)
+
     value = lambda df, name: df.select(*PLACE, F.struct(*VALUE_FIELDS).alias(name))
     after = value(done.filter("problem IS NULL"), "after")
     changes = after.join(value(cells, "before"), list(PLACE)).filter(~F.col("before").eqNullSafe(F.col("after")))
     failed = done.filter("problem IS NOT NULL").select(*PLACE, "problem")
-    failed = failed.union(pending.select(*PLACE, F.lit("part of a cycle, or reads one").alias("problem"))).union(formulas.filter("unreadable IS NOT NULL").select(*PLACE, F.col("unreadable")))
+    failed = failed.union(circles.select(*PLACE, F.lit("part of a cycle, or reads one").alias("problem"))).union(formulas.filter("unreadable IS NOT NULL").select(*PLACE, F.col("unreadable")))
     shown = address(F.col("row"), F.col("col")).alias("address")
     return changes.select(*PLACE, shown, "before", "after"), failed.select(*PLACE, shown, "problem")

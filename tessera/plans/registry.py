@@ -274,6 +274,31 @@ def recalculated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("book", "address", "after.num", "after.str")
 
 
+@query("""
+WITH l AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+n AS (SELECT l_suppkey, k, q, CASE WHEN k = 1 THEN 100 ELSE q END AS now FROM l),
+t AS (SELECT l_suppkey, k, q, sum(now) OVER w AS total, min(now) OVER w AS least, max(now) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top, now,
+  sum(q) OVER w AS total_0, min(q) OVER w AS least_0, max(q) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top_0
+  FROM n WINDOW w AS (PARTITION BY l_suppkey ORDER BY k))
+SELECT CAST(l_suppkey AS VARCHAR) AS book, 'B' || k AS address, CAST(total AS DOUBLE) AS num FROM t WHERE total <> total_0 UNION ALL
+SELECT CAST(l_suppkey AS VARCHAR), 'C' || k, CAST(least + top AS DOUBLE) FROM t WHERE least + top <> least_0 + top_0
+""")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's quantities as a column with running totals, running minima and moving maxima, the first quantity edited."""
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("book"), F.col("l_quantity").cast("double").alias("q"), place.alias("k"))
+    upto = Window.partitionBy("book").orderBy("k")
+    least, top = F.min("q").over(upto), F.max("q").over(upto.rowsBetween(-2, 0))
+    cell = lambda col, v, f: F.struct(F.lit(col).alias("col"), v.alias("num"), f.cast("string").alias("formula"))
+    total = cell(1, F.col("total"), F.format_string("=SUM(A$1:A%d)", "k"))
+    ends = cell(2, F.col("ends"), F.format_string("=MIN(A$1:A%d)+MAX(A%d:A%d)", F.col("k"), F.greatest(F.lit(1), F.col("k") - 2), F.col("k")))
+    known = lines.withColumns({"total": F.sum("q").over(upto), "ends": least + top})
+    cells = known.select("book", F.lit("lines").alias("sheet"), (F.col("k") - 1).alias("row"), F.inline(F.array(cell(0, F.col("q"), F.lit(None)), total, ends)))
+    cells = cells.withColumns({"kind": F.lit("num"), "str": F.lit(None).cast("string"), "bool": F.lit(None).cast("boolean"), "err": F.lit(None).cast("string")})
+    edits = cells.filter("row = 0 AND col = 0").withColumn("num", F.lit(100.0)).drop("formula")
+    return workbook.recalculate(cells, edits)[0].select("book", "address", "after.num")
+
+
 @query("""
 SELECT p_partkey, lpad(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR), 5, '0') || '_' || lower(p_brand) || '.txt' AS new_name FROM part
 """)
