@@ -18,8 +18,9 @@ from tessera.sources.files import UNREADABLE, local, parse_xml, zip_entries
 from tessera.sources.writers import zipped
 
 #: Types of cells in the file format that hold text, and the type that each kind of value asks for.
-TEXT_TYPES = {"s", "str", "inlineStr"}
-TYPE_OF = {"num": None, "str": "str", "bool": "b", "err": "e", "blank": "str"}
+#: Kinds of values by the type attribute of a cell, and the attribute that a formula's result of a kind has.
+KIND_OF = {"n": "num", "s": "str", "str": "str", "inlineStr": "str", "b": "bool", "e": "err"}
+RESULT_TYPE = {"str": "str", "bool": "b", "err": "e"}
 #: Parts of a workbook that stand before its settings of calculation.
 BEFORE_CALCULATION = {"sheets", "functionGroups", "externalReferences", "definedNames"}
 
@@ -73,7 +74,7 @@ class _Cells(Spans):
     def found(self, bare, name, attributes, depth, first, last):
         if bare == "f":
             self.formula = self.data[first:last]
-        elif bare == "v":
+        elif bare in ("v", "is"):
             self.valued = True
         elif bare == "c":
             if attributes.get("r") in self.wanted:
@@ -104,24 +105,27 @@ def shown(kind: str, edit: dict) -> str:
 
 
 def new_cell(cell: tuple, edit: dict) -> tuple[bytes | None, str | None]:
-    """(the bytes of a cell with another value, null), or (null, why it cannot have it)."""
+    """(the bytes of a cell with another value, null), or (null, why it cannot have it).
+
+    A formula may result in any kind, an empty one being no value at all; a
+    cell without a formula keeps its kind.  Texts are written in place, as the
+    table of shared ones stays as it is.
+    """
     name, attributes, _, _, formula, valued = cell
-    kind, old = edit["kind"], attributes.get("t", "n")
-    prefix = name.rpartition(":")[0] and f"{name.rpartition(':')[0]}:"
-    rest = {k: v for k, v in attributes.items() if k != "t"}
-    text = escape(shown(kind, edit))
-    if formula is not None:
-        typed = rest | ({"t": TYPE_OF[kind]} if TYPE_OF[kind] else {})
-        return tag(name, typed, f"{formula.decode()}<{prefix}v>{text}</{prefix}v>").encode(), None
-    if old in TEXT_TYPES:
-        if kind != "str":
-            return None, "a cell of text takes text only"
-        return tag(name, rest | {"t": "inlineStr"}, f'<{prefix}is><{prefix}t xml:space="preserve">{text}</{prefix}t></{prefix}is>').encode(), None
-    if old != "n" or not valued:
-        return None, "the cell is empty or of a kind that is not written"
-    if kind != "num":
-        return None, "a cell of numbers takes numbers only"
-    return tag(name, rest, f"<{prefix}v>{text}</{prefix}v>").encode(), None
+    kind = edit["kind"]
+    holds = KIND_OF.get(attributes.get("t", "n")) if valued else "blank"
+    if formula is None and (kind != holds or kind == "blank"):
+        return None, f"the cell holds {holds or 'a value of another type'}, not {kind}"
+    own = lambda part: f"{name.rpartition(':')[0]}:{part}".lstrip(":")
+    in_place = formula is None and kind == "str"
+    stored = "inlineStr" if in_place else RESULT_TYPE.get(kind)
+    rest = {k: v for k, v in attributes.items() if k != "t"} | ({"t": stored} if stored else {})
+    value = escape(shown(kind, edit))
+    if in_place:
+        value = f'<{own("is")}><{own("t")} xml:space="preserve">{value}</{own("t")}></{own("is")}>'
+    elif kind != "blank":
+        value = f"<{own('v')}>{value}</{own('v')}>"
+    return tag(name, rest, (formula or b"").decode() + value).encode(), None
 
 
 def spliced(data: bytes, pieces: list[tuple[int, int, bytes]]) -> bytes:

@@ -44,7 +44,7 @@ def test_nothing_to_change_and_kinds():
         out, problems = patches.patch_xlsx(book(), [value("A1", kind, v)])
         assert out == book() and len(problems) == 1
     out, problems = patches.patch_xlsx(book(), [value("C1", "blank", None)])
-    assert b'<c r="C1" s="5" t="str"><f t="shared" ref="C1:C2" si="0">A1*2 &lt; 3</f><v></v></c>' in dict(files.zip_entries(out))["xl/worksheets/s.xml"] and not problems
+    assert b'<c r="C1" s="5"><f t="shared" ref="C1:C2" si="0">A1*2 &lt; 3</f></c>' in dict(files.zip_entries(out))["xl/worksheets/s.xml"] and not problems
 
 
 def test_patched_workbooks(spark):
