@@ -107,13 +107,13 @@ def _round(x: Column, digits: Column, mode: str) -> Column:
 
 
 def hangul_digits(n: Column, form: int) -> Column:
-    """NUMBERSTRING: 1 Hangul units, 2 formal Hanja, 3 digit by digit, of a non-negative whole number below 10^16."""
+    """NUMBERSTRING: 1 Hangul units, 2 Hanja units, 3 digit by digit, of a non-negative whole number below 10^16."""
     from tessera.functions import money
 
     whole = n.cast("decimal(38,0)")
     if form == 3:
         return F.translate(whole.cast("string"), "0123456789", money.HANGUL)
-    return money.spell(whole, hanja=form == 2, omit_one=form == 1)
+    return money.spell(whole, hanja=form == 2, sheet=True)
 
 
 def combine(*errs: Column) -> Column:

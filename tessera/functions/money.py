@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import decimal
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numerals and units of Korean numbers.
 HANGUL = "영일이삼사오육칠팔구"
-HANJA = "零壹貳參四五六七八九"
-SMALL = {False: ("", "십", "백", "천"), True: ("", "拾", "百", "千")}
+HANJA = "零壹貳參肆伍陸柒捌玖"
+#: Those that spreadsheets spell with, which are formal for some numerals only.
+SHEET_HANJA = "零壹貳參四伍六七八九"
+SMALL = {False: ("", "십", "백", "천"), True: ("", "拾", "佰", "阡")}
+SHEET_SMALL = ("", "拾", "百", "阡")
 LARGE = {False: ("", "만", "억", "조", "경"), True: ("", "萬", "億", "兆", "京")}
 LIMIT = 10**20
 WIDE = "decimal(38,0)"
 
 
+#: What stands before and after the digits: signs and names of the currency, and the mark of a whole amount.
+BEFORE, AFTER = ("₩", "￦", "\\", "KRW"), ("원", "KRW", "원정")
+
+
 def parse_amount(text: Column) -> Column:
     """STRUCT<value DECIMAL(38,0), error STRING> of an amount as people write it: currency sign, commas, trailing unit."""
-    bare = F.regexp_replace(F.trim(text), r"^[₩￦\\]\s*|\s*(원|KRW)(정)?$|^KRW\s*", "")
-    bare = F.regexp_replace(bare, r"[,\s]", "")
+    bare = F.upper(F.regexp_replace(text, r"[,\s]", ""))
+    for mark in BEFORE:
+        bare = F.when(F.startswith(bare, F.lit(mark)), F.substr(bare, F.lit(len(mark) + 1))).otherwise(bare)
+    for mark in AFTER:
+        bare = F.when(F.endswith(bare, F.lit(mark)), F.left(bare, F.length(bare) - len(mark))).otherwise(bare)
     value = F.when(bare.rlike("^[0-9]{1,38}$"), bare.try_cast(WIDE))
     error = (
         F.when(text.isNull() | (bare == ""), F.lit("empty"))
@@ -35,33 +49,37 @@ def groups_of_four(n: Column) -> list[Column]:
     return [F.substring(digits, 1 + 4 * k, 4).cast("int") for k in range(5)]
 
 
-def spell(n: Column, hanja: bool = False, omit_one: bool = False) -> Column:
+def spell(n: Column, hanja: bool = False, omit_one: bool = False, sheet: bool = False) -> Column:
     """A whole number below 10^20 in Hangul or formal Hanja, by groups of four digits.
 
-    ``omit_one`` leaves out "one" before tens, hundreds and thousands.
+    ``omit_one`` leaves out "one" before tens, hundreds, thousands and a lone
+    ten thousand.  ``sheet`` takes the Hanja that spreadsheets spell with.
     """
-    numerals = HANJA if hanja else HANGUL
+    numerals = (SHEET_HANJA if sheet else HANJA) if hanja else HANGUL
+    small = SHEET_SMALL if hanja and sheet else SMALL[hanja]
     parts = []
-    for unit, group in zip(reversed(LARGE[hanja]), groups_of_four(n), strict=True):
+    for place, group in zip((4, 3, 2, 1, 0), groups_of_four(n), strict=True):
         inner = []
         for k in (3, 2, 1, 0):
             digit = F.floor(group / 10**k) % 10
-            name = F.translate(digit.cast("string"), "0123456789", numerals)
-            shown = F.when((digit == 1) & F.lit(omit_one and k > 0), F.lit("")).otherwise(name)
-            inner.append(F.when(digit > 0, F.concat(shown, F.lit(SMALL[hanja][k]))).otherwise(F.lit("")))
-        parts.append(F.when(group > 0, F.concat(*inner, F.lit(unit))).otherwise(F.lit("")))
+            bare = (digit == 1) if k > 0 else (group == 1) & F.lit(place == 1)
+            shown = F.when(bare & F.lit(omit_one), F.lit("")).otherwise(F.translate(digit.cast("string"), "0123456789", numerals))
+            inner.append(F.when(digit > 0, F.concat(shown, F.lit(small[k]))).otherwise(F.lit("")))
+        parts.append(F.when(group > 0, F.concat(*inner, F.lit(LARGE[hanja][place]))).otherwise(F.lit("")))
     return F.when(n == 0, F.lit(numerals[0])).otherwise(F.concat(*parts))
 
 
-def formal(n: Column, hanja: bool = False) -> Column:
-    """The form used in contracts: 금…원정, or its Hanja."""
-    return F.concat(F.lit("金" if hanja else "금"), spell(n, hanja), F.lit("圓整" if hanja else "원정"))
+def formal(n: Column, hanja: bool = False, omit_one: bool = False) -> Column:
+    """The form used in contracts: 일금 …원정 with the figure in brackets, or its Hanja."""
+    if hanja:
+        return F.concat(F.lit("金 "), spell(n, True), F.lit("원整"))
+    return F.concat(F.lit("일금 "), spell(n, omit_one=omit_one), F.lit("원정 (₩"), comma(n), F.lit(")"))
 
 
 def mixed(n: Column) -> Column:
-    """Digits with units: 1억 2,345만 6,789."""
+    """Digits with units: 1억 2,345만 6,789원."""
     shown = [F.when(g > 0, F.concat(F.format_number(g, 0), F.lit(u))) for u, g in zip(reversed(LARGE[False]), groups_of_four(n), strict=True)]
-    return F.when(n == 0, F.lit("0")).otherwise(F.concat_ws(" ", *shown))
+    return F.concat(F.when(n == 0, F.lit("0")).otherwise(F.concat_ws(" ", *shown)), F.lit("원"))
 
 
 def comma(n: Column) -> Column:
@@ -69,43 +87,66 @@ def comma(n: Column) -> Column:
     return F.regexp_replace(n.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
 
 
+#: All signs that are read as a numeral or unit.  Numerals become a to j, so that they are told from digits.
+READ = {
+    "a": "영공零", "b": "일壹一", "c": "이貳二", "d": "삼參三", "e": "사肆四", "f": "오伍五", "g": "육륙陸六", "h": "칠柒七", "i": "팔捌八", "j": "구玖九",
+    "T": "십拾十", "H": "백佰百", "S": "천阡仟千", "M": "만萬", "E": "억億", "J": "조兆", "K": "경京",
+}
+_TIMES = "(?:[b-j]|[1-9][0-9]*)?"
+#: One group: thousands, hundreds and tens, each after what it is taken times, then what is left.
+_GROUP = rf"(?:({_TIMES})S)?(?:({_TIMES})H)?(?:({_TIMES})T)?([b-j]|[0-9]{{1,20}})?"
+SPELLED = re.compile("".join(f"(?:{_GROUP}({large}))?" for large in "KJEM") + f"{_GROUP}()")
+LETTERS = str.maketrans({sign: letter for letter, signs in READ.items() for sign in signs})
+NUMERALS = str.maketrans("abcdefghij", "0123456789")
+AROUND = re.compile(r"^\s*(?:일금|금|金)?\s*|\s*(?:원|圓)?\s*(?:정|整)?(?:\s*\(₩[0-9,]+\))?\s*$")
+
+
+def read_spelled(text: str | None) -> tuple[decimal.Decimal | None, str | None]:
+    """(value, error) of one amount, see ``parse_spelled``."""
+    bare = AROUND.sub("", text or "")
+    if not bare:
+        return None, "empty"
+    if re.search(r"[A-Za-z]|[^\w,.\s]|\.(?![0-9])", bare) or re.search(r"[^a-jTHSMEJK0-9,.\s]", plain := bare.translate(LETTERS)):
+        return None, "sign"
+    if re.search(r"[0-9]\.[0-9]", plain):
+        return None, "decimals"
+    if re.search(r"[a-j]\s*[a-j0-9]|[0-9]\s*[a-j]|[0-9]\s+[0-9]", plain):
+        return None, "digits"
+    packed = re.sub(r"\s|,(?=[0-9]{3}(?![0-9]))", "", plain)
+    if packed in ("a", "0"):
+        return decimal.Decimal(0), None
+    if not (found := SPELLED.fullmatch(packed)) or re.search("[KJEM][KJEM]", packed):
+        return None, "order"
+    total = 0
+    for k, large in enumerate((10**16, 10**12, 10**8, 10**4, 1)):
+        *parts, rest, unit = found.groups()[5 * k : 5 * k + 5]
+        group = sum(int(p.translate(NUMERALS) or 1) * small for p, small in zip(parts, (1000, 100, 10), strict=True) if p is not None) + int((rest or "a").translate(NUMERALS))
+        if unit and packed.startswith(unit):  # a unit with nothing before it stands for itself
+            group = 1
+        total += group * large
+    return (decimal.Decimal(total), None) if total < LIMIT else (None, "too large")
+
+
 def parse_spelled(text: Column) -> Column:
-    """STRUCT<value DECIMAL(38,0), error STRING> of an amount in Hangul numerals; units must fall.
+    """STRUCT<value DECIMAL(38,0), error STRING> of an amount in Hangul or Hanja numerals, or digits with units; units must fall.
 
-    Folds over the characters with (total, group, digit, last small unit, last
-    large unit, error) as state.
+    One pattern states the order of groups and units.  A large unit has
+    something before it, unless the amount begins with it (만 is 10,000).
+    errors: empty, decimals, sign (one that is not read), digits (that follow
+    each other without a unit), order, too large.  Batches of texts go to
+    Python, as a Column would repeat its input for each part of the pattern.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), "^금|원정?$|정$", ""), r"[\s,]", "")
-    dec = lambda x: F.lit(str(x)).cast(WIDE)
-    start = F.struct(dec(0).alias("total"), F.lit(0).cast("long").alias("group"), F.lit(-1).cast("long").alias("digit"), F.lit(9).alias("small"), F.lit(9).alias("large"), F.lit(False).alias("bad"))
-
-    def step(a: Column, c: Column) -> Column:
-        numeral = (F.instr(F.lit(HANGUL), c) - 1).cast("long")
-        small = F.when(c == "십", 1).when(c == "백", 2).when(c == "천", 3)
-        large = F.when(c == "만", 1).when(c == "억", 2).when(c == "조", 3).when(c == "경", 4)
-        one = F.when(a["digit"] < 0, F.lit(1).cast("long")).otherwise(a["digit"])
-        grown = a["group"] + one * F.when(small == 1, 10).when(small == 2, 100).otherwise(1000)
-        whole = a["group"] + F.greatest(a["digit"], F.lit(0).cast("long"))
-        factor = F.when(large == 1, dec(10**4)).when(large == 2, dec(10**8)).when(large == 3, dec(10**12)).otherwise(dec(10**16))
-        added = (a["total"] + F.greatest(whole, F.lit(1).cast("long")).cast("decimal(18,0)") * factor).cast(WIDE)
-        state = lambda t, g, d, s, l, b: F.struct(t.alias("total"), g.alias("group"), d.alias("digit"), s.alias("small"), l.alias("large"), b.alias("bad"))
-        none = F.lit(-1).cast("long")
-        return (
-            F.when(numeral >= 0, state(a["total"], a["group"], numeral, a["small"], a["large"], a["bad"] | (a["digit"] >= 0)))
-            .when(small.isNotNull(), state(a["total"], grown, none, small, a["large"], a["bad"] | (small >= a["small"]) | (a["digit"] == 0)))
-            .when(large.isNotNull(), state(added, F.lit(0).cast("long"), none, F.lit(9), large, a["bad"] | (large >= a["large"]) | (a["digit"] == 0)))
-            .otherwise(state(a["total"], a["group"], a["digit"], a["small"], a["large"], F.lit(True)))
-        )
-
-    last = F.aggregate(F.split(bare, ""), start, step)
-    total = (last["total"] + (last["group"] + F.greatest(last["digit"], F.lit(0).cast("long"))).cast("decimal(18,0)")).cast(WIDE)
-    error = F.when(text.isNull() | (bare == ""), F.lit("empty")).when(last["bad"], F.lit("order")).when(total >= dec(LIMIT), F.lit("too large"))
-    return F.struct(F.when(error.isNull(), total).alias("value"), error.alias("error"))
+
+    def read(texts):
+        return pd.DataFrame([read_spelled(t) for t in texts], columns=["value", "error"])
+
+    return F.pandas_udf(read, "value decimal(38,0), error string", F.PandasUDFType.SCALAR)(text)
 
 
 def parse_any(text: Column) -> Column:
-    """Digits or spelling, whichever the text holds."""
-    return F.when(text.rlike("[0-9]"), parse_amount(text)).otherwise(parse_spelled(text))
+    """Digits or spelling, whichever the text holds: a numeral or unit makes it a spelling."""
+    signs = "".join(READ.values())
+    return F.when(text.rlike(f"[{signs}]"), parse_spelled(text)).otherwise(parse_amount(text))
 
 
 def divide(n: Column, d: Column, mode: str = "floor") -> Column:

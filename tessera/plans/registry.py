@@ -133,14 +133,25 @@ def gross_to_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CAST(n AS DECIMAL(38,0)) AS value, CASE WHEN n >= 10000 THEN CAST(n // 10000 AS VARCHAR) || '만' || CASE WHEN n % 10000 > 0 THEN ' ' || replace(format('{:,}', n % 10000), ' ', '') ELSE '' END ELSE format('{:,}', n) END AS mixed,
- CAST(n AS DECIMAL(38,0)) AS back, format('{:,}', n) AS comma FROM (SELECT c_custkey, CAST(abs(c_acctbal) * 100 AS BIGINT) % 9999999 + 1 AS n FROM (SELECT c_custkey, CAST(c_custkey AS BIGINT) * 997 AS c_acctbal FROM customer))
+WITH n AS (SELECT c_custkey, CAST(c_custkey % 100003 AS HUGEINT) * (c_custkey % 100003) * 7919 * 104729 + c_custkey % 3 AS n FROM customer),
+g AS (SELECT c_custkey, n, k, CAST(n // CAST(10000 AS HUGEINT) ** k % 10000 AS INT) AS g, [1000, 100, 10, 1] AS p FROM (SELECT c_custkey, n, unnest([0, 1, 2, 3, 4]) AS k FROM n)),
+s AS (SELECT c_custkey, n, k, g, list_transform(p, lambda x: g // x % 10) AS d FROM g),
+w AS (SELECT c_custkey, n, k, g,
+ list_aggregate(list_transform([1, 2, 3, 4], lambda i: CASE WHEN d[i] = 0 THEN '' ELSE substr('일이삼사오육칠팔구', d[i], 1) || ['천', '백', '십', ''][i] END), 'string_agg', '') || CASE WHEN g = 0 THEN '' ELSE ['', '만', '억', '조', '경'][k + 1] END AS spelled,
+ list_aggregate(list_transform([1, 2, 3, 4], lambda i: CASE WHEN d[i] = 0 THEN '' ELSE CASE WHEN d[i] = 1 AND (i < 4 OR k = 1 AND g = 1) THEN '' ELSE substr('일이삼사오육칠팔구', d[i], 1) END || ['천', '백', '십', ''][i] END), 'string_agg', '') || CASE WHEN g = 0 THEN '' ELSE ['', '만', '억', '조', '경'][k + 1] END AS short,
+ list_aggregate(list_transform([1, 2, 3, 4], lambda i: CASE WHEN d[i] = 0 THEN '' ELSE substr('壹貳參肆伍陸柒捌玖', d[i], 1) || ['阡', '佰', '拾', ''][i] END), 'string_agg', '') || CASE WHEN g = 0 THEN '' ELSE ['', '萬', '億', '兆', '京'][k + 1] END AS hanja,
+ CASE WHEN g > 0 THEN format('{:,}', g) || ['', '만', '억', '조', '경'][k + 1] END AS mixed FROM s),
+t AS (SELECT c_custkey, n, string_agg(spelled, '' ORDER BY k DESC) AS spelled, string_agg(short, '' ORDER BY k DESC) AS short, string_agg(hanja, '' ORDER BY k DESC) AS hanja, string_agg(mixed, ' ' ORDER BY k DESC) AS mixed FROM w GROUP BY 1, 2)
+SELECT c_custkey, CAST(n AS DECIMAL(38,0)) AS value, '일금 ' || spelled || '원정 (₩' || format('{:,}', CAST(n AS BIGINT)) || ')' AS formal, short, '金 ' || hanja || '원整' AS hanja, mixed || '원' AS mixed, CAST(n AS DECIMAL(38,0)) AS of_formal, CAST(n AS DECIMAL(38,0)) AS of_hanja, CAST(n AS DECIMAL(38,0)) AS of_mixed FROM t
 """)
 def spelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (F.col("c_custkey") * 997 * 100 % 9999999 + 1).cast("decimal(38,0)")
-    df = read(spark, sf_dir, "customer").select("c_custkey", money.parse_amount(F.concat(F.lit("₩"), money.comma(n), F.lit("원")))["value"].alias("value"))
+    """Amounts of up to 18 digits in all spellings, and what is read from these."""
+    key = (F.col("c_custkey") % 100003).cast("decimal(10,0)")
+    n = (key * key * F.lit(7919 * 104729) + F.col("c_custkey") % 3).cast("decimal(38,0)")
+    df = read(spark, sf_dir, "customer").select("c_custkey", n.alias("value"))
     v = F.col("value")
-    return df.select("c_custkey", "value", F.regexp_replace(money.mixed(v), "^([0-9]+),([0-9]{3})만", "$1$2만").alias("mixed"), money.parse_any(money.spell(v))["value"].alias("back"), money.comma(v).alias("comma"))
+    df = df.select("*", money.formal(v).alias("formal"), money.spell(v, omit_one=True).alias("short"), money.formal(v, hanja=True).alias("hanja"), money.mixed(v).alias("mixed"))
+    return df.select("*", *[money.parse_any(F.col(c))["value"].alias(f"of_{c}") for c in ("formal", "hanja", "mixed")])
 
 
 @query("""

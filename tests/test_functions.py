@@ -22,7 +22,7 @@ def one(spark, *columns):
         ("=1+2*3", 7.0, None), ("=-2^2", 4.0, None), ("=(1+2)*3%", 0.09, None), ("=1/0", None, "#DIV/0!"), ("=IFERROR(1/0, 5)", 5.0, None), ('="a"&1&TRUE', "a1TRUE", None),
         ("=ROUND(2.5,0)", 3.0, None), ("=ROUND(-2.5,0)", -3.0, None), ("=ROUND(1.005,2)", 1.01, None), ("=ROUNDUP(-1.1,0)", -2.0, None), ("=TRUNC(-1.9)", -1.0, None), ("=INT(-1.5)", -2.0, None),
         ("=MOD(7,-3)", -2.0, None), ("=MOD(1,0)", None, "#DIV/0!"), ('=VALUE("1,234.5")', 1234.5, None), ('=VALUE("x")', None, "#VALUE!"), ('=IF("a"="A", 1, 2)', 1.0, None), ("=1<\"a\"", True, None),
-        ("=AND(TRUE, 1, NOT(FALSE))", True, None), ("=SUM(1,2,3)/COUNT(1,2,3)", 2.0, None), ("=MAX(1,5,3)-MIN(4,2)", 3.0, None), ('=CONCAT("a","b")', "ab", None), ("=NUMBERSTRING(1234,3)", "일이삼사", None),
+        ("=AND(TRUE, 1, NOT(FALSE))", True, None), ("=SUM(1,2,3)/COUNT(1,2,3)", 2.0, None), ("=MAX(1,5,3)-MIN(4,2)", 3.0, None), ('=CONCAT("a","b")', "ab", None), ("=NUMBERSTRING(1234,3)", "일이삼사", None), ("=NUMBERSTRING(138600,1)", "일십삼만팔천육백", None), ("=NUMBERSTRING(138600,2)", "壹拾參萬八阡六百", None), ("=NUMBERSTRING(123456789,2)", "壹億貳阡參百四拾伍萬六阡七百八拾九", None), ("=NUMBERSTRING(12.7,1)", "일십삼", None), ("=NUMBERSTRING(0.4,2)", "零", None),
         ("=NUMBERSTRING(-1,1)", None, "#NUM!"), ("=ROUND(1.5,)", 2.0, None), ("=_xlfn.CONCAT(1;2)", "12", None), ("=AVERAGE(1,2)", 1.5, None), ("=PRODUCT(2,3)", 6.0, None), ("=(0-8)^0.5", None, "#NUM!"), ("=COUNTA(1,\"\",#N/A)", 3.0, None),
     ],
 )
@@ -54,13 +54,26 @@ def test_money(spark):
     n = F.lit("123456789").cast("decimal(38,0)")
     assert one(spark, money.spell(n)) == "일억이천삼백사십오만육천칠백팔십구"
     assert one(spark, money.spell(F.lit(1100).cast("decimal(38,0)"), omit_one=True)) == "천백"
-    assert one(spark, money.formal(F.lit(10).cast("decimal(38,0)"), hanja=True)) == "金壹拾圓整"
-    assert one(spark, money.mixed(n)) == "1억 2,345만 6,789"
-    for bad in ("십백", "만억", "일이", "x", ""):
-        assert one(spark, money.parse_spelled(F.lit(bad))["error"]) is not None
+    assert one(spark, money.formal(F.lit(10).cast("decimal(38,0)"), hanja=True)) == "金 壹拾원整"
+    assert one(spark, money.mixed(n)) == "1억 2,345만 6,789원"
+    wide = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    assert one(spark, money.formal(wide(12345000))) == "일금 일천이백삼십사만오천원정 (₩12,345,000)" and one(spark, money.formal(wide(12345000), omit_one=True)) == "일금 천이백삼십사만오천원정 (₩12,345,000)"
+    assert one(spark, money.formal(wide(12345000), hanja=True)) == "金 壹阡貳佰參拾肆萬伍阡원整" and one(spark, money.spell(wide(6789), hanja=True)) == "陸阡柒佰捌拾玖"
+    assert [one(spark, money.spell(wide(x), omit_one=True)) for x in (10000, 10001, 110000, 100010000, 10**8, 10**16)] == ["만", "만일", "십일만", "일억만", "일억", "일경"]
+    read = [("일억이천만", 120000000), ("천오백", 1500), ("만", 10000), ("십만", 100000), ("영", 0), ("0", 0), ("일금 일천이백삼십사만오천원정", 12345000), ("金 壹阡貳佰參拾肆萬伍阡원整", 12345000), ("일조 삼억", 1000300000000), ("3억 5천만", 350000000), ("1,234만 5,000원", 12345000), ("3천5백", 3500), ("12억", 1200000000), ("壹阡", 1000), ("일금 오천원정", 5000), ("일금 일천원정 (₩1,000)", 1000), ("9999경", 99990000000000000000)]
+    wrong = [("십천", "order"), ("만억", "order"), ("억만", "order"), ("일억만", "order"), ("만경", "order"), ("이삼", "digits"), ("3 5만", "digits"), ("일억abc", "sign"), ("1.5억", "decimals"), ("원", "empty"), ("", "empty"), (None, "empty"), ("영천", "order"), ("일공", "digits"), ("10000경", "too large"), ("x", "sign")]
+    df = spark.createDataFrame([(t, str(v), None) for t, v in read] + [(t, None, e) for t, e in wrong], "t string, v string, e string")
+    for r in df.select("t", F.col("v").cast("decimal(38,0)").alias("v"), "e", money.parse_spelled(F.col("t")).alias("p")).collect():
+        assert (r.p.value, r.p.error) == (r.v, r.e), r.t
+    any_ = {r.t: r.p for r in spark.createDataFrame([("12,345,000",), ("3억 5천만",), ("12345원",), ("억만",)], "t string").select("t", money.parse_any(F.col("t")).alias("p")).collect()}
+    assert [(int(p.value) if p.value is not None else None) for p in any_.values()] == [12345000, 350000000, 12345, None]
     numbers = spark.range(1, 20000).select((F.col("id") * F.col("id") * 7919 + 1).cast("decimal(38,0)").alias("n"))
     assert numbers.filter(money.parse_spelled(money.spell(F.col("n")))["value"] != F.col("n")).count() == 0
-    assert numbers.filter(money.parse_spelled(money.spell(F.col("n"), omit_one=True))["value"] != F.col("n")).count() == 0
+    assert numbers.filter(~money.parse_spelled(money.spell(F.col("n"), hanja=True))["value"].eqNullSafe(F.col("n"))).count() == 0
+    small = numbers.filter("n < 100000000")
+    assert small.count() > 100 and small.filter(~money.parse_spelled(money.spell(F.col("n"), omit_one=True))["value"].eqNullSafe(F.col("n"))).count() == 0
+    assert numbers.filter(~money.parse_any(money.mixed(F.col("n")))["value"].eqNullSafe(F.col("n"))).count() == 0
+    assert numbers.filter(~money.parse_any(money.formal(F.col("n")))["value"].eqNullSafe(F.col("n"))).count() == 0
 
 
 def test_tax(spark):
