@@ -1,7 +1,5 @@
 """Whole amounts of money: parsing, Korean spelling, value added tax."""
 
-from __future__ import annotations
-
 import decimal
 import re
 
@@ -27,11 +25,8 @@ BEFORE, AFTER = ("₩", "￦", "\\", "KRW"), ("원", "KRW", "원정")
 
 def parse_amount(text: Column) -> Column:
     """STRUCT<value DECIMAL(38,0), error STRING> of an amount as people write it: currency sign, commas, trailing unit."""
-    bare = F.upper(F.regexp_replace(text, r"[,\s]", ""))
-    for mark in BEFORE:
-        bare = F.when(F.startswith(bare, F.lit(mark)), F.substr(bare, F.lit(len(mark) + 1))).otherwise(bare)
-    for mark in AFTER:
-        bare = F.when(F.endswith(bare, F.lit(mark)), F.left(bare, F.length(bare) - len(mark))).otherwise(bare)
+    before, after = ("|".join(map(re.escape, sorted(marks, key=len, reverse=True))) for marks in (BEFORE, AFTER))
+    bare = F.regexp_replace(F.regexp_replace(text, r"[,\s]", ""), f"^(?:{before})|(?:{after})$", "")
     value = F.when(bare.rlike("^[0-9]{1,38}$"), bare.try_cast(WIDE))
     error = (
         F.when(text.isNull() | (bare == ""), F.lit("empty"))
@@ -137,10 +132,11 @@ def parse_spelled(text: Column) -> Column:
     Python, as a Column would repeat its input for each part of the pattern.
     """
 
-    def read(texts):
+    @F.pandas_udf("value decimal(38,0), error string")
+    def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_spelled(t) for t in texts], columns=["value", "error"])
 
-    return F.pandas_udf(read, "value decimal(38,0), error string", F.PandasUDFType.SCALAR)(text)
+    return read(text)
 
 
 def parse_any(text: Column) -> Column:

@@ -133,8 +133,8 @@ def gross_to_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT c_custkey, CAST(c_custkey % 100003 AS HUGEINT) * (c_custkey % 100003) * 7919 * 104729 + c_custkey % 3 AS n FROM customer),
-g AS (SELECT c_custkey, n, k, CAST(n // CAST(10000 AS HUGEINT) ** k % 10000 AS INT) AS g, [1000, 100, 10, 1] AS p FROM (SELECT c_custkey, n, unnest([0, 1, 2, 3, 4]) AS k FROM n)),
+WITH n AS (SELECT c_custkey, CAST(c_custkey % 100003 AS HUGEINT) * (c_custkey % 100003) * 7919 * 104729 + c_custkey % 3 + 1 AS n FROM customer),
+g AS (SELECT c_custkey, n, k, CAST(n // [CAST(1 AS HUGEINT), 10000, 100000000, 1000000000000, 10000000000000000][k + 1] % 10000 AS INT) AS g, [1000, 100, 10, 1] AS p FROM (SELECT c_custkey, n, unnest([0, 1, 2, 3, 4]) AS k FROM n)),
 s AS (SELECT c_custkey, n, k, g, list_transform(p, lambda x: g // x % 10) AS d FROM g),
 w AS (SELECT c_custkey, n, k, g,
  list_aggregate(list_transform([1, 2, 3, 4], lambda i: CASE WHEN d[i] = 0 THEN '' ELSE substr('일이삼사오육칠팔구', d[i], 1) || ['천', '백', '십', ''][i] END), 'string_agg', '') || CASE WHEN g = 0 THEN '' ELSE ['', '만', '억', '조', '경'][k + 1] END AS spelled,
@@ -147,7 +147,7 @@ SELECT c_custkey, CAST(n AS DECIMAL(38,0)) AS value, '일금 ' || spelled || '
 def spelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts of up to 18 digits in all spellings, and what is read from these."""
     key = (F.col("c_custkey") % 100003).cast("decimal(10,0)")
-    n = (key * key * F.lit(7919 * 104729) + F.col("c_custkey") % 3).cast("decimal(38,0)")
+    n = (key * key * F.lit(7919 * 104729) + F.col("c_custkey") % 3 + 1).cast("decimal(38,0)")
     df = read(spark, sf_dir, "customer").select("c_custkey", n.alias("value"))
     v = F.col("value")
     df = df.select("*", money.formal(v).alias("formal"), money.spell(v, omit_one=True).alias("short"), money.formal(v, hanja=True).alias("hanja"), money.mixed(v).alias("mixed"))

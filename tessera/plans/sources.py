@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.texts import escape_xml
 from tessera.plans.registry import query, read
-from tessera.sources import files, imports, patches, writers
+from tessera.operators.scratch import Scratch
+from tessera.sources import files, imports, large_csv, patches, writers
 
 
 def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,15 @@ def csv_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("row > 0").select("path", place.alias("row"), F.col("cells")[0].alias("key"), F.col("cells")[1].alias("status"), F.col("cells")[2].alias("priority"))
 
 
+@query("SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)")
+def large_csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as CSV with line ends and quotes in cells, read back by splits."""
+    at = f"{Scratch(spark, 'large-csv').path}/texts"
+    read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).write.options(quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(at)
+    cells = large_csv.read_large_csv(spark, at, 3).select(*[F.col("cells")[k].alias(c) for k, c in enumerate(("doc_id", "lang", "text"))])
+    return cells.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query(f"SELECT path, row, CAST(CAST(key AS BIGINT) AS VARCHAR) AS key, status, priority FROM ({ROWS.format('o_orderpriority')})")
 def json_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.read_json(orders_of(spark, sf_dir).select("path", F.encode(F.to_json("rows"), "UTF-8").alias("content")))

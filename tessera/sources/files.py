@@ -142,25 +142,11 @@ def read_csv(files: DataFrame, strict: bool = False) -> DataFrame:
     """(path, row, cells) of CSV and TSV files: never typed, short rows filled up, long ones kept, blank ones left out.
 
     A file is a task's work here, for widths and encodings are a file's own;
-    ``read_large_csv`` splits files.  ``strict`` refuses what is not UTF-8.
+    ``large_csv`` splits files.  ``strict`` refuses what is not UTF-8.
     """
     return each_file(files, partial(_cells, strict=strict), "row long, cells array<string>")
 
 
-def read_large_csv(spark: SparkSession, path: str, columns: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """(path, cells) of CSV files of any size by Spark's own reader, which splits them: ``columns`` strings a row, blank rows left out.
-
-    Rows end with their line, and cells past ``columns`` would be lost, so rows
-    that have any raise.
-    """
-    schema = ", ".join([*(f"c{k} string" for k in range(columns)), "rest string"])
-    rows = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "rest").csv(path)
-    cells = F.array(*[F.coalesce(f"c{k}", F.lit("")) for k in range(columns)])
-    wide = F.length(F.regexp_replace(F.col("rest"), '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(F.col("rest"), '"[^"]*"', ""), F.lit(sep), F.lit(""))) >= columns
-    checked = F.when(F.coalesce(wide, F.lit(False)), F.raise_error(F.concat(F.lit("a row has too many cells: "), F.col("rest")))).otherwise(cells)
-    return rows.select(F.input_file_name().alias("path"), checked.alias("cells")).filter(F.exists("cells", lambda c: F.trim(c) != ""))
-
-
 def _json_rows(path: str, content: bytes) -> Iterator[dict]:
     rows = json.loads(decode_text(content)[0])
     if not isinstance(rows, list) or not rows:
