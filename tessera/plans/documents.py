@@ -79,3 +79,39 @@ def turn_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoding_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", files.utf8_bytes(F.col("text"), mark=True).alias("content"))
     return marked.select("doc_id", files.decoded("content").alias("d"), F.octet_length("content").cast("long").alias("size")).select("doc_id", "d.text", "d.encoding", "size")
+
+
+@query("""
+WITH l AS (SELECT l_suppkey, l_orderkey, CAST(l_partkey AS VARCHAR) AS part, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row FROM lineitem)
+SELECT l_suppkey AS doc, CAST(row AS INT) AS row, 0 AS col, CAST(l_orderkey AS VARCHAR) AS text FROM l UNION ALL SELECT l_suppkey, CAST(row AS INT), 1, part FROM l UNION ALL SELECT l_suppkey, CAST(row AS INT), 2, part FROM l
+""")
+def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each supplier: an order's number spans its rows, a part's number two columns; read as a grid."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    first = F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey")) == 1
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), "l_orderkey", "l_partkey", (F.row_number().over(order) - 1).alias("row"), first.alias("first"), F.count("*").over(Window.partitionBy("l_suppkey", "l_orderkey")).cast("int").alias("n"))
+    cell = lambda pos, across, down, text: F.struct(F.lit(pos).alias("pos"), F.lit(across).alias("col_span"), down.alias("row_span"), text.cast("string").alias("text"))
+    part = cell(1, 2, F.lit(1), F.col("l_partkey"))
+    cells = lines.select("doc", "row", F.inline(F.when(F.col("first"), F.array(cell(0, 1, F.col("n"), F.col("l_orderkey")), part)).otherwise(F.array(part))))
+    return blocks.place_cells(cells).select("doc", "row", "col", "text")
+
+
+@query("""
+WITH l AS (SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, count(*) OVER (PARTITION BY o_orderkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT o_orderkey AS doc, CASE WHEN n > 1 THEN 1 ELSE CAST(k AS INT) END AS block, CASE WHEN n > 1 THEN 'table' ELSE 'line' END AS kind, string_agg(l_partkey || '|' || l_suppkey || '|' || (l_partkey % 7), '/' ORDER BY k) AS text FROM l GROUP BY 1, 2, 3 UNION ALL
+SELECT o_orderkey, 0, 'line', 'Order ' || o_orderkey FROM (SELECT DISTINCT o_orderkey FROM l) UNION ALL
+SELECT o_orderkey, 2, 'line', 'total|' || n FROM (SELECT DISTINCT o_orderkey, n FROM l)
+""")
+def found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a page of positioned words: a title, its lines in three columns that are not quite straight, a total in two."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = lines.select(F.col("l_orderkey").alias("doc"), "l_partkey", "l_suppkey", place.alias("k"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    span = lambda x, y, w, text: F.struct(F.lit(0).alias("page"), text.cast("string").alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(w).cast("double").alias("w"), F.lit(10.0).alias("h"))
+    bend, y = F.col("k") % 3, F.col("k") * 14 + 20
+    body = lines.select("doc", F.inline(F.array(span(20 + bend, y, 40, F.col("l_partkey")), span(120 - bend, y, 30, F.col("l_suppkey")), span(200 + bend, y, 8, F.col("l_partkey") % 7))))
+    ends = lines.filter("k = 1").select("doc", F.inline(F.array(
+        span(F.lit(20), F.lit(10), 30, F.lit("Order")), span(F.lit(55), F.lit(10), 30, F.col("doc")), span(F.lit(20), F.col("n") * 14 + 34, 30, F.lit("total")), span(F.lit(140), F.col("n") * 14 + 34, 30, F.col("n")),
+    )))
+    found = blocks.find_tables(body.unionByName(ends))
+    return found.select("doc", "block", "kind", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("text"))

@@ -286,7 +286,7 @@ def recalculated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+WITH l AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 n AS (SELECT l_suppkey, k, q, CASE WHEN k = 1 THEN 100 ELSE q END AS now FROM l),
 t AS (SELECT l_suppkey, k, q, sum(now) OVER w AS total, min(now) OVER w AS least, max(now) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top, now,
   sum(q) OVER w AS total_0, min(q) OVER w AS least_0, max(q) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top_0
@@ -296,7 +296,7 @@ SELECT CAST(l_suppkey AS VARCHAR), 'C' || k, CAST(least + top AS DOUBLE) FROM t
 """)
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's quantities as a column with running totals, running minima and moving maxima, the first quantity edited."""
-    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("book"), F.col("l_quantity").cast("double").alias("q"), place.alias("k"))
     upto = Window.partitionBy("book").orderBy("k")
     least, top = F.min("q").over(upto), F.max("q").over(upto.rowsBetween(-2, 0))
