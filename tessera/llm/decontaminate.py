@@ -357,7 +357,7 @@ def find_leaks(
     item_id, cosine, common_words, passage_words, answer_found, first_word.
     An item of fewer than ``least_words`` words leaks where all its words stand
     in a row.  Characters of scripts written without blanks count as words.
-    Items without words and null texts have no leaks; an
+    Items without an id or without words and null texts have no leaks; an
     item twice in the table gives one row.  The benchmark goes to the tasks
     whole, so more than ``most_bytes`` of it raise: call with parts of it then.
     """
