@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.scratch import Scratch
+from tessera.operators.names import unique_names
 from tessera.operators.tables import numbered
 
 BLANKS = r"(?U)[\s﻿]"
@@ -113,8 +115,6 @@ def sanitize_name(name: Column, most: int = 200) -> Column:
 
 def fill_template(template: str, name: Column, ext: Column, number: Column, date: Column, today: Column) -> Column:
     """A name from {name} {ext} {n} {n:W} {date} {today}; other tokens raise."""
-    import re
-
     parts = []
     for literal, token in re.findall(r"([^{}]+)|\{([^{}]*)\}", template):
         if literal:
@@ -139,13 +139,12 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$") & (F.length(r) < 20), F.lpad(r, 20, "0")).otherwise(r)), "")
 
 
-def plan_renames(df: DataFrame, name: str, order: list[Column], template: str, start: int = 1, step: int = 1, find: str = "", replace: str = "", regex: bool = False, flags: str = "", case: str = "keep", underscores: bool = False, modified: str | None = None, today: Column | None = None, most_rounds: int = 50) -> DataFrame:
+def plan_renames(df: DataFrame, name: str, order: list[Column], template: str, start: int = 1, step: int = 1, find: str = "", replace: str = "", regex: bool = False, flags: str = "", case: str = "keep", underscores: bool = False, modified: str | None = None, today: Column | None = None) -> DataFrame:
     """``df`` with new_name: find and replace in the stem, case, blanks, numbering, template, safe characters, unique names.
 
     Numbers follow ``order``, counted by range partitions, so no task sees all
     rows.  ``flags`` (of i, m, s, u) go with ``regex``.  Equal names (without
-    regard to case) get " (2)", " (3)" in order, names that such a number would
-    hit are numbered in their turn, until no two are equal.
+    regard to case) get " (2)", " (3)" in order, each the first that is free.
     """
     parts = split_name(F.col(name))
     stem = parts["stem"]
@@ -158,17 +157,10 @@ def plan_renames(df: DataFrame, name: str, order: list[Column], template: str, s
     planned = numbered(df, order, "_row").withColumn("_n", F.lit(start) + (F.col("_row") - 1) * step)
     dot = F.when(parts["ext"] != "", F.concat(F.lit("."), parts["ext"])).otherwise(F.lit(""))
     planned = planned.withColumns({"_stem": fill_template(template, stem, parts["ext"], F.col("_n"), date, today), "_dot": F.lit("") if "{ext}" in template else dot})
-    planned = planned.withColumn("new_name", sanitize_name(F.concat("_stem", "_dot")))
-    ws = Scratch(df.sparkSession, "renames")
-    for k in range(most_rounds):
-        planned = ws.write(planned, f"round{k}")
-        if not planned.groupBy(F.lower("new_name")).count().filter("count > 1").limit(1).count():
-            return planned.drop("_n", "_row", "_stem", "_dot")
-        again = F.row_number().over(Window.partitionBy(F.lower("new_name")).orderBy("_row"))
-        piece = split_name(F.col("new_name"))
-        tail = F.when(piece["ext"] != "", F.concat(F.lit("."), piece["ext"])).otherwise(F.lit(""))
-        planned = planned.withColumn("_again", again).withColumn("new_name", F.when(F.col("_again") > 1, F.concat(piece["stem"], F.lit(" ("), F.col("_again").cast("string"), F.lit(")"), tail)).otherwise(F.col("new_name"))).drop("_again")
-    raise RuntimeError(f"names still clash after {most_rounds} rounds")
+    planned = planned.withColumn("new_name", sanitize_name(F.concat("_stem", "_dot"))).drop("_stem")
+    piece = split_name(F.col("new_name"))["stem"]
+    unique = unique_names(planned, piece, F.substr("new_name", F.length(piece) + 1), "_row", "new_name")
+    return unique.drop("_n", "_row", "_dot")
 
 
 def part_file_name(stem: Column, label: Column, ext: str) -> Column:
@@ -177,11 +169,12 @@ def part_file_name(stem: Column, label: Column, ext: str) -> Column:
 
 
 def sheet_names(names: list[str], most: int = 31) -> list[str]:
-    """Legal names of worksheets, unique without regard to case: none of []:*?/\\ and no ' at the ends, ``most`` long."""
+    """Legal names of worksheets, unique without regard to case: none of []:*?/\\ and no ' at the ends, ``most`` long, not History."""
     used: set[str] = set()
     out = []
     for name in names:
-        base = name.translate(dict.fromkeys(map(ord, "[]:*?/\\"), "_")).strip().strip("'") or "Sheet"
+        base = re.sub(r"[\[\]:*?/\\\x00-\x1f]", "_", name).strip("'").strip() or "Sheet"
+        base = "History_" if base.lower() == "history" else base
         k, new = 1, base[:most]
         while new.lower() in used:
             k += 1

@@ -72,7 +72,7 @@ def turn_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the one before it: lines added and deleted, as a unified diff."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
-    return textdiff.diff_texts(turns, "before", "text").select("conv_id", "turn", "added", "deleted", "changed", "complete", "unified")
+    return textdiff.diff_texts(turns, "before", "text", parts=False).select("conv_id", "turn", "added", "deleted", "changed", "complete", "unified")
 
 
 @query("SELECT doc_id, text, 'utf-8' AS encoding, strlen(text) + 3 AS size FROM documents WHERE text IS NOT NULL")

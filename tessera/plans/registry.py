@@ -318,6 +318,19 @@ def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.plan_renames(df, "file", [F.col("p_partkey")], "{n:5}_{name}", case="lower").select("p_partkey", "new_name")
 
 
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, l_returnflag || CASE WHEN l_linenumber = 7 THEN ' (' || (l_orderkey + 1000000000) || ')' ELSE '' END AS stem FROM lineitem),
+v AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY l_orderkey, l_linenumber) AS k FROM n)
+SELECT l_orderkey, l_linenumber, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.txt' AS new_name FROM v
+""")
+def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each order line, named by its flag; some carry a number already."""
+    number = F.concat(F.lit(" ("), (F.col("l_orderkey") + 1000000000).cast("string"), F.lit(")"))
+    stem = F.concat("l_returnflag", F.when(F.col("l_linenumber") == 7, number).otherwise(F.lit("")))
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(stem, F.lit(".txt")).alias("file"))
+    return texts.plan_renames(df, "file", [F.col("l_orderkey"), F.col("l_linenumber")], "{name}").select("l_orderkey", "l_linenumber", "new_name")
+
+
 @query("SELECT p_partkey, 'WIFI:T:WPA;S:' || p_brand || ';P:' || replace(p_name, ';', '\\;') || ';;' AS wifi, 'mailto:' || p_partkey || '@example.org?subject=' || replace(url_encode(p_name), '+', '%20') AS mail FROM part")
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.concat(F.col("p_partkey").cast("string"), F.lit("@example.org"))
