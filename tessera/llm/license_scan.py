@@ -26,6 +26,20 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("proprietary", "Copyright (c). All rights reserved."),
 )
+#: SPDX identifiers that tags name, and further notices of one line; compared with whole lines, numbered after the whole notices.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "EUPL-1.2", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0")
+FURTHER = (
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or later."),
+    ("EUPL-1.2", "This work is licensed under the European Union Public Licence, version 1.2."),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("BSD", "This project is licensed under the BSD 3-Clause License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+)
+TAGS = (*((name, f"SPDX-License-Identifier: {name}") for name in SPDX), *FURTHER)
 #: Whole notices, looked for in passages beside the templates; numbered after them.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
@@ -162,7 +176,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80, notices=NOTICE
     return lines(docs, templates, percent).unionByName(passages(docs, templates, percent, notices))
 
 
-def lines(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
+def of_lines(templates, tags) -> list[tuple[int, str, str]]:
+    """(number, license, normal form) of what lines are compared with."""
+    return [(k, name, own) for first, some in ((0, templates), (len(templates) + len(NOTICES), tags)) for k, (name, text) in enumerate(some, first) if (own := normal(text))]
+
+
+def lines(docs: DataFrame, templates=TEMPLATES, percent: int = 80, tags=TAGS) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) that reach ``percent`` with a licence template, with the best template of each.
 
     Every line of a text is a unit.  Its normal form has ASCII letters in lower
@@ -177,10 +196,10 @@ def lines(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     Null or empty text has no rows, repeated rows are scanned on their own.
     The templates are few and fixed, so they are literals of the expression.
     """
-    known = [(k, name, g, len(g)) for k, (name, text) in enumerate(templates) if (g := bigrams(normal(text).split(" ")))]
+    known = [(k, name, g, len(g)) for k, name, own in of_lines(templates, tags) if (g := bigrams(own.split(" ")))]
     p = F.lit(percent)
     smallest, largest = min(t[3] for t in known), max(t[3] for t in known)
-    words = f"(?<![a-z0-9])(?:{'|'.join(anchors(templates, percent))})(?![a-z0-9])"
+    words = f"(?<![a-z0-9])(?:{'|'.join(anchors((*templates, *tags), percent))})(?![a-z0-9])"
     found = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).filter(F.col("text").rlike(words))
 
     def grams_of(unit: Column) -> Column:
@@ -218,9 +237,9 @@ def lines(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     )
 
 
-def scan_sql(templates=TEMPLATES, percent: int = 80) -> str:
+def scan_sql(templates=TEMPLATES, percent: int = 80, tags=TAGS) -> str:
     """``lines`` in DuckDB SQL, without anchors."""
-    quoted = ", ".join(f"({k}, '{name}', '{normal(text)}')" for k, (name, text) in enumerate(templates) if normal(text))
+    quoted = ", ".join(f"({k}, '{name}', '{own}')" for k, name, own in of_lines(templates, tags))
     return f"""
 WITH known AS (
   SELECT template, license, w, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS grams

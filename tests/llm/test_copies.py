@@ -131,6 +131,15 @@ def test_substrings(spark, options):
     assert cut(spark, texts, 50, **options) == covered(texts, 50)
 
 
+def test_rolling_hashes_of_two_bases():
+    raw = np.random.default_rng(3).integers(97, 101, 4000).astype(np.uint8).tobytes()
+    first, second = substrings.Rolling()(raw, 40), substrings.Rolling(substrings.SECOND_BASE)(raw, 40)
+    strings = [raw[k : k + 40] for k in range(len(raw) - 39)]
+    for h in (first, second):
+        assert len(set(h.tolist())) == len(set(strings))
+    assert not set(first.tolist()) & set(second.tolist())
+
+
 def test_substrings_of_clashing_hashes(spark, monkeypatch):
     """Texts whose first hash is equal are told apart by the second."""
     monkeypatch.setattr(substrings, "text_hash", lambda text: F.pmod(F.length(text), F.lit(3)).cast("long"))

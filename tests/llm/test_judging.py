@@ -31,15 +31,15 @@ def test_licences_against_sql(spark):
 def dice(line):
     own = set(license_scan.bigrams(license_scan.normal(line).split(" "))) if license_scan.normal(line) else set()
     scores = []
-    for k, (_, text) in enumerate(license_scan.TEMPLATES):
-        t = set(license_scan.bigrams(license_scan.normal(text).split(" ")))
+    for k, _, text in license_scan.of_lines(license_scan.TEMPLATES, license_scan.TAGS):
+        t = set(license_scan.bigrams(text.split(" ")))
         if own and 200 * len(own & t) >= 80 * (len(own) + len(t)):
             scores.append((-2_000_000 * len(own & t) // (len(own) + len(t)), k) if 2_000_000 * len(own & t) % (len(own) + len(t)) == 0 else (-(2_000_000 * len(own & t) // (len(own) + len(t))), k))
     return min(scores, default=None)
 
 
 def test_licence_variants(spark, odd, none):
-    lines = [t for _, t in license_scan.TEMPLATES] + ["released UNDER the mit License", "Released under the MIT Licence.", "We licensed under the Apache License Version 2.0", "licensed", "the the the", "", "Licensed   under\tCC-BY-NC 4.0!!", "x " * 500 + "license", "Released under the MIT License. " * 3]
+    lines = [t for _, t in (*license_scan.TEMPLATES, *license_scan.TAGS)] + ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Nothing-9.9", "released UNDER the mit License", "Released under the MIT Licence.", "We licensed under the Apache License Version 2.0", "licensed", "the the the", "", "Licensed   under\tCC-BY-NC 4.0!!", "x " * 500 + "license", "Released under the MIT License. " * 3]
     df = spark.createDataFrame([(k, f"first\n{t}\n") for k, t in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id: (-r.dice_1e6, r.template) for r in license_scan.scan(df).collect()}
     assert got == {k: d for k, t in enumerate(lines) if (d := dice(t))}
