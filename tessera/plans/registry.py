@@ -28,7 +28,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import documents, sources, streams  # noqa: F401  they register their own
+    from tessera.plans import documents, sources, statements, streams  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
