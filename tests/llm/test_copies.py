@@ -149,6 +149,21 @@ def test_substrings_of_clashing_hashes(spark, monkeypatch):
     assert cut(spark, texts, 50) == covered(texts, 50)
 
 
+def test_substrings_that_powers_cannot_tell_apart(spark):
+    """Two texts whose difference is a product of x^n - 1, which any odd base sends to a multiple of 2^62 or more."""
+    product = np.array([1])
+    for n in (1, 2, 4, 8, 16, 32, 64, 128, 3, 6, 12, 24, 48):
+        product = np.convolve(product, np.array([-1, *[0] * (n - 1), 1]))
+    one, other = (bytes(int(80 + 4 * x) for x in np.maximum(sign * product, 0)).decode() for sign in (1, -1))
+    filler = " E" * 5000
+    for base in (substrings.BASE, substrings.SECOND_BASE):
+        a, b = (substrings.Rolling(base)((filler[-51:] + x).encode(), 400) for x in (one, other))
+        assert a.tolist() == b.tolist() and one != other
+    docs = spark.createDataFrame([(1, filler + one), (2, filler + other)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, bytes(r.kept).decode()) for r in substrings.dedup_substrings(spark, docs).collect()}
+    assert got == {1: (10000, one), 2: (10000, other)}
+
+
 def test_substrings_odd_rows(spark, odd, none):
     rows = substrings.dedup_substrings(spark, odd).collect()
     assert len(rows) == odd.count()
