@@ -14,7 +14,10 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,11 +264,18 @@ class Evaluation:
                     continue
                 if own["error"] and name not in ("COUNT", "COUNTA"):
                     raise _Failed(Err(own["error"]))
-                n, filled = n + own["n"], filled + own["filled"]
-                truths += [t for t in ((own["every"] if name == "AND" else own["some"]),) if t is not None]
-                if own["n"]:
-                    total, product = total + own["total"], product * own["product"]
+                n += own["n"]
+                if name == "COUNTA":
+                    filled += own["filled"]
+                elif name in ("AND", "OR"):
+                    truths += [t for t in (own["every" if name == "AND" else "some"],) if t is not None]
+                elif own["n"] and name in ("SUM", "AVERAGE"):
+                    total += own["total"]
+                elif own["n"] and name == "PRODUCT":
+                    product *= own["product"]
+                elif own["n"] and name == "MIN":
                     low.append(own["low"])
+                elif own["n"] and name == "MAX":
                     high.append(own["high"])
                 continue
             v = self.value(arg)
@@ -423,6 +433,31 @@ def evaluated(ready: DataFrame) -> DataFrame:
     return ready.select("id", *PLACE, "formula", "held").mapInArrow(run, RESULT_SCHEMA)
 
 
+class TooLarge(Exception):
+    """More than a task should take on."""
+
+
+def by_columns(places) -> dict[tuple, tuple[list[int], list]]:
+    """(sheet, column): its rows in order and what stands there, of (sheet, row, column, what)."""
+    columns: dict[tuple, list[tuple]] = {}
+    for sheet, row, col, what in places:
+        columns.setdefault((sheet, col), []).append((row, what))
+    for own in columns.values():
+        own.sort(key=itemgetter(0))
+    return {c: ([r for r, _ in own], [x for _, x in own]) for c, own in columns.items()}
+
+
+def stretches(columns: dict[tuple, tuple], sheet: str, r0: int, c0: int, r1: int, c1: int) -> Iterator[tuple[tuple, int, int]]:
+    """(column, from, to): the part of each of ``columns`` that lies in an area."""
+    wanted = ((sheet, c) for c in range(c0, c1 + 1)) if c1 - c0 < len(columns) else (c for c in columns if c[0] == sheet and c0 <= c[1] <= c1)
+    for key in wanted:
+        if key in columns:
+            rows = columns[key][0]
+            first, last = bisect_left(rows, r0), bisect_right(rows, r1)
+            if first < last:
+                yield key, first, last
+
+
 class Together:
     """Formulas that hang together, computed in their order: those that an edit reaches, each once all that it reads are known.
 
@@ -430,28 +465,28 @@ class Together:
     stored, and held, what its areas hold besides other members.
     """
 
-    def __init__(self, members: list[dict]):
+    def __init__(self, members: list[dict], most_reads: float = math.inf):
         self.members = members
-        columns: dict[tuple, list[tuple[int, int]]] = {}
-        for k, m in enumerate(members):
-            columns.setdefault((m["sheet"], m["col"]), []).append((m["row"], k))
-        self.columns = {c: ([r for r, _ in sorted(own)], [k for _, k in sorted(own)]) for c, own in columns.items()}
-        self.areas = [[(*a, self.inside(*a[4:])) for a in read(m["formula"], m["sheet"]).areas] for m in members]
-        self.reads = [sorted({k for a in own for k in a[-1]}) for own in self.areas]
+        self.columns = by_columns((m["sheet"], m["row"], m["col"], k) for k, m in enumerate(members))
+        self.areas, self.reads = [], []
+        for m in members:
+            self.areas.append([(*a, self.inside(*a[4:])) for a in read(m["formula"], m["sheet"]).areas])
+            self.reads.append(sorted({k for a in self.areas[-1] for k in a[-1]}))
+            most_reads -= len(self.reads[-1])
+            if most_reads < 0:
+                raise TooLarge
         self.values = [tuple(m[c] for c in (*VALUE_FIELDS, "problem")) for m in members]
 
-    def inside(self, sheet: str, r0: int, c0: int, r1: int, c1: int) -> list[int]:
+    def inside(self, *area) -> list[int]:
         """The members in an area."""
-        wanted = ((sheet, c) for c in range(c0, c1 + 1)) if c1 - c0 < len(self.columns) else (c for c in self.columns if c[0] == sheet and c0 <= c[1] <= c1)
-        found: list[int] = []
-        for key in wanted:
-            if key in self.columns:
-                rows, own = self.columns[key]
-                found += own[bisect_left(rows, r0) : bisect_right(rows, r1)]
-        return found
+        return [k for key, first, last in stretches(self.columns, *area) for k in self.columns[key][1][first:last]]
+
+    def plain(self, k: int) -> dict[int, dict]:
+        """What the areas of a member hold besides members."""
+        return {h["need"]: dict(h) for h in self.members[k]["held"] or ()}
 
     def held(self, k: int) -> dict[int, dict]:
-        out = {h["need"]: dict(h) for h in self.members[k]["held"] or ()}
+        out = self.plain(k)
         for need, _, _, kind, *_, inside in self.areas[k]:
             for m in inside:
                 v = dict(zip((*VALUE_FIELDS, "problem"), self.values[m], strict=True))
@@ -510,7 +545,7 @@ class Together:
             circle.update(dict.fromkeys(group, f"part of a cycle: {self.names(group)}"))
         for k, text in circle.items():
             self.values[k] = (None,) * 5 + (text,)
-        return [(*(self.members[k][c] for c in ("id", *PLACE)), *self.values[k]) for k in sorted(reached)]
+        return [(*(self.members[k].get(c) for c in ("id", *PLACE)), *self.values[k]) for k in sorted(reached)]
 
 
 def cycles(nodes, reads: list[list[int]]) -> list[list[int]]:
@@ -581,6 +616,151 @@ def computed_together(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, RESULT_SCHEMA)
 
 
+class PlainColumn:
+    """The values of a column's plain cells in the order of their rows, for aggregates over stretches of them."""
+
+    def __init__(self, values: list[tuple]):
+        counts = lambda which: [0, *accumulate(which)]
+        self.values, self.errors = values, [k for k, v in enumerate(values) if v[0] == "err"]
+        truths = [v[3] if v[0] == "bool" else None if v[1] is None or v[0] != "num" else v[1] != 0 for v in values]
+        self.n = counts(v[0] == "num" and v[1] is not None for v in values)
+        self.filled = counts(v[0] not in (None, "blank") and v[2] != "" for v in values)
+        self.told = counts(t is not None for t in truths)
+        self.numbers = np.array([v[1] for v in values if v[0] == "num" and v[1] is not None], np.float64)
+        self.truths = np.array([t for t in truths if t is not None], bool)
+
+
+class Stretches(dict):
+    """What a range holds of plain cells, each aggregate found when it is first asked for."""
+
+    def __init__(self, parts: list[tuple[int, list[int], PlainColumn, int, int]]):
+        super().__init__(problem=None)
+        self.parts = parts
+
+    def __missing__(self, name: str):
+        self[name] = found = self.find(name)
+        return found
+
+    def find(self, name: str):
+        if name in ("n", "filled"):
+            return sum(getattr(c, name)[last] - getattr(c, name)[first] for _, _, c, first, last in self.parts)
+        if name == "error":
+            return self["first_error"] and self["first_error"]["err"]
+        if name == "first_error":
+            at = [(rows[c.errors[k]], col, c.values[c.errors[k]][4]) for col, rows, c, first, last in self.parts if (k := bisect_left(c.errors, first)) < len(c.errors) and c.errors[k] < last]
+            return dict(zip(("row", "col", "err"), min(at), strict=True)) if at else None
+        if name in ("every", "some"):
+            own = [c.truths[c.told[first] : c.told[last]] for _, _, c, first, last in self.parts]
+            one = np.all if name == "every" else np.any
+            return bool(one([one(x) for x in own if len(x)])) if any(map(len, own)) else None
+        over = {"total": np.add, "product": np.multiply, "low": np.minimum, "high": np.maximum}[name]
+        own = [over.reduce(x) for _, _, c, first, last in self.parts if len(x := c.numbers[c.n[first] : c.n[last]])]
+        return float(over.reduce(own)) if own else None
+
+
+class Book(Together):
+    """A whole workbook: of its plain cells is looked up only what the formulas that an edit reaches ask for.
+
+    ``rows`` are (book, place, value, formula, edit), those with edit being the edited ones.
+    """
+
+    def __init__(self, rows: list[tuple], most_formulas: int, most_reads: int):
+        edited = {row[1:4]: row[4:9] for row in rows if row[10]}
+        plain, members, self.unreadable = dict(edited), [], []
+        for row in rows:
+            at = row[1:4]
+            if row[10] or at in edited:
+                continue
+            if row[9] is not None:
+                try:
+                    read(row[9], row[1])
+                    members.append(dict(zip(("sheet", "row", "col", *VALUE_FIELDS, "formula"), row[1:10], strict=True), problem=None))
+                    continue
+                except UnsupportedFormula as error:
+                    self.unreadable.append((*at, str(error)))
+            plain[at] = row[4:9]
+        if len(members) > most_formulas:
+            raise TooLarge
+        super().__init__(members if edited else [], most_reads)
+        changed = by_columns((*at, None) for at in edited)
+        for m, own in zip(self.members, self.areas, strict=True):
+            m["seed"] = any(a[3] == "cell" and (a[4], a[5], a[6]) in edited or a[3] != "cell" and any(stretches(changed, *a[4:9])) for a in own)
+        if any(a[3] == "zip" and a[-1] for own in self.areas for a in own):
+            raise TooLarge
+        self.by_place, self.by_column, self.known = plain, None, {}
+
+    def part(self, key: tuple, first: int, last: int) -> tuple:
+        rows, values = self.by_column[key]
+        if key not in self.known:
+            self.known[key] = PlainColumn(values)
+        return key[1], rows, self.known[key], first, last
+
+    def plain(self, k: int) -> dict[int, dict]:
+        out, zips = {}, {}
+        for need, _, parts, kind, sheet, r0, c0, r1, c1, _ in self.areas[k]:
+            if kind == "cell":
+                if v := self.by_place.get((sheet, r0, c0)):
+                    out[need] = dict(zip(VALUE_FIELDS, v, strict=True), problem=None)
+                continue
+            if self.by_column is None:
+                self.by_column = by_columns((*at, v) for at, v in self.by_place.items())
+            found = list(stretches(self.by_column, sheet, r0, c0, r1, c1))
+            if kind == "range" and found:
+                out[need] = Stretches([self.part(*x) for x in found])
+            elif kind == "zip":
+                sides = zips.setdefault(need, (parts, {}))[1]
+                for key, first, last in found:
+                    for row, v in zip(*(x[first:last] for x in self.by_column[key]), strict=True):
+                        sides.setdefault((row - r0, key[1] - c0), []).append(v)
+        for need, (parts, sides) in zips.items():
+            products = (math.prod(v[1] if v[0] == "num" and v[1] is not None else 0.0 for v in own) for own in sides.values() if len(own) == parts)
+            out[need] = {"total": math.fsum(products), "error": max((v[4] for own in sides.values() for v in own if v[4]), default=None), "problem": None}
+        return out
+
+
+FOUND = "book string, sheet string, row int, col int, before struct<kind string, num double, str string, bool boolean, err string>, after struct<kind string, num double, str string, bool boolean, err string>, problem string, large boolean"
+
+
+def computed_by_book(rows: DataFrame, most_formulas: int, most_reads: int) -> DataFrame:
+    """Changes and problems of workbooks of moderate size, each computed in one task; one that proves too large gives a row that says so."""
+    value = pa.struct([("kind", pa.string()), ("num", pa.float64()), ("str", pa.string()), ("bool", pa.bool_()), ("err", pa.string())])
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), value, value, pa.string(), pa.bool_()]
+    names = ["book", "sheet", "row", "col", "before", "after", "problem", "large"]
+
+    def of(name: str, own: list[tuple]) -> Iterator[tuple]:
+        try:
+            book = Book(own, most_formulas, most_reads)
+        except TooLarge:
+            yield name, None, None, None, None, None, None, True
+            return
+        stored = list(book.values)
+        at = {(m["sheet"], m["row"], m["col"]): k for k, m in enumerate(book.members)}
+        fields = lambda v: dict(zip(VALUE_FIELDS, v, strict=False))
+        for _, _, *place, kind, num, text, truth, err, problem in book.results():
+            before, after = stored[at[tuple(place)]][:5], (kind, num, text, truth, err)
+            if problem is not None or before != after:
+                yield name, *place, fields(before), None if problem is not None else fields(after), problem, False
+        for *place, problem in book.unreadable:
+            yield name, *place, None, None, problem, False
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        make = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+        with np.errstate(all="ignore"):
+            for name, own in groupby(chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches), itemgetter(0)):
+                found += of(name, list(own))
+                if len(found) > 2000:
+                    yield make()
+                    found = []
+        if found:
+            yield make()
+
+    # a number of partitions keeps Spark from putting many small ones together, for the work is in Python
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / 250_000))
+    dealt = rows.select(*PLACE, *VALUE_FIELDS, "formula", "edit").repartition(tasks, "book").sortWithinPartitions("book")
+    return dealt.mapInArrow(run, FOUND)
+
+
 def address(row, col):
     return F.concat(column_letters(col), (row + 1).cast("string"))
 
@@ -614,9 +794,14 @@ def in_rounds(ws: Scratch, formulas: DataFrame, areas: DataFrame, seeds: DataFra
     return done, pending
 
 
-def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, most_reads: int = 20_000_000, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, most_reads: int = 20_000_000, most_rounds: int = 500, most_cells: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(changes, problems) after ``edits`` (place and value) to ``cells`` (place, value, formula).
 
+    A workbook of at most ``most_cells`` cells, ``together`` formulas and
+    ``most_reads`` places where they read each other is computed in one task,
+    after one shuffle of the cells by workbook.  Others, and those in which
+    SUMPRODUCT reads formulas, are spread over tasks as follows.
+
     Formulas hang together where one holds another in its areas; which do is
     found by joins, in rounds that grow with the logarithm of the longest chain.
     What areas hold of plain cells is looked up for all formulas at once
@@ -633,8 +818,27 @@ def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, mos
     it) and of those that read such cells, whose stored values stay.  An edit of
     a cell with a formula replaces it.  Order both by place.
     """
-    spark = cells.sparkSession
-    ws = Scratch(spark, "workbook")
+    ws = Scratch(cells.sparkSession, "workbook")
+    columns = (*PLACE, *VALUE_FIELDS)
+    rows = cells.select(*columns, "formula", F.lit(False).alias("edit")).unionByName(edits.select(*columns, F.lit(None).cast("string").alias("formula"), F.lit(True).alias("edit")))
+    rows = ws.write(rows, "rows")
+    large = ws.write(rows.groupBy("book").agg(F.count("*").alias("n")).filter(F.col("n") > most_cells).select("book"), "large")
+    moderate = rows if large.isEmpty() else rows.join(large, "book", "left_anti")
+    found = ws.write(computed_by_book(moderate, together, most_reads), "books")
+    shown = address(F.col("row"), F.col("col")).alias("address")
+    changes = found.filter("NOT large AND problem IS NULL").select(*PLACE, shown, "before", "after")
+    problems = found.filter("problem IS NOT NULL").select(*PLACE, shown, "problem")
+    large = large.union(found.filter("large").select("book"))
+    if large.isEmpty():
+        return changes, problems
+    large = ws.write(large, "spread")
+    own = rows.join(large, "book", "left_semi")
+    more, failed = recalculated_apart(ws, own.filter("NOT edit").drop("edit"), own.filter("edit").drop("edit", "formula"), together, most_reads, most_rounds)
+    return changes.unionByName(more), problems.unionByName(failed)
+
+
+def recalculated_apart(ws: Scratch, cells: DataFrame, edits: DataFrame, together: int, most_reads: int, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The same for workbooks of any size, whose formulas are looked up and ordered by joins."""
     own = ws.write(edits.select(*PLACE, *VALUE_FIELDS), "edits")
     kept = cells.join(own.select(*PLACE), list(PLACE), "left_anti").select(*PLACE, *VALUE_FIELDS, "formula")
     now = ws.write(kept.unionByName(own, allowMissingColumns=True), "cells")

@@ -86,3 +86,14 @@ def test_rounds_where_a_task_would_hold_too_much(spark):
         changes, problems = workbook.recalculate(before, edit, **limits)
         assert {r.address: r.after.num for r in changes.collect()} == want
         assert {r.address for r in problems.collect()} == {"D1", "D2"}
+
+
+def test_workbooks_of_moderate_size_take_one_task(spark, monkeypatch):
+    """The same changes and problems as by joins, which are left alone."""
+    texts = ["=SUM(A$1:A5)+MIN(A2:A4)", "=MAX(A:A)-AVERAGE(A1:A3)", "=PRODUCT(A1:B2)", "=COUNTA(A1:A9)&AND(A1:A5)", "=C1+1", "=SUMPRODUCT(A1:A3,A2:A4)", "=VLOOKUP(A1)", "=C9+A1", "=C8", "=A2"]
+    cells = spark.createDataFrame([num(r, 0, r + 1) for r in range(5)] + [num(r, 2, -1, text) for r, text in enumerate(texts)], CELLS)
+    edit = spark.createDataFrame([num(0, 0, 9)], CELLS).drop("formula")
+    results = lambda found: [sorted(map(str, df.collect())) for df in found]
+    apart = results(workbook.recalculate(cells, edit, most_cells=0))
+    monkeypatch.setattr(workbook, "recalculated_apart", None)
+    assert results(workbook.recalculate(cells, edit)) == apart and apart[0] and apart[1]
