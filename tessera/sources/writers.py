@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.texts import escape_rtf, escape_xml
 from tessera.operators.blocks import blocks_html
+from tessera.operators.scratch import small_batches
 from tessera.sources.files import MOST_BYTES, MOST_ENTRIES
 
 #: Namespaces and media types of the file formats.
@@ -223,13 +224,18 @@ def archives(entries: DataFrame, most_entries: int = MOST_ENTRIES, most_bytes: i
     error = F.when(F.col("unsafe") > 0, "a name is missing or unsafe").when(F.col("n") > most_entries, "too many entries").when(F.col("size") > most_bytes, "too large")
     judged = sums.select("archive", error.alias("error"))
 
-    def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def write(own: list[dict]) -> bytes:
         used: set[str] = set()
-        found = sorted(zip(group["name"], map(bytes, group["data"]), strict=True))
-        return pd.DataFrame({"archive": [key[0]], "content": [zipped([(free_name(n, used), d) for n, d in found])], "error": pd.Series([None], dtype=object)})
+        return zipped([(free_name(n, used), d) for n, d in sorted((e["name"], bytes(e["data"])) for e in own)])
 
-    kind = entries.schema["archive"].dataType.simpleString()
+    @F.pandas_udf("binary")
+    def written(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(write)
+
+    small_batches(entries.sparkSession)
     fits = judged.filter("error IS NULL").select(F.col("archive").alias("fitting"))
     held = own.join(fits, F.col("archive").eqNullSafe(F.col("fitting")), "left_semi")
-    built = held.groupBy("archive").applyInPandas(write, f"archive {kind}, content binary, error string")
+    gathered = held.groupBy("archive").agg(F.collect_list(F.struct("name", "data")).alias("entries"))
+    built = gathered.select("archive", written("entries").alias("content"), F.lit(None).cast("string").alias("error"))
     return built.unionByName(judged.filter("error IS NOT NULL").select("archive", F.lit(None).cast("binary").alias("content"), "error"))

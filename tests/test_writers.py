@@ -85,3 +85,22 @@ def test_unsafe_names_are_those_of_the_reader(name):
 def test_corporate_types(spark):
     got = spark.createDataFrame([("1101111234567",), ("110199-1234567",)], "n string").select(identifiers.check_number(F.col("n"))["type"]).collect()
     assert [r[0] for r in got] == ["stock company", None]
+
+
+def test_archives_and_patches_take_no_python_call_per_group(spark):
+    """Python gets batches of gathered rows; a call for each archive or file costs more than its work."""
+    from tessera.sources import patches, writers
+
+    entries = spark.createDataFrame([(1, "a", b"x")], "archive long, name string, data binary")
+    edits = spark.createDataFrame([], "path string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string")
+    books = spark.createDataFrame([("p", b"")], "path string, content binary")
+    for df in (writers.archives(entries), patches.patched_workbooks(books, edits)):
+        assert "GroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_files_reach_python_in_small_batches(spark):
+    from tessera.sources import files
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files.read_xlsx(spark.createDataFrame([("p", b"")], "path string, content binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
