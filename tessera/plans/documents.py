@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, textdiff
@@ -104,14 +104,16 @@ SELECT o_orderkey, 2, 'line', 'total|' || n FROM (SELECT DISTINCT o_orderkey, n
 """)
 def found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a page of positioned words: a title, its lines in three columns that are not quite straight, a total in two."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = lines.select(F.col("l_orderkey").alias("doc"), "l_partkey", "l_suppkey", place.alias("k"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
-    span = lambda x, y, w, text: F.struct(F.lit(0).alias("page"), text.cast("string").alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(w).cast("double").alias("w"), F.lit(10.0).alias("h"))
-    bend, y = F.col("k") % 3, F.col("k") * 14 + 20
-    body = lines.select("doc", F.inline(F.array(span(20 + bend, y, 40, F.col("l_partkey")), span(120 - bend, y, 30, F.col("l_suppkey")), span(200 + bend, y, 8, F.col("l_partkey") % 7))))
-    ends = lines.filter("k = 1").select("doc", F.inline(F.array(
-        span(F.lit(20), F.lit(10), 30, F.lit("Order")), span(F.lit(55), F.lit(10), 30, F.col("doc")), span(F.lit(20), F.col("n") * 14 + 34, 30, F.lit("total")), span(F.lit(140), F.col("n") * 14 + 34, 30, F.col("n")),
-    )))
-    found = blocks.find_tables(body.unionByName(ends))
+    span = lambda x, y, w, text: F.struct(text.cast("string").alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(w).cast("double").alias("w"), F.lit(10.0).alias("h"))
+    own = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("lines"))
+    times = read(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("doc")).agg(F.count("*").cast("int").alias("times"))
+    orders = own.join(times, "doc").select("doc", F.sort_array(F.when(F.col("times") == 1, F.col("lines")).otherwise(F.flatten(F.array_repeat("lines", F.col("times"))))).alias("lines"))
+
+    def body(line: Column, k: Column) -> Column:
+        bend, y = (k + 1) % 3, (k + 1) * 14 + 20
+        return F.array(span(20 + bend, y, 40, line["l_partkey"]), span(120 - bend, y, 30, line["l_suppkey"]), span(200 + bend, y, 8, line["l_partkey"] % 7))
+
+    n, ten = F.size("lines"), F.lit(10)
+    ends = F.array(span(F.lit(20), ten, 30, F.lit("Order")), span(F.lit(55), ten, 30, F.col("doc")), span(F.lit(20), n * 14 + 34, 30, F.lit("total")), span(F.lit(140), n * 14 + 34, 30, n))
+    found = orders.select("doc", F.inline(blocks.tables_of(F.concat(F.flatten(F.transform("lines", body)), ends))))
     return found.select("doc", "block", "kind", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("text"))
