@@ -15,6 +15,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores before long work on each: a narrow table may lie in one row group, which is one task's.
+
+    By number, as partitions by key are put together again where they are small.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
