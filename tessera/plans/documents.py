@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, textdiff
+from tessera.operators.scratch import dealt
 from tessera.plans.registry import query, read
 from tessera.sources import files
 
@@ -47,7 +48,8 @@ def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "## %1$s ##\n\nMade by [%2$s](https://example.org/%5$d \"title\") as **%3$s**.\nSecond `line`.\n\n| size | a\\|b\n|:---|---:|\n| %4$s |\n\n* %2$s\n2. %4$s ~~big~~\n> %3$s\n- - -\n```\n# %1$s\n| x |\n```",
         "p_name", "p_brand", "p_type", F.col("p_size").cast("string"), F.col("p_partkey").cast("long"),
     )
-    parts = read(spark, sf_dir, "part").select("p_partkey", blocks.markdown_to_blocks(text).alias("blocks"))
+    part = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    parts = part.select("p_partkey", blocks.markdown_to_blocks(text).alias("blocks"))
     return blocks.explode_blocks(parts, "blocks").select("p_partkey", "pos", "kind", "text", F.array_join(F.flatten("rows"), ";").alias("cells"))
 
 

@@ -40,12 +40,19 @@ def test_query(name, spark, con):
         assert got
 
 
-@pytest.mark.parametrize("name", ["spelled_amounts"])
+@pytest.mark.parametrize("name", ["markdown_parts", "spelled_amounts"])
 def test_long_work_is_dealt_out(name, spark):
     """The table is one row group, so one task's where its rows are not dealt out."""
     assert registry.queries()[name](spark, SF).groupBy(F.spark_partition_id()).count().count() == 4
 
 
+@pytest.mark.parametrize("name", ["found_tables", "html_paragraphs", "markdown_paragraphs", "markdown_parts"])
+def test_blocks_are_found_once(name, spark):
+    """Exploding a deterministic function's array filters by it below, so that it ran twice."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
