@@ -10,65 +10,65 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, components, mix64, partitions_for, text_rows
+from tessera.llm.common import Workspace, components, mix64, partitions_for
+from tessera.llm.hashed import raw_chunks, word_hashes
 
 #: Counters of the frequency sketch: 4 bytes each, so what is broadcast has this fixed size.
 COUNTERS = 1 << 22
 BLOCK = 1 << 14
 SALTS = 16
 BITS = ("bits0", "bits1", "bits2", "bits3")
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+#: Odd numbers without a pattern, one for each place in a shingle.
+FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-PLACES = np.array([int(ODD[k % len(ODD)]) * (k + 1) % (1 << 64) for k in range(64)], np.uint64)
-
-
-class Shingler:
-    """Distinct ``n``-word shingles of a text as sorted 64-bit hashes.
+def shingle_hashes(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of the ``n``-word shingles of each text, in order and with repeats.
 
     Words are what lies between ASCII white space, A-Z in lower case.  A text
     of one to n-1 words has one shingle, the whole sequence.
     """
-
-    def __init__(self, n: int, most: int = 400_000):
-        self.n, self.most, self.memory = n, most, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        memory = self.memory
-        try:
-            h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(memory) > self.most:
-                memory.clear()
-            for w in words:
-                if w not in memory:
-                    memory[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-        size = len(h) - self.n + 1
-        total = np.zeros(size, np.uint64)
-        for k in range(self.n):
-            total += mix64(h[k : k + size] + PLACES[k]) * ODD[(k + 3) % len(ODD)]
-        return np.unique(mix64(total))
+    for _, raw, begins in raw_chunks(column):
+        words, _, bounds = word_hashes(raw, begins)
+        words = mix64(words)
+        total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for k in range(n):
+            total += words[k : k + len(total)] * FACTORS[k]
+        total = mix64(total)
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if y - x >= n:
+                yield total[x : y - n + 1]
+            elif y > x:
+                yield mix64(np.array([(words[x:y] * FACTORS[: y - x]).sum() + np.uint64(y - x)], np.uint64))
+            else:
+                yield np.empty(0, np.uint64)
+
+
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as sorted hashes."""
+    for total in shingle_hashes(column, n):
+        own = np.sort(total)
+        if len(own) > 1:
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            own = own[new]
+        yield own
 
 
 def sketch(spark: SparkSession, ws: Workspace, docs: DataFrame, n: int) -> np.ndarray:
-    """How many (document, shingle) there are in each counter, over all documents.
+    """How many shingles there are in each counter, over all documents.
 
     Counters are added up in each task and then by block; what reaches the
     driver is the sketch itself, of a fixed size.
     """
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        own, shingle, any_rows = np.zeros(COUNTERS, np.uint32), Shingler(n), False
-        for _, texts in text_rows(batches):
-            any_rows = True
-            slots = np.concatenate([shingle(x) for x in texts]) >> np.uint64(42)
-            own += np.bincount(slots.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        own, any_rows = np.zeros(COUNTERS, np.uint32), False
+        for batch in batches:
+            for found in shingle_hashes(batch.column("text"), n):
+                any_rows = True
+                np.add.at(own, (found >> np.uint64(42)).view(np.int64), np.uint32(1))
         if any_rows:
             for k in range(0, COUNTERS, BLOCK):
                 yield pa.record_batch([pa.array([k // BLOCK], pa.int32()), pa.array([own[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "counts"])
@@ -114,11 +114,12 @@ def describe(docs: DataFrame, counts, n: int, percent: int, most_matches: int) -
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        shingle, df_of = Shingler(n), counts.value
-        for batch, texts in text_rows(batches):
+        df_of = counts.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             sizes, names, matches, prefixes, bits = [], [], [], [], []
-            for text in texts:
-                own = shingle(text)
+            for own in shingle_sets(batch.column("text"), n):
                 size = len(own)
                 sizes.append(size)
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
@@ -214,9 +215,8 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, per
     """
 
     def sets(batches) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for batch, texts in text_rows(batches):
-            yield pa.record_batch([batch.column("row_id"), pa.array([shingle(x).tobytes() for x in texts], pa.binary())], names=["node", "own"])
+        for batch in batches:
+            yield pa.record_batch([batch.column("row_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), n)], pa.binary())], names=["node", "own"])
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,21 @@ def test_op10(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: (r.n_removed, r.text or "") for r in queries.op10_sentence_spans(spark, SF).collect()}
     assert got == spans_by_hand(docs, 3, 24)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5])
+def test_shingles_of_columns(n):
+    """Shingles found on the bytes of whole columns: as many as word by word, equal for equal words only."""
+    rnd = random.Random(n)
+    texts = [None, "", " ", "a", "A b", "x" * 64 + " " + "x" * 65 + " b " + "x" * 65 + "y c d e", "X" * 65 + "\x0b" + "q \x1c", *("".join(rnd.choice("aAbé日\x00 \n\t") for _ in range(rnd.randint(0, 90))) for _ in range(400))]
+    got = list(jaccard_join.shingle_sets(pa.array(["before", *texts]).slice(1), n))
+    want = [shingles(t, n) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    hashes = {}
+    for text, own in zip(texts, got, strict=True):
+        for other in shingles(text, n):
+            hashes.setdefault(other, None)
+    assert len(np.unique(np.concatenate(got))) == len(hashes)
+    by_set = {}
+    for own, other in zip(got, want, strict=True):
+        assert by_set.setdefault(other, own.tolist()) == own.tolist()
