@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, queries, sentence_spans, substrings, suffixes
+from tessera.llm import common, jaccard_join, queries, sentence_spans, substrings, suffixes
 from tests.llm.conftest import words
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +282,16 @@ def test_shingles_of_columns(n):
     by_set = {}
     for own, other in zip(got, want, strict=True):
         assert by_set.setdefault(other, own.tolist()) == own.tolist()
+
+
+def test_rooted_edges_need_no_round(spark):
+    """Edges that lead to roots are components as they are; others are contracted, and the last round is not repeated."""
+    ws, written = common.Workspace(spark, "test"), []
+    write = ws.write
+    ws.write = lambda df, name, *a: written.append(name) or write(df, name, *a)
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    got = common.components(ws, frame([(1, 2), (3, 1), (5, 4), (4, 5), (7, 7)]), "stars").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)] and written == ["stars_e0"]
+    got = common.components(ws, frame([(k, k + 1) for k in range(1, 12)] + [(20, 21), (22, 21)]), "chains").collect()
+    assert sorted(map(tuple, got)) == [(k, 1) for k in range(1, 13)] + [(20, 20), (21, 20), (22, 20)]
+    assert common.components(ws, frame([]), "none").collect() == []
