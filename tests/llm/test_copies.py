@@ -295,3 +295,27 @@ def test_rooted_edges_need_no_round(spark):
     got = common.components(ws, frame([(k, k + 1) for k in range(1, 12)] + [(20, 21), (22, 21)]), "chains").collect()
     assert sorted(map(tuple, got)) == [(k, 1) for k in range(1, 13)] + [(20, 20), (21, 20), (22, 20)]
     assert common.components(ws, frame([]), "none").collect() == []
+
+
+@pytest.mark.parametrize("length", [40, 41, 400])
+def test_stretches_with_partners(spark, length):
+    """Stretches whose halves beside the anchor occur once leave, and no removed byte with them."""
+    rnd = random.Random(length)
+    rand = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    parts = [rand(k) for k in (length // 2, length - 1, length, length + 1, 2 * length)]
+    texts = [rand(rnd.randint(0, length)) + rnd.choice(parts) + rnd.choice(["", rand(rnd.randint(0, 2 * length))]) for _ in range(60)] + [parts[3], "ab" * length, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    where = Counter()
+    for t in texts:
+        raw = (t or "").encode()
+        where.update(raw[k : k + length] for k in range(len(raw) - length + 1))
+    want = {}
+    for d, t in enumerate(texts):
+        raw, gone = (t or "").encode(), set()
+        for k in range(len(raw) - length + 1):
+            if where[raw[k : k + length]] > 1:
+                gone.update(range(k, k + length))
+        want[d] = bytes(x for k, x in enumerate(raw) if k not in gone)
+    assert {r.doc_id: bytes(r.kept) for r in substrings.dedup_substrings(spark, df, length=length).collect()} == want
+    frame = spark.createDataFrame([(1, 1, 5, 6, "a"), (1, 1, 5, 7, "b"), (1, 1, 8, 9, "c"), (1, 1, None, None, "d"), (2, 2, None, None, "e")], "fp long, most int, before int, behind int, name string")
+    assert sorted(r.name for r in substrings.with_partners(frame).collect()) == ["a", "b", "e"]
