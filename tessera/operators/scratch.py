@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, longest: int) -> Iterator[None]:
+    """Larger batches for what is run meanwhile on narrow rows of at most ``longest`` bytes, which Python reads by arrays.
+
+    Their bytes are bounded by the number of rows alone: under a limit of bytes
+    Spark sizes up all columns of a batch again with each row, which takes
+    longer than all else that it does to pass rows to Python.
+    """
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(max((32 << 20) // max(longest, 1), 100), 5000)), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows dealt out over all cores before long work on each: a narrow table may lie in one row group, which is one task's.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.formula import DIV, NUM, VALUE, UnsupportedFormula, column_letters
 from tessera.operators import ranges
-from tessera.operators.scratch import Scratch
+from tessera.operators.scratch import Scratch, batches_of
 
 VALUE_FIELDS = ("kind", "num", "str", "bool", "err")
 PLACE = ("book", "sheet", "row", "col")
@@ -721,8 +721,33 @@ class Book(Together):
 FOUND = "book string, sheet string, row int, col int, before struct<kind string, num double, str string, bool boolean, err string>, after struct<kind string, num double, str string, bool boolean, err string>, problem string, large boolean"
 
 
-def computed_by_book(rows: DataFrame, most_formulas: int, most_reads: int) -> DataFrame:
-    """Changes and problems of workbooks of moderate size, each computed in one task; one that proves too large gives a row that says so."""
+CHUNK, CHUNK_BYTES = 200_000, 64 << 20
+
+
+def chunks(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``CHUNK`` rows, fewer if these are long, that hold whole workbooks, of such in which the rows of each follow each other."""
+    kept, n, size = [], 0, 0
+    for batch in batches:
+        kept.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n < CHUNK and size < CHUNK_BYTES:
+            continue
+        whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        book = whole.column("book").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        end = int(np.searchsorted(book, book[-1]))
+        if end:
+            yield whole.slice(0, end)
+        kept, n, size = [whole.slice(end)], whole.num_rows - end, 0
+    if n:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def computed_by_book(rows: DataFrame, n_rows: int, most_formulas: int, most_reads: int) -> DataFrame:
+    """Changes and problems of workbooks of moderate size, each computed in one task; one that proves too large gives a row that says so.
+
+    Formulas that are built alike are computed together over many workbooks
+    (``alike``), those of workbooks that this leaves apart one by one.
+    """
     value = pa.struct([("kind", pa.string()), ("num", pa.float64()), ("str", pa.string()), ("bool", pa.bool_()), ("err", pa.string())])
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), value, value, pa.string(), pa.bool_()]
     names = ["book", "sheet", "row", "col", "before", "after", "problem", "large"]
@@ -743,20 +768,33 @@ def computed_by_book(rows: DataFrame, most_formulas: int, most_reads: int) -> Da
         for *place, problem in book.unreadable:
             yield name, *place, None, None, problem, False
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def one_by_one(apart: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         make = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-        with np.errstate(all="ignore"):
-            for name, own in groupby(chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches), itemgetter(0)):
-                found += of(name, list(own))
-                if len(found) > 2000:
-                    yield make()
-                    found = []
+        pieces = (apart.slice(k, 500) for k in range(0, apart.num_rows, 500))
+        for name, own in groupby(chain.from_iterable(zip(*(c.to_pylist() for c in piece.columns), strict=True) for piece in pieces), itemgetter(0)):
+            found += of(name, list(own))
+            if len(found) > 2000:
+                yield make()
+                found = []
         if found:
             yield make()
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from tessera.operators import alike  # it reads formulas by this module
+
+        with np.errstate(all="ignore"):
+            for whole in chunks(batches):
+                chunk = alike.Chunk(whole)
+                found = chunk.computed()
+                if found is not None and found.num_rows:
+                    n = found.num_rows
+                    yield pa.record_batch([*found.columns, pa.nulls(n, pa.string()), pa.repeat(False, n)], names=names)
+                if chunk.apart.any():
+                    yield from one_by_one(whole.filter(pa.array(chunk.apart[chunk.book])))
+
     # a number of partitions keeps Spark from putting many small ones together, for the work is in Python
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / 250_000))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / 500_000))
     dealt = rows.select(*PLACE, *VALUE_FIELDS, "formula", "edit").repartition(tasks, "book").sortWithinPartitions("book")
     return dealt.mapInArrow(run, FOUND)
 
@@ -794,13 +832,17 @@ def in_rounds(ws: Scratch, formulas: DataFrame, areas: DataFrame, seeds: DataFra
     return done, pending
 
 
-def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, most_reads: int = 20_000_000, most_rounds: int = 500, most_cells: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def recalculate(cells: DataFrame, edits: DataFrame | None = None, together: int = 200_000, most_reads: int = 20_000_000, most_rounds: int = 500, most_cells: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(changes, problems) after ``edits`` (place and value) to ``cells`` (place, value, formula).
 
-    A workbook of at most ``most_cells`` cells, ``together`` formulas and
-    ``most_reads`` places where they read each other is computed in one task,
-    after one shuffle of the cells by workbook.  Others, and those in which
-    SUMPRODUCT reads formulas, are spread over tasks as follows.
+    Without ``edits`` these are the rows of ``cells`` whose column edit is true.
+
+    A workbook of at most ``most_cells`` cells is computed in one task, after
+    one shuffle of the cells by workbook: formulas that are built alike
+    together, by arrays over many workbooks, and where those do not hold, one
+    by one, up to ``together`` formulas and ``most_reads`` places where they
+    read each other.  Others, and those in which SUMPRODUCT reads formulas, are
+    spread over tasks as follows.
 
     Formulas hang together where one holds another in its areas; which do is
     found by joins, in rounds that grow with the logarithm of the longest chain.
@@ -820,11 +862,23 @@ def recalculate(cells: DataFrame, edits: DataFrame, together: int = 200_000, mos
     """
     ws = Scratch(cells.sparkSession, "workbook")
     columns = (*PLACE, *VALUE_FIELDS)
-    rows = cells.select(*columns, "formula", F.lit(False).alias("edit")).unionByName(edits.select(*columns, F.lit(None).cast("string").alias("formula"), F.lit(True).alias("edit")))
+    if edits is None:
+        rows = cells.select(*columns, "formula", "edit")
+    else:
+        rows = cells.select(*columns, "formula", F.lit(False).alias("edit")).unionByName(edits.select(*columns, F.lit(None).cast("string").alias("formula"), F.lit(True).alias("edit")))
     rows = ws.write(rows, "rows")
-    large = ws.write(rows.groupBy("book").agg(F.count("*").alias("n")).filter(F.col("n") > most_cells).select("book"), "large")
-    moderate = rows if large.isEmpty() else rows.join(large, "book", "left_anti")
-    found = ws.write(computed_by_book(moderate, together, most_reads), "books")
+    # a workbook is large only where its part of 65,536 is, so workbooks are counted only in such parts
+    part = F.pmod(F.xxhash64("book"), F.lit(1 << 16)).alias("part")
+    longest = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("str", "formula")), F.lit(200))
+    parts = rows.groupBy(part).agg(F.count("*").alias("n"), F.max(longest).alias("longest"))
+    n_rows, fullest, longest = (x or 0 for x in parts.agg(F.sum("n"), F.max("n"), F.max("longest")).first())
+    large, moderate = rows.select("book").limit(0), rows
+    if fullest > most_cells:
+        among = rows.select("book").join(F.broadcast(parts.filter(F.col("n") > most_cells).select("part")), F.pmod(F.xxhash64("book"), F.lit(1 << 16)) == F.col("part"), "left_semi")
+        large = ws.write(among.groupBy("book").agg(F.count("*").alias("n")).filter(F.col("n") > most_cells).select("book"), "large")
+        moderate = rows if large.isEmpty() else rows.join(large, "book", "left_anti")
+    with batches_of(ws.spark, longest):
+        found = ws.write(computed_by_book(moderate, n_rows, together, most_reads), "books")
     shown = address(F.col("row"), F.col("col")).alias("address")
     changes = found.filter("NOT large AND problem IS NULL").select(*PLACE, shown, "before", "after")
     problems = found.filter("problem IS NOT NULL").select(*PLACE, shown, "problem")
