@@ -19,13 +19,14 @@ def small_batches(spark: SparkSession) -> None:
 
 @contextmanager
 def batches_of(spark: SparkSession, longest: int) -> Iterator[None]:
-    """Larger batches for what is run meanwhile on narrow rows of at most ``longest`` bytes, which Python reads by arrays.
+    """Larger batches, and smaller parts of files, for what is run meanwhile on narrow rows of at most ``longest`` bytes, which Python reads by arrays.
 
     Their bytes are bounded by the number of rows alone: under a limit of bytes
     Spark sizes up all columns of a batch again with each row, which takes
-    longer than all else that it does to pass rows to Python.
+    longer than all else that it does to pass rows to Python.  Files of such
+    rows hold so many of them in a MB that a shuffle of a whole part would spill.
     """
-    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(max((32 << 20) // max(longest, 1), 100), 5000)), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(max((32 << 20) // max(longest, 1), 100), 5000)), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1), "spark.sql.files.maxPartitionBytes": str(16 << 20)}
     before = {name: spark.conf.get(name) for name in own}
     try:
         for name, value in own.items():
@@ -55,7 +56,8 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str, append: bool = False, part: int = 128 << 20) -> DataFrame:
+        """``part`` bounds the bytes of a row group, the least that a task reads later."""
         at = f"{self.path}/{name}"
-        df.write.mode("append" if append else "errorifexists").parquet(at)
+        df.write.mode("append" if append else "errorifexists").option("parquet.block.size", part).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -742,15 +742,17 @@ def chunks(batches) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
 
-def computed_by_book(rows: DataFrame, n_rows: int, most_formulas: int, most_reads: int) -> DataFrame:
+def computed_by_book(rows: DataFrame, n_rows: int, empty: list[str], most_formulas: int, most_reads: int) -> DataFrame:
     """Changes and problems of workbooks of moderate size, each computed in one task; one that proves too large gives a row that says so.
 
     Formulas that are built alike are computed together over many workbooks
-    (``alike``), those of workbooks that this leaves apart one by one.
+    (``alike``), those of workbooks that this leaves apart one by one.  Columns
+    that are ``empty`` in all rows are not passed on.
     """
     value = pa.struct([("kind", pa.string()), ("num", pa.float64()), ("str", pa.string()), ("bool", pa.bool_()), ("err", pa.string())])
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), value, value, pa.string(), pa.bool_()]
     names = ["book", "sheet", "row", "col", "before", "after", "problem", "large"]
+    columns = [*PLACE, *VALUE_FIELDS, "formula", "edit"]
 
     def of(name: str, own: list[tuple]) -> Iterator[tuple]:
         try:
@@ -785,6 +787,8 @@ def computed_by_book(rows: DataFrame, n_rows: int, most_formulas: int, most_read
 
         with np.errstate(all="ignore"):
             for whole in chunks(batches):
+                none = {c: pa.nulls(whole.num_rows, pa.bool_() if c == "bool" else pa.string()) for c in empty}
+                whole = pa.record_batch([none[c] if c in none else whole.column(c) for c in columns], names=columns)
                 chunk = alike.Chunk(whole)
                 found = chunk.computed()
                 if found is not None and found.num_rows:
@@ -795,7 +799,7 @@ def computed_by_book(rows: DataFrame, n_rows: int, most_formulas: int, most_read
 
     # a number of partitions keeps Spark from putting many small ones together, for the work is in Python
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / 500_000))
-    dealt = rows.select(*PLACE, *VALUE_FIELDS, "formula", "edit").repartition(tasks, "book").sortWithinPartitions("book")
+    dealt = rows.select(*[c for c in columns if c not in empty]).repartition(tasks, "book").sortWithinPartitions("book")
     return dealt.mapInArrow(run, FOUND)
 
 
@@ -866,19 +870,21 @@ def recalculate(cells: DataFrame, edits: DataFrame | None = None, together: int
         rows = cells.select(*columns, "formula", "edit")
     else:
         rows = cells.select(*columns, "formula", F.lit(False).alias("edit")).unionByName(edits.select(*columns, F.lit(None).cast("string").alias("formula"), F.lit(True).alias("edit")))
-    rows = ws.write(rows, "rows")
+    rows = ws.write(rows, "rows", part=16 << 20)
     # a workbook is large only where its part of 65,536 is, so workbooks are counted only in such parts
     part = F.pmod(F.xxhash64("book"), F.lit(1 << 16)).alias("part")
     longest = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("str", "formula")), F.lit(200))
-    parts = rows.groupBy(part).agg(F.count("*").alias("n"), F.max(longest).alias("longest"))
-    n_rows, fullest, longest = (x or 0 for x in parts.agg(F.sum("n"), F.max("n"), F.max("longest")).first())
+    seldom = ("str", "bool", "err")
+    parts = rows.groupBy(part).agg(F.count("*").alias("n"), F.max(longest).alias("longest"), *[F.count(c).alias(c) for c in seldom])
+    n_rows, fullest, longest, *filled = (x or 0 for x in parts.agg(F.sum("n"), F.max("n"), F.max("longest"), *[F.max(c) for c in seldom]).first())
+    empty = [c for c, n in zip(seldom, filled, strict=True) if not n]
     large, moderate = rows.select("book").limit(0), rows
     if fullest > most_cells:
         among = rows.select("book").join(F.broadcast(parts.filter(F.col("n") > most_cells).select("part")), F.pmod(F.xxhash64("book"), F.lit(1 << 16)) == F.col("part"), "left_semi")
         large = ws.write(among.groupBy("book").agg(F.count("*").alias("n")).filter(F.col("n") > most_cells).select("book"), "large")
         moderate = rows if large.isEmpty() else rows.join(large, "book", "left_anti")
     with batches_of(ws.spark, longest):
-        found = ws.write(computed_by_book(moderate, n_rows, together, most_reads), "books")
+        found = ws.write(computed_by_book(moderate, n_rows, empty, together, most_reads), "books")
     shown = address(F.col("row"), F.col("col")).alias("address")
     changes = found.filter("NOT large AND problem IS NULL").select(*PLACE, shown, "before", "after")
     problems = found.filter("problem IS NOT NULL").select(*PLACE, shown, "problem")

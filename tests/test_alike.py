@@ -146,3 +146,18 @@ def test_cells_are_made_in_one_pass(spark):
     for cells in made:
         assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
         assert cells.filter(F.col("edit")).count() == cells.select("book").distinct().count()
+
+
+def test_columns_without_values_are_not_passed_on(spark):
+    """Texts, truths and errors go to Python only where some cell has one, with the same changes; rows are read in small parts."""
+    from tessera.operators.scratch import Scratch
+
+    schema = "book string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, formula string, edit boolean"
+    rows = [num("b", "S", 0, 0, 1.0), num("b", "S", 0, 1, 2.0, "=A1*2"), num("b", "S", 0, 0, 4.0, edit=True)]
+    cells = Scratch(spark, "test").write(spark.createDataFrame(rows, schema), "rows", part=1 << 20)
+    for empty in ([], ["bool", "err"], ["str", "bool", "err"]):
+        found = workbook.computed_by_book(cells, 3, empty, 100, 100)
+        assert [(r.book, r.row, r.col, r.before.num, r.after.num, r.problem) for r in found.collect()] == [("b", 0, 1, 2.0, 8.0, None)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        shuffled = next(line for line in plan.splitlines() if "MapInArrow" in line).split("run(")[1].split(")")[0]
+        assert not [c for c in empty if f" {c}#" in shuffled or shuffled.startswith(f"{c}#")]
